@@ -46,13 +46,20 @@ def round_half_even(value: Column, digits: int = 2) -> Column:
 
 
 def number_text(value: Column) -> Column:
-    """``str(float)``; plain digits from 1e-4 up to 1e16, where Java would switch to an exponent earlier."""
+    """``str(float)``: plain digits from 1e-4 up to 1e16, otherwise an exponent of at least two digits."""
     value = value.cast("double")
-    size = F.abs(value)
+    size, java = F.abs(value), value.cast("string")
     plain = F.call_function("format_number", value, F.lit("0.0" + "#" * 20))
-    return F.when((size == 0) | ((size >= 1e-3) & (size < 1e7)), value.cast("string")).when(
-        (size >= 1e-4) & (size < 1e16), plain
-    ).otherwise(F.lower(F.regexp_replace(value.cast("string"), r"\.0E", "E")))
+    mantissa = F.regexp_replace(F.split_part(java, F.lit("E"), F.lit(1)), r"\.0$", "")
+    exponent = F.split_part(java, F.lit("E"), F.lit(2)).try_cast("int")
+    sign = F.when(exponent < 0, "-").otherwise("+")
+    wide = F.concat(mantissa, F.lit("e"), sign, F.lpad(F.abs(exponent).cast("string"), 2, "0"))
+    wide = F.when(F.length(F.abs(exponent).cast("string")) > 2, F.concat(mantissa, F.lit("e"), sign, F.abs(exponent).cast("string"))).otherwise(wide)
+    return (
+        F.when((size == 0) | ((size >= 1e-3) & (size < 1e7)), java)
+        .when((size >= 1e-4) & (size < 1e16), plain)
+        .otherwise(wide)
+    )
 
 
 def flag_text(value: Column) -> Column:
