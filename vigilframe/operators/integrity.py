@@ -67,43 +67,36 @@ def evidence_records(evidence: DataFrame) -> DataFrame:
     )
 
 
-def submission_digest(files: DataFrame) -> DataFrame:
-    """Content and manifest digest of one submission from ``file, part, sha256`` rows.
+def table_digests(files: DataFrame) -> DataFrame:
+    """One digest per ``file`` from ``file, part, sha256`` rows.
 
-    ``file`` is the canonical name and ``part`` the file inside it. A table stored as one file keeps that file's
-    digest; one stored as many part files is digested in two steps, over 4096 buckets of parts by name and then
-    over the buckets, so no task needs the digests of all parts. The submission digest covers the canonical JSON
-    list of the (at most six) file digests in fixed order.
+    A table stored as one file keeps that file's digest. One stored as many part files is digested in two steps,
+    over 4096 buckets of parts by name and then over the buckets, so no task needs the digests of all parts.
     """
-    position = F.array_position(F.array(*[F.lit(name) for name in catalog.SUBMISSION_FILES]), F.col("file"))
-    bucketed = (
-        files.filter(position > 0)
-        .withColumn("_bucket", F.substring(F.sha2("part", 256), 1, 3))
+    parts = F.struct(F.col("part").alias("key"), F.col("sha256").alias("digest"))
+    buckets = F.struct(F.col("_bucket").alias("key"), F.col("_digest").alias("digest"))
+
+    def joined(rows: Column) -> Column:
+        ordered = F.transform(F.array_sort(F.collect_list(rows)), lambda item: item["digest"])
+        return F.sha2(F.concat_ws("", ordered), 256)
+
+    return (
+        files.withColumn("_bucket", F.substring(F.sha2("part", 256), 1, 3))
         .groupBy("file", "_bucket")
-        .agg(
-            F.count(F.lit(1)).alias("_parts"), F.max("sha256").alias("_one"),
-            F.sha2(
-                F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("part", "sha256"))), lambda x: x["sha256"])),
-                256,
-            ).alias("_digest"),
-        )
-    )
-    per_file = (
-        bucketed.groupBy("file")
-        .agg(
-            F.sum("_parts").alias("_parts"), F.max("_one").alias("_one"),
-            F.sha2(
-                F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("_bucket", "_digest"))), lambda x: x["_digest"])),
-                256,
-            ).alias("_digest"),
-        )
-        .select(
-            "file", position.alias("_position"), F.when(F.col("_parts") == 1, F.col("_one")).otherwise(F.col("_digest")).alias("sha256")
-        )
+        .agg(F.count(F.lit(1)).alias("_parts"), F.max("sha256").alias("_one"), joined(parts).alias("_digest"))
+        .groupBy("file")
+        .agg(F.sum("_parts").alias("_parts"), F.max("_one").alias("_one"), joined(buckets).alias("_digest"))
+        .select("file", F.when(F.col("_parts") == 1, F.col("_one")).otherwise(F.col("_digest")).alias("sha256"))
     )
+
+
+def submission_digest(files: DataFrame, order: tuple[str, ...] = catalog.SUBMISSION_FILES) -> DataFrame:
+    """Content and manifest digest of one submission: the canonical JSON list of its file digests in fixed order."""
+    position = F.array_position(F.array(*[F.lit(name) for name in order]), F.col("file"))
+    per_file = table_digests(files.filter(position > 0)).withColumn("_position", position)
     entries = F.transform(
         F.array_sort(F.collect_list(F.struct("_position", "file", "sha256"))),
-        lambda x: F.concat(F.lit('{"file":"'), x["file"], F.lit('","sha256":"'), x["sha256"], F.lit('"}')),
+        lambda item: F.concat(F.lit('{"file":"'), item["file"], F.lit('","sha256":"'), item["sha256"], F.lit('"}')),
     )
     listed = F.concat(F.lit("["), F.array_join(entries, ","), F.lit("]"))
     return per_file.agg(

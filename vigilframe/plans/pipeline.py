@@ -87,18 +87,18 @@ def ingest(spark: SparkSession, path: str, output_root: str, dataset: str | None
 
 
 def _source_digests(spark: SparkSession, sources: dict[str, str]) -> DataFrame:
-    """One row per source table in table order; a source stored as a directory gets the digest of its parts."""
-    rows = []
-    for place, path in enumerate(sources.values()):
-        parts = files.file_digests(spark, [path])
-        rows.append(
-            parts.groupBy(F.lit(place).alias("place"), F.lit(posixpath.basename(path)).alias("filename")).agg(
-                F.sum("size").alias("size"), F.count(F.lit(1)).alias("parts"), F.max("sha256").alias("one"),
-                F.hex(F.bit_xor(F.conv(F.substring("sha256", 1, 15), 16, 10).cast("long"))).alias("mixed"),
+    """Name, size and digest per source table, in table order."""
+    parts = union_all(
+        [
+            files.file_digests(spark, [path]).select(
+                F.lit(f"{place}/{posixpath.basename(path)}").alias("file"), F.col("filename").alias("part"), "size", "sha256"
             )
-        )
-    digest = F.when(F.col("parts") == 1, F.col("one")).otherwise(F.sha2(F.concat_ws(":", "parts", "mixed"), 256))
-    return union_all(rows).select("place", "filename", "size", digest.alias("sha256")).orderBy("place")
+            for place, path in enumerate(sources.values())
+        ]
+    )
+    sizes = parts.groupBy("file").agg(F.sum("size").alias("size"))
+    named = F.substring_index("file", "/", -1).alias("filename")
+    return integrity.table_digests(parts).join(sizes, "file").orderBy("file").select(named, "size", "sha256")
 
 
 # --- features -------------------------------------------------------------------------------------------------

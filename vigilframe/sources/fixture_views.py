@@ -71,6 +71,62 @@ from ({cases}) c where escalated
 """
 
 
+# Faulty variants of the tables for the validation queries, planted by row number.
+_NUMBER = "cast(right(id, 9) as bigint)"
+FAULTS = {
+    "bad_entities": "select id, name, sector, size, case when cast(right(id, 6) as bigint) % 50 = 7 then null else criticality end as criticality, created_at from entities",
+    "bad_assets": "select id, case when cast(substr(id, 5, 6) as bigint) % 41 = 3 then 'CSE-999999' else entity_id end as entity_id, asset_type, criticality, expected_monitoring, monitoring_source from assets",
+    "bad_alerts": f"""
+select case when {_NUMBER} % 101 = 5 then 'ALT-000000000' else id end as id, entity_id,
+ case when {_NUMBER} % 83 = 0 then 'AST-MISSING' else asset_id end as asset_id, timestamp,
+ case when {_NUMBER} % 97 = 0 then null when {_NUMBER} % 71 = 0 then 'Severe' else severity end as severity, source,
+ case when {_NUMBER} % 73 = 0 then 'Parked' else status end as status,
+ case when {_NUMBER} % 79 = 0 then timestamp - interval '5' minute else acknowledged_at end as acknowledged_at,
+ case when {_NUMBER} % 89 = 0 then timestamp - interval '1' minute else closed_at end as closed_at, case_id
+from alerts
+""",
+    "bad_cases": f"""
+select id, entity_id, case when {_NUMBER} % 67 = 0 then 'ALT-UNKNOWN' else alert_id end as alert_id,
+ case when {_NUMBER} % 61 = 0 then opened_at - interval '90' day else opened_at end as opened_at, investigation_text,
+ case when {_NUMBER} % 59 = 0 then 'Unsure' else disposition end as disposition, escalated, remediation_recorded,
+ case when {_NUMBER} % 53 = 0 then opened_at - interval '1' minute else closed_at end as closed_at
+from cases
+""",
+    "bad_escalations": f"""
+select id, entity_id, case when {_NUMBER} % 47 = 0 then 'CASE-UNKNOWN' else case_id end as case_id,
+ case when {_NUMBER} % 43 = 0 then created_at - interval '10' minute when {_NUMBER} % 37 = 0 then created_at + interval '900' minute else created_at end as created_at,
+ escalation_type from escalations
+""",
+}
+# A raw submission of cases: alias names, padded ids, ISO times, word flags, an unknown column and bad values.
+RAW_CASES = """
+select concat('  ', id, ' ') as case_id, entity_id, alert_id,
+ case when {number} % 31 = 0 then 'not-a-date' when {number} % 29 = 0 then {day} else {opened} end as opened_at,
+ investigation_text as investigation_notes, concat(disposition, ' ') as disposition,
+ case {number} % 7 when 0 then 'maybe' when 1 then ' YES ' when 2 then 'f' when 3 then 'T' when 4 then '0' when 5 then 'No' end as escalated_flag,
+ case when remediation_recorded then '1' else '0' end as remediation_recorded,
+ {closed} as closed_at, 'shift lead' as analyst
+from cases
+"""
+
+
+def raw_sql(dialect: str = "spark") -> dict[str, str]:
+    """SQL of the raw submission for ``spark`` or ``duckdb``; it differs only in how a time is printed."""
+
+    def text(column: str, spark_pattern: str, duckdb_pattern: str) -> str:
+        if dialect == "spark":
+            return f'date_format({column}, "{spark_pattern}")'
+        return f"strftime({column}, '{duckdb_pattern}')"
+
+    full = ("yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'", "%Y-%m-%dT%H:%M:%S.%fZ")
+    return {
+        "raw_cases": RAW_CASES.format(
+            number=_NUMBER, day=text("opened_at", "yyyy-MM-dd", "%Y-%m-%d"), opened=text("opened_at", *full),
+            closed=text("closed_at", *full),
+        )
+    }
+
+
 def canonical_sql(dialect: str = "spark") -> dict[str, str]:
     """SQL of each canonical table over the base tables, for ``spark`` or ``duckdb``."""
     spark = dialect == "spark"
@@ -98,3 +154,18 @@ def canonical_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         )
         for name, text in canonical_sql("spark").items()
     }
+
+
+def raw_tables(spark: SparkSession, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    return {
+        name: spark.sql(text.replace("from cases", "from {cases}"), cases=tables["cases"])
+        for name, text in raw_sql("spark").items()
+    }
+
+
+def faulty_tables(spark: SparkSession, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The canonical tables with planted faults, under their canonical names."""
+    return {
+        name: spark.sql(FAULTS[f"bad_{name}"].replace(f"from {name}", f"from {{{name}}}"), **{name: tables[name]})
+        for name in tables
+    }
