@@ -31,22 +31,23 @@ class EvidenceItem(NamedTuple):
     reason: Column | str
 
 
-def identify(hits: DataFrame, rule_id: str, source_id: Column) -> DataFrame:
+def identify(hits: DataFrame, rule_id: Column | str, source_id: Column) -> DataFrame:
     """Add the deterministic finding id, a digest of rule, entity and source."""
-    return hits.withColumn("finding_id", finding_id(F.lit(rule_id), F.col("entity_id"), source_id))
+    rule = rule_id if isinstance(rule_id, Column) else F.lit(rule_id)
+    return hits.withColumn("finding_id", finding_id(rule, F.col("entity_id"), source_id))
 
 
 def make_findings(
-    hits: DataFrame, rule_id: str, *, confidence: Column | str, text: dict[str, Column], text_key: str | None = None,
+    hits: DataFrame, detector: str, /, *, confidence: Column | str, text: dict[str, Column], text_key: str | None = None,
     **values: Column | str | float,
 ) -> DataFrame:
     """Project hits to the full findings schema. ``values`` set metric and gap columns, the rest stay null."""
-    definition = catalog.DETECTORS[rule_id]
-    key = text_key or rule_id
+    definition = catalog.DETECTORS[detector]
+    key = text_key or detector
     strength = confidence if isinstance(confidence, Column) else F.lit(confidence)
     columns: dict[str, Column | str | float] = {
         "id": F.col("finding_id"),
-        "rule_id": rule_id,
+        "rule_id": detector,
         "entity_id": F.col("entity_id"),
         "finding_type": definition["finding_type"],
         "severity": definition["severity"],
@@ -117,12 +118,17 @@ def deduplicate(df: DataFrame, key: str = "id") -> DataFrame:
     return merged.select(*[F.col(key) if name == key else F.col(f"_row.{name}").alias(name) for name in df.columns])
 
 
-def finalize(detection: Detection, prune: bool = True) -> Detection:
-    """De-duplicate findings and evidence and drop evidence whose finding is gone."""
+def finalize(detection: Detection) -> Detection:
+    """De-duplicate findings and evidence and drop evidence whose finding is gone.
+
+    Published canonical tables have unique ids, so the finding and evidence ids made from them are unique and every
+    evidence row belongs to a finding already. This is for tables that did not pass ingestion, or for outputs put
+    together from several runs.
+    """
     findings = deduplicate(detection.findings)
-    evidence = deduplicate(detection.evidence)
-    if prune:
-        evidence = evidence.join(findings.select(F.col("id").alias("finding_id")), "finding_id", "left_semi")
+    evidence = deduplicate(detection.evidence).join(
+        findings.select(F.col("id").alias("finding_id")), "finding_id", "left_semi"
+    )
     return Detection(findings, evidence.select(*schemas.EVIDENCE.names))
 
 

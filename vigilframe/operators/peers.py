@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from vigilframe import catalog
 from vigilframe.functions.measures import cohort_key, material_deviation, peer_strength
-from vigilframe.operators.findings import Detection, EvidenceItem, identify, make_evidence, make_findings, union_all
+from vigilframe.operators.findings import Detection, EvidenceItem, identify, make_evidence, make_findings
 from vigilframe.operators.ordering import midpoint, nearest_rank, order_statistics
 
 MIN_COHORT_SIZE = 3
@@ -120,38 +120,36 @@ def peer_deviations(entities: DataFrame) -> DataFrame:
     )
 
 
-def _hits(deviations: DataFrame, rule_id: str) -> DataFrame:
-    rows = deviations.filter(F.col("rule_id") == rule_id)
-    return identify(rows, rule_id, F.concat(F.col("cohort_key"), F.lit("|"), F.col("metric_name")))
-
-
-def peer_detection(entities: DataFrame, rule_id: str, deviations: DataFrame | None = None) -> Detection:
-    """Findings of one peer detector with the entity's own evidence.
+def peer_detection(entities: DataFrame, *rule_ids: str) -> Detection:
+    """Findings of the peer detectors (all by default) with the entities' own evidence, in one pass.
 
     The peers behind a median are the other members of the cohort. Writing them out per finding would pair every
     deviating entity with every peer, so the evidence names the cohort and ``peer_reference_values`` holds each
     member's value once; ``peer_evidence`` joins the two for the findings somebody looks at.
     """
-    hits = _hits(peer_deviations(entities) if deviations is None else deviations, rule_id)
+    deviations = peer_deviations(entities)
+    if rule_ids:
+        deviations = deviations.filter(F.col("rule_id").isin(*rule_ids))
     metric, observed, median = F.col("metric_name"), F.col("value"), F.col("peer_median")
+    hits = identify(deviations, F.col("rule_id"), F.concat(F.col("cohort_key"), F.lit("|"), metric))
     deviation = F.col("deviation")
     magnitude = deviation / F.greatest(F.abs(median), F.lit(1e-9))
+    # The four definitions share severity, type and texts; only the rule id differs.
     findings = make_findings(
-        hits, rule_id, confidence=peer_strength(F.col("peer_count"), magnitude), text_key="PB",
+        hits, PEER_DETECTORS[0], confidence=peer_strength(F.col("peer_count"), magnitude), text_key="PB",
         text={
             "metric": metric, "observed": observed, "median": median, "peers": F.col("peer_count"),
             "cohort": F.col("cohort_key"), "deviation": deviation,
         },
-        metric_name=metric, observed_value=observed, population_size=F.col("peer_count"), absolute_gap=deviation,
-        baseline_method="peer_median", baseline_type="peer_reference", baseline_value=median, reference_value=median,
-        gap_value=deviation, gap_direction="peer_deviation",
+        rule_id=F.col("rule_id"), metric_name=metric, observed_value=observed, population_size=F.col("peer_count"),
+        absolute_gap=deviation, baseline_method="peer_median", baseline_type="peer_reference", baseline_value=median,
+        reference_value=median, gap_value=deviation, gap_direction="peer_deviation",
     )
     reason = catalog.EVIDENCE_REASONS["PB_entity"]
-    name = catalog.DETECTORS[rule_id]["metric"]
     evidence = make_evidence(
         hits,
         [
-            EvidenceItem("entity_feature", F.col("entity_id"), name, observed, "real", reason),
+            EvidenceItem("entity_feature", F.col("entity_id"), metric, observed, "real", reason),
             EvidenceItem("entity_feature", F.col("entity_id"), "cohort_key", F.col("cohort_key"), "text", reason),
         ],
     )
@@ -178,15 +176,15 @@ def peer_evidence(findings: DataFrame, evidence: DataFrame, reference: DataFrame
         .join(peers, ["cohort_key", "metric_name"])
         .filter(F.col("peer_id") != F.col("entity_id"))
     )
-    items = [
-        make_evidence(
-            rows.filter(F.col("metric_name") == metric),
-            [EvidenceItem("entity_feature", F.col("peer_id"), metric, F.col("value"), "real",
-                          catalog.EVIDENCE_REASONS["PB_peer"])],
-        )
-        for metric in (catalog.DETECTORS[name]["metric"] for name in PEER_DETECTORS)
-    ]
-    return union_all(items)
+    return make_evidence(
+        rows,
+        [
+            EvidenceItem(
+                "entity_feature", F.col("peer_id"), F.col("metric_name"), F.col("value"), "real",
+                catalog.EVIDENCE_REASONS["PB_peer"],
+            )
+        ],
+    )
 
 
 def entities_benchmarked(findings: DataFrame) -> DataFrame:

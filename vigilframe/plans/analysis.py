@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 
 from vigilframe import catalog, session
 from vigilframe.operators import absence, forest, gaps, peers, rules, scoring, signals
-from vigilframe.operators.findings import Detection, combine, finalize
+from vigilframe.operators.findings import Detection, combine
 
 Bundle = dict[str, DataFrame]
 
@@ -30,26 +30,23 @@ def evaluate_detector(rule_id: str, bundle: Bundle) -> Detection | None:
 
 
 def evaluate_rules(bundle: Bundle) -> Detection:
-    return finalize(combine([rules.EVALUATORS[name](bundle) for name in catalog.enabled("phase5")]))
+    return combine([rules.EVALUATORS[name](bundle) for name in catalog.enabled("phase5")])
 
 
 def evaluate_gaps(bundle: Bundle) -> Detection:
-    return finalize(combine([gaps.EVALUATORS[name](bundle) for name in catalog.enabled("phase6")]))
+    return combine([gaps.EVALUATORS[name](bundle) for name in catalog.enabled("phase6")])
 
 
 def evaluate_absence(bundle: Bundle) -> Detection:
     window = absence.observation_window(bundle)
-    return finalize(combine([absence.EVALUATORS[name](bundle, window) for name in catalog.enabled("phase7")]))
+    return combine([absence.EVALUATORS[name](bundle, window) for name in catalog.enabled("phase7")])
 
 
 def evaluate_peers(bundle: Bundle, anomalies: bool = True) -> Detection:
-    """Peer deviations and, unless switched off, the anomaly detector. Evidence is not pruned here."""
+    """Peer deviations and, unless switched off, the anomaly detector."""
     entities = bundle["entity_features"]
-    deviations = peers.peer_deviations(entities)
-    parts = [peers.peer_detection(entities, name, deviations) for name in peers.PEER_DETECTORS]
-    if anomalies:
-        parts.append(forest.anomaly_detection(entities))
-    return finalize(combine(parts), prune=False)
+    peer = peers.peer_detection(entities)
+    return combine([peer, forest.anomaly_detection(entities)]) if anomalies else peer
 
 
 FAMILIES: dict[str, Callable[[Bundle], Detection]] = {

@@ -47,33 +47,57 @@ def register(name: str) -> Callable[[Callable[..., DataFrame]], Callable[..., Da
 
 
 # --- shared steps ---------------------------------------------------------------------------------------------
+#
+# As in a pipeline run, the detectors read feature tables that were written once, and the risk steps read findings
+# that were written once. Within a session these tables are kept per data directory; reset() forgets them.
 
+_KEPT: dict[tuple, object] = {}
 
+
+def reset() -> None:
+    _KEPT.clear()
+
+
+def once(function: Callable) -> Callable:
+    def kept(spark: SparkSession, sf_dir: str):
+        key = (function.__name__, spark.sparkContext.applicationId, sf_dir)
+        if key not in _KEPT:
+            _KEPT[key] = function(spark, sf_dir)
+        return _KEPT[key]
+
+    return kept
+
+
+@once
+def canonical_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return fixture_views.canonical_tables(spark, sf_dir)
+
+
+@once
+def lazy_features(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return features.feature_tables(canonical_tables(spark, sf_dir))
+
+
+@once
 def bundle(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Canonical and feature tables, all lazy."""
-    canonical = fixture_views.canonical_tables(spark, sf_dir)
-    return {**canonical, **features.feature_tables(canonical)}
+    """Feature tables, written once to the checkpoint folder."""
+    return {name: session.stage(frame) for name, frame in lazy_features(spark, sf_dir).items()}
 
 
 def entity_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bundle(spark, sf_dir)["entity_features"]
 
 
-def detection(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Detection]:
-    """Entity features and the findings of the deterministic detectors.
-
-    Tables that several later steps read are written once to the checkpoint folder, as the published feature and
-    finding tables are in a pipeline run.
-    """
-    tables = bundle(spark, sf_dir)
-    staged = dict(tables)
-    staged["entity_features"] = session.stage(tables["entity_features"])
-    return staged["entity_features"], analysis.stage_detection(analysis.evaluate_families(staged, anomalies=False))
+@once
+def detection(spark: SparkSession, sf_dir: str) -> Detection:
+    """Findings and evidence of the deterministic detectors, written once to the checkpoint folder."""
+    return analysis.stage_detection(analysis.evaluate_families(bundle(spark, sf_dir), anomalies=False))
 
 
-def risk(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Detection, analysis.RiskRun]:
-    entities, found = detection(spark, sf_dir)
-    return entities, found, analysis.assess_risk(entities, found.findings, found.evidence)
+@once
+def risk(spark: SparkSession, sf_dir: str) -> analysis.RiskRun:
+    found = detection(spark, sf_dir)
+    return analysis.assess_risk(entity_table(spark, sf_dir), found.findings, found.evidence)
 
 
 # --- canonical tables and ingestion ---------------------------------------------------------------------------
@@ -82,7 +106,7 @@ def risk(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Detection, analys
 def _canonical(name: str) -> None:
     @register(f"canonical_{name}")
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return fixture_views.canonical_tables(spark, sf_dir)[name]
+        return canonical_tables(spark, sf_dir)[name]
 
 
 for _name in catalog.DATASETS:
@@ -91,18 +115,18 @@ for _name in catalog.DATASETS:
 
 @register("normalize_text_bool_datetime")
 def _normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = fixture_views.raw_tables(spark, fixture_views.canonical_tables(spark, sf_dir))
+    raw = fixture_views.raw_tables(spark, canonical_tables(spark, sf_dir))
     return normalize.normalize(raw["raw_cases"], "cases").frame
 
 
 @register("normalize_issues")
 def _normalize_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = fixture_views.raw_tables(spark, fixture_views.canonical_tables(spark, sf_dir))
+    raw = fixture_views.raw_tables(spark, canonical_tables(spark, sf_dir))
     return normalize.normalize(raw["raw_cases"], "cases").issues
 
 
 def _faulty(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return fixture_views.faulty_tables(spark, fixture_views.canonical_tables(spark, sf_dir))
+    return fixture_views.faulty_tables(spark, canonical_tables(spark, sf_dir))
 
 
 @register("validate_frame_issues")
@@ -142,7 +166,7 @@ def _integrity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _feature(name: str) -> None:
     @register(name)
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return bundle(spark, sf_dir)[name]
+        return lazy_features(spark, sf_dir)[name]
 
 
 for _name in catalog.FEATURE_TABLES:
@@ -151,12 +175,12 @@ for _name in catalog.FEATURE_TABLES:
 
 @register("recent_alert_count")
 def _recent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.recent_alert_counts(fixture_views.canonical_tables(spark, sf_dir)["alerts"])
+    return features.recent_alert_counts(canonical_tables(spark, sf_dir)["alerts"])
 
 
 @register("time_features")
 def _time(spark: SparkSession, sf_dir: str) -> DataFrame:
-    alerts = fixture_views.canonical_tables(spark, sf_dir)["alerts"].select("id", "timestamp")
+    alerts = canonical_tables(spark, sf_dir)["alerts"].select("id", "timestamp")
     return features.time_features(alerts, "timestamp")
 
 
@@ -245,8 +269,7 @@ def _anomaly_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("anomaly_an001")
 def _anomaly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entities = session.stage(entity_table(spark, sf_dir))
-    return forest.anomaly_detection(entities).findings.select(*FINDING_COLUMNS, "anomaly_score", "anomaly_rank")
+    return forest.anomaly_detection(entity_table(spark, sf_dir)).findings.select(*FINDING_COLUMNS, "anomaly_score", "anomaly_rank")
 
 
 # --- risk -----------------------------------------------------------------------------------------------------
@@ -254,38 +277,37 @@ def _anomaly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("signals")
 def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return risk(spark, sf_dir)[2].signals.drop("contributing_features", "unassessable_reason")
+    return risk(spark, sf_dir).signals.drop("contributing_features", "unassessable_reason")
 
 
 @register("correlation_groups")
 def _correlation_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return risk(spark, sf_dir)[2].groups.drop("group_position")
+    return risk(spark, sf_dir).groups.drop("group_position")
 
 
 @register("risk_contributions")
 def _risk_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return risk(spark, sf_dir)[2].contributions
+    return risk(spark, sf_dir).contributions
 
 
 @register("contribution_findings")
 def _contribution_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return risk(spark, sf_dir)[2].contribution_findings
+    return risk(spark, sf_dir).contribution_findings
 
 
 @register("dimension_scores")
 def _dimension_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entities, _, run = risk(spark, sf_dir)
-    return scoring.dimension_scores(entities, run.groups)
+    return scoring.dimension_scores(entity_table(spark, sf_dir), risk(spark, sf_dir).groups)
 
 
 @register("entity_risk")
 def _entity_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return risk(spark, sf_dir)[2].entity_risk
+    return risk(spark, sf_dir).entity_risk
 
 
 @register("review_queue")
 def _review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return risk(spark, sf_dir)[2].review_queue()
+    return risk(spark, sf_dir).review_queue()
 
 
 # --- serving --------------------------------------------------------------------------------------------------
@@ -293,13 +315,12 @@ def _review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("portfolio_kpis")
 def _portfolio_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kpis = serving.portfolio_kpis(risk(spark, sf_dir)[2].entity_risk)
+    kpis = serving.portfolio_kpis(risk(spark, sf_dir).entity_risk)
     return kpis.withColumn("average_coverage", round_half_even(F.col("average_coverage"), 6))
 
 
 def _enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entities, _, run = risk(spark, sf_dir)
-    return serving.enrich_entities(run.entity_risk, entities)
+    return serving.enrich_entities(risk(spark, sf_dir).entity_risk, entity_table(spark, sf_dir))
 
 
 @register("sector_averages")
@@ -309,7 +330,7 @@ def _sector_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("dimension_averages")
 def _dimension_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return serving.dimension_averages(risk(spark, sf_dir)[2].entity_risk)
+    return serving.dimension_averages(risk(spark, sf_dir).entity_risk)
 
 
 @register("distinct_sectors")
@@ -319,7 +340,7 @@ def _distinct_sectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("elevated_dimensions")
 def _elevated_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return serving.elevated_dimensions(risk(spark, sf_dir)[2].entity_risk)
+    return serving.elevated_dimensions(risk(spark, sf_dir).entity_risk)
 
 
 @register("entity_search")
@@ -330,46 +351,46 @@ def _entity_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("queue_by_priority")
 def _queue_by_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, found, run = risk(spark, sf_dir)
+    found, run = detection(spark, sf_dir), risk(spark, sf_dir)
     return serving.queue_by_priority(scoring.queue_items(run.assessment, found.findings, found.evidence))
 
 
 @register("queue_search")
 def _queue_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    queue = risk(spark, sf_dir)[2].review_queue()
+    queue = risk(spark, sf_dir).review_queue()
     return serving.search_queue(queue, priority="HIGH", record_type="FINDING", text="remediation")
 
 
 @register("queue_headings")
 def _queue_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return serving.queue_headings(risk(spark, sf_dir)[2].review_queue())
+    return serving.queue_headings(risk(spark, sf_dir).review_queue())
 
 
 @register("top_queue_item")
 def _top_queue_item(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return serving.top_queue_item(risk(spark, sf_dir)[2].review_queue())
+    return serving.top_queue_item(risk(spark, sf_dir).review_queue())
 
 
 @register("why_flagged")
 def _why_flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    run = risk(spark, sf_dir)[2]
+    run = risk(spark, sf_dir)
     return serving.why_flagged(run.entity_risk, run.contributions, run.contribution_findings)
 
 
 @register("finding_detail")
 def _finding_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, found = detection(spark, sf_dir)
+    found = detection(spark, sf_dir)
     return serving.finding_detail(found.findings, found.evidence)
 
 
 @register("run_report")
 def _run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return serving.run_report(detection(spark, sf_dir)[1].findings)
+    return serving.run_report(detection(spark, sf_dir).findings)
 
 
 @register("run_summary")
 def _run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return serving.run_summary(*detection(spark, sf_dir)[1])
+    return serving.run_summary(*detection(spark, sf_dir))
 
 
 @register("entities_benchmarked")
@@ -379,7 +400,7 @@ def _entities_benchmarked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("dossier")
 def _dossier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entities, found, run = risk(spark, sf_dir)
+    entities, found, run = entity_table(spark, sf_dir), detection(spark, sf_dir), risk(spark, sf_dir)
     result = serving.dossiers(
         run.entity_risk, entities, run.contributions, run.review_queue(), found.findings, found.evidence, "20240101"
     )
@@ -388,7 +409,7 @@ def _dossier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("dossier_inventory")
 def _dossier_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return serving.dossier_inventory(detection(spark, sf_dir)[1].findings)
+    return serving.dossier_inventory(detection(spark, sf_dir).findings)
 
 
 # --- integrity ------------------------------------------------------------------------------------------------
@@ -396,12 +417,12 @@ def _dossier_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("finding_digest")
 def _finding_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return integrity.finding_records(detection(spark, sf_dir)[1].findings)
+    return integrity.finding_records(detection(spark, sf_dir).findings)
 
 
 @register("evidence_digest")
 def _evidence_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return integrity.evidence_records(detection(spark, sf_dir)[1].evidence)
+    return integrity.evidence_records(detection(spark, sf_dir).evidence)
 
 
 @register("submission_digest")
@@ -431,21 +452,21 @@ def _commitments(findings: DataFrame) -> DataFrame:
 
 @register("commitment_verify")
 def _commitment_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    findings = detection(spark, sf_dir)[1].findings
+    findings = detection(spark, sf_dir).findings
     return integrity.verify(integrity.finding_records(_tampered(findings)), _commitments(findings))
 
 
 @register("commitment_history")
 def _commitment_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return integrity.history(_commitments(detection(spark, sf_dir)[1].findings))
+    return integrity.history(_commitments(detection(spark, sf_dir).findings))
 
 
 @register("commitment_latest")
 def _commitment_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return integrity.latest(_commitments(detection(spark, sf_dir)[1].findings))
+    return integrity.latest(_commitments(detection(spark, sf_dir).findings))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Execution gap EG001: from raw events to findings."""
-    return analysis.evaluate_detector("EG001", bundle(spark, sf_dir)).findings
+    """Execution gap EG001 from raw events to findings, as one lazy plan."""
+    return analysis.evaluate_detector("EG001", lazy_features(spark, sf_dir)).findings
 

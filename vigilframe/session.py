@@ -14,8 +14,14 @@ SESSION_SETTINGS = {
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     "spark.sql.ansi.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
+    # Without call-site capture every Column call saves a round trip to the JVM; plans here have thousands of them.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
+RUNTIME_SETTINGS = (
+    "spark.sql.session.timeZone", "spark.sql.adaptive.enabled", "spark.sql.adaptive.skewJoin.enabled",
+)
+
 
 def build_session(app_name: str = "vigilframe", master: str | None = None, **extra: str) -> SparkSession:
     """Create a session; cluster sizing (executors, shuffle partitions) stays with spark-submit."""
@@ -29,7 +35,7 @@ def build_session(app_name: str = "vigilframe", master: str | None = None, **ext
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings the operators rely on to a session somebody else built."""
-    for key in ("spark.sql.session.timeZone", "spark.sql.adaptive.enabled", "spark.sql.adaptive.skewJoin.enabled"):
+    for key in RUNTIME_SETTINGS:
         spark.conf.set(key, SESSION_SETTINGS[key])
     return spark
 
