@@ -13,6 +13,10 @@ from vigilframe.functions.measures import lookup, safe_rate, whole_days, whole_m
 
 # The trailing window is cut into this many equal slices; a slice of one asset is the unit of work of one task.
 WINDOW_SLICES = 720
+# Assets with more alerts than this are counted slice by slice, all others by one window over the asset.
+BUSY_ASSET_ALERTS = 1_000_000
+# Alerts without an asset are spread over this many groups, where they would otherwise form a single one.
+UNASSIGNED_GROUPS = 4096
 
 
 # --- alerts ---------------------------------------------------------------------------------------------------
@@ -43,10 +47,10 @@ def asset_alert_counts(alerts: DataFrame) -> DataFrame:
     )
 
 
-def recent_alert_counts(alerts: DataFrame, days: int = catalog.RECENT_WINDOW_DAYS) -> DataFrame:
+def sliced_alert_counts(alerts: DataFrame, days: int = catalog.RECENT_WINDOW_DAYS) -> DataFrame:
     """Alerts of the same asset within the ``days`` before each (asset_id, timestamp), both ends included.
 
-    A range window over the asset would sort all alerts of one asset in one task. Instead time is cut into
+    For assets whose alerts do not fit one task's sort, as a range window would need. Time is cut into
     slices and the trailing count is put together from three parts: the own slice up to the alert, the whole
     slices in between, and the end of the slice the window starts in. The first and last part are windows over
     one slice, the middle one is a window over slice totals, whose number is bounded by the length of the
@@ -76,7 +80,9 @@ def recent_alert_counts(alerts: DataFrame, days: int = catalog.RECENT_WINDOW_DAY
     points = moments.select("asset_id", "timestamp", "position", F.inline(F.array(own, edge)))
     in_slice = Window.partitionBy("asset_id", "slice").orderBy("position")
     upto = F.sum("weight").over(in_slice.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    onward = F.sum("weight").over(in_slice.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    before = F.coalesce(F.sum("weight").over(in_slice.rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # Total minus what lies before: a frame up to the end of the partition would rescan it for every row.
+    onward = F.sum("weight").over(Window.partitionBy("asset_id", "slice")) - before
     return (
         points.withColumn("part", F.when(F.col("is_own"), upto).otherwise(onward))
         .join(whole_slices, ["asset_id", "slice"], "left")
@@ -89,21 +95,49 @@ def recent_alert_counts(alerts: DataFrame, days: int = catalog.RECENT_WINDOW_DAY
     )
 
 
-def alert_features(alerts: DataFrame) -> DataFrame:
-    """One row per alert. The wide alert rows are shuffled once, against the narrow per-moment counts."""
-    per_moment = recent_alert_counts(alerts)
-    per_asset = asset_alert_counts(alerts)
-    return (
-        alert_flags(alerts)
-        .join(per_moment, ["asset_id", "timestamp"], "left")
-        .join(per_asset.filter(F.col("asset_id").isNotNull()), "asset_id", "left")
-        .withColumn("asset_recent_alert_count", zero_if_null(F.col("asset_recent_alert_count")))
-        .select(
-            *alerts.columns, "asset_alert_count", "asset_distinct_alert_sources", "asset_recent_alert_count",
-            "acknowledgement_minutes", "alert_lifetime_minutes", "has_case", "is_closed", "severity_rank",
-            "is_high_or_critical", "is_critical",
+def alert_features(
+    alerts: DataFrame, days: int = catalog.RECENT_WINDOW_DAYS, busy_asset_alerts: int = BUSY_ASSET_ALERTS
+) -> DataFrame:
+    """One row per alert, with the asset's total, distinct sources and trailing count.
+
+    The wide rows are shuffled once, by asset: the trailing window and the join with the per-asset counts share that
+    partitioning. Rows of busy assets take the sliced way instead. The list of busy assets is at most
+    rows / ``busy_asset_alerts`` long, which is why it may be broadcast; when it is empty, adaptive execution
+    drops that branch.
+    """
+    flagged = alert_flags(alerts)
+    per_asset = asset_alert_counts(alerts).filter(F.col("asset_id").isNotNull())
+    busy = F.broadcast(per_asset.filter(F.col("asset_alert_count") > busy_asset_alerts).select("asset_id"))
+    columns = [
+        *alerts.columns, "asset_alert_count", "asset_distinct_alert_sources", "asset_recent_alert_count",
+        "acknowledgement_minutes", "alert_lifetime_minutes", "has_case", "is_closed", "severity_rank",
+        "is_high_or_critical", "is_critical",
+    ]
+
+    unassigned = F.concat(F.lit("\0"), F.pmod(F.xxhash64("id"), F.lit(UNASSIGNED_GROUPS)).cast("string"))
+    trailing = (
+        Window.partitionBy("_group")
+        .orderBy(F.unix_micros(F.col("timestamp").cast("timestamp")))
+        .rangeBetween(-days * 86_400_000_000, 0)
+    )
+    countable = F.col("asset_id").isNotNull() & F.col("timestamp").isNotNull()
+    usual = (
+        flagged.join(busy, "asset_id", "left_anti")
+        .withColumn("_group", F.coalesce("asset_id", unassigned))
+        .withColumn(
+            "asset_recent_alert_count",
+            F.when(countable, F.count(F.lit(1)).over(trailing)).otherwise(F.lit(0).cast("long")),
         )
+        .join(per_asset.withColumnRenamed("asset_id", "_group"), "_group", "left")
+    )
+    of_busy = alerts.join(busy, "asset_id", "left_semi")
+    sliced = (
+        flagged.join(busy, "asset_id", "left_semi")
+        .join(sliced_alert_counts(of_busy, days), ["asset_id", "timestamp"], "left")
+        .withColumn("asset_recent_alert_count", zero_if_null(F.col("asset_recent_alert_count")))
+        .join(per_asset, "asset_id", "left")
     )
+    return usual.select(*columns).unionByName(sliced.select(*columns))
 
 
 # --- cases ----------------------------------------------------------------------------------------------------

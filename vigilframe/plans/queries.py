@@ -100,6 +100,11 @@ def risk(spark: SparkSession, sf_dir: str) -> analysis.RiskRun:
     return analysis.assess_risk(entity_table(spark, sf_dir), found.findings, found.evidence)
 
 
+@once
+def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return risk(spark, sf_dir).review_queue()
+
+
 # --- canonical tables and ingestion ---------------------------------------------------------------------------
 
 
@@ -175,7 +180,7 @@ for _name in catalog.FEATURE_TABLES:
 
 @register("recent_alert_count")
 def _recent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.recent_alert_counts(canonical_tables(spark, sf_dir)["alerts"])
+    return features.sliced_alert_counts(canonical_tables(spark, sf_dir)["alerts"])
 
 
 @register("time_features")
@@ -307,7 +312,7 @@ def _entity_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("review_queue")
 def _review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return risk(spark, sf_dir).review_queue()
+    return review_queue(spark, sf_dir)
 
 
 # --- serving --------------------------------------------------------------------------------------------------
@@ -357,18 +362,18 @@ def _queue_by_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("queue_search")
 def _queue_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    queue = risk(spark, sf_dir).review_queue()
+    queue = review_queue(spark, sf_dir)
     return serving.search_queue(queue, priority="HIGH", record_type="FINDING", text="remediation")
 
 
 @register("queue_headings")
 def _queue_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return serving.queue_headings(risk(spark, sf_dir).review_queue())
+    return serving.queue_headings(review_queue(spark, sf_dir))
 
 
 @register("top_queue_item")
 def _top_queue_item(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return serving.top_queue_item(risk(spark, sf_dir).review_queue())
+    return serving.top_queue_item(review_queue(spark, sf_dir))
 
 
 @register("why_flagged")
@@ -402,7 +407,7 @@ def _entities_benchmarked(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _dossier(spark: SparkSession, sf_dir: str) -> DataFrame:
     entities, found, run = entity_table(spark, sf_dir), detection(spark, sf_dir), risk(spark, sf_dir)
     result = serving.dossiers(
-        run.entity_risk, entities, run.contributions, run.review_queue(), found.findings, found.evidence, "20240101"
+        run.entity_risk, entities, run.contributions, review_queue(spark, sf_dir), found.findings, found.evidence, "20240101"
     )
     return result.withColumns({name: F.to_json(name) for name in ("dimensions", "risk_contributions")})
 
