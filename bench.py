@@ -55,7 +55,7 @@ def main() -> None:
     run("benchmark_table", lambda: peers.benchmark_table(entities))
     run("anomaly_findings", lambda: forest.anomaly_detection(entities).findings)
     timed("stage_findings", lambda: queries.detection(spark, sf_dir))
-    run("signals", lambda: queries.risk(spark, sf_dir).signals)
+    timed("stage_risk", lambda: queries.risk(spark, sf_dir))
     run("risk_contributions", lambda: queries.risk(spark, sf_dir).contributions)
     run("entity_risk", lambda: queries.risk(spark, sf_dir).entity_risk)
     run("review_queue", lambda: queries.review_queue(spark, sf_dir))

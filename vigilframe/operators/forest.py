@@ -20,6 +20,7 @@ from vigilframe.operators.ordering import exact_medians, global_rank, order_stat
 FEATURES = catalog.ANOMALY_FEATURES
 NODE_SCHEMA = "tree int, node int, feature int, cut double, low int, high int, depth double"
 EULER = 0.5772156649015329
+TREES_PER_TASK = 8
 
 
 def column_profile(entities: DataFrame) -> DataFrame:
@@ -86,6 +87,8 @@ def sample_trees(matrix: DataFrame, trees: int, size: int, seed: int) -> DataFra
         .withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
         .withColumn("_draw", _uniform(seed, F.col("tree"), F.col("entity_id")))
         .filter(F.col("_draw") < F.col("_chance"))
+        # A stated number of partitions, because growing trees is work that data sizes do not show.
+        .repartition(max(1, trees // TREES_PER_TASK), "tree")
     )
     return first_rows(drawn, ["tree"], ["_draw", "entity_id"], size).drop("_chance", "_draw")
 

@@ -75,11 +75,16 @@ class RiskRun(NamedTuple):
     review_queue: Callable[[], DataFrame]
 
 
-def assess_risk(entities: DataFrame, findings: DataFrame, evidence: DataFrame) -> RiskRun:
-    """All risk tables from entity features and findings. Ranking the queue stages it, so it is left to a call."""
-    signal_rows = signals.signals(findings, entities)
-    groups = signals.correlation_groups(signal_rows)
-    assessment = scoring.assess_entities(entities, findings, groups)
+def assess_risk(entities: DataFrame, findings: DataFrame, evidence: DataFrame, staged: bool = False) -> RiskRun:
+    """All risk tables from entity features and findings. Ranking the queue stages it, so it is left to a call.
+
+    Several tables start from the signals, groups and assessments. With ``staged`` these are written once, so that
+    the findings are not read again for each of them.
+    """
+    keep = session.stage if staged else (lambda frame: frame)
+    signal_rows = keep(signals.signals(findings, entities))
+    groups = keep(signals.correlation_groups(signal_rows))
+    assessment = keep(scoring.assess_entities(entities, findings, groups))
     return RiskRun(
         signals=signal_rows,
         groups=groups,

@@ -196,7 +196,7 @@ def run_risk(
 ) -> dict:
     """Assess risk from the published phases and publish risk, contributions, their findings and the review queue."""
     entities, detection, paths = load_upstream(spark, root, preferred)
-    run = analysis.assess_risk(entities, detection.findings, detection.evidence)
+    run = analysis.assess_risk(entities, detection.findings, detection.evidence, staged=True)
     counts = {row["source_phase"]: row["count"] for row in detection.findings.groupBy("source_phase").count().collect()}
     consumed = sorted(row["rule_id"] for row in detection.findings.select("rule_id").distinct().collect())
     tables = {

@@ -97,7 +97,7 @@ def detection(spark: SparkSession, sf_dir: str) -> Detection:
 @once
 def risk(spark: SparkSession, sf_dir: str) -> analysis.RiskRun:
     found = detection(spark, sf_dir)
-    return analysis.assess_risk(entity_table(spark, sf_dir), found.findings, found.evidence)
+    return analysis.assess_risk(entity_table(spark, sf_dir), found.findings, found.evidence, staged=True)
 
 
 @once
