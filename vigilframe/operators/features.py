@@ -6,7 +6,7 @@ share of all rows never lands in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from vigilframe import catalog
 from vigilframe.functions.measures import lookup, safe_rate, whole_days, whole_minutes, zero_if_null
@@ -47,6 +47,17 @@ def asset_alert_counts(alerts: DataFrame) -> DataFrame:
     )
 
 
+def trailing_sum(value: Column, window: WindowSpec, back: int, ahead: int = 0) -> Column:
+    """Sum over the range from ``back`` before to ``ahead`` after the current order value.
+
+    Taken as the difference of two sums from the start: Spark extends such a frame row by row, while it adds up a
+    frame with a moving start anew for every row.
+    """
+    upto = F.sum(value).over(window.rangeBetween(Window.unboundedPreceding, ahead))
+    before = F.sum(value).over(window.rangeBetween(Window.unboundedPreceding, -back - 1))
+    return F.coalesce(upto, F.lit(0)) - F.coalesce(before, F.lit(0))
+
+
 def sliced_alert_counts(alerts: DataFrame, days: int = catalog.RECENT_WINDOW_DAYS) -> DataFrame:
     """Alerts of the same asset within the ``days`` before each (asset_id, timestamp), both ends included.
 
@@ -66,11 +77,11 @@ def sliced_alert_counts(alerts: DataFrame, days: int = catalog.RECENT_WINDOW_DAY
         .withColumn("position", F.pmod(F.col("micros"), F.lit(width)))
         .withColumn("slice", F.floor((F.col("micros") - F.col("position")) / F.lit(width)).cast("long"))
     )
-    between = Window.partitionBy("asset_id").orderBy("slice").rangeBetween(-(WINDOW_SLICES - 1), -1)
+    by_slice = Window.partitionBy("asset_id").orderBy("slice")
     whole_slices = (
         moments.groupBy("asset_id", "slice")
         .agg(F.sum("alerts").alias("total"))
-        .select("asset_id", "slice", F.coalesce(F.sum("total").over(between), F.lit(0)).alias("whole"))
+        .select("asset_id", "slice", trailing_sum(F.col("total"), by_slice, WINDOW_SLICES - 1, -1).alias("whole"))
     )
     own = F.struct(F.col("slice"), F.col("alerts").alias("weight"), F.lit(True).alias("is_own"))
     edge = F.struct(
@@ -115,18 +126,15 @@ def alert_features(
     ]
 
     unassigned = F.concat(F.lit("\0"), F.pmod(F.xxhash64("id"), F.lit(UNASSIGNED_GROUPS)).cast("string"))
-    trailing = (
-        Window.partitionBy("_group")
-        .orderBy(F.unix_micros(F.col("timestamp").cast("timestamp")))
-        .rangeBetween(-days * 86_400_000_000, 0)
-    )
+    by_time = Window.partitionBy("_group").orderBy(F.unix_micros(F.col("timestamp").cast("timestamp")))
+    trailing = trailing_sum(F.lit(1).cast("long"), by_time, days * 86_400_000_000)
     countable = F.col("asset_id").isNotNull() & F.col("timestamp").isNotNull()
     usual = (
         flagged.join(busy, "asset_id", "left_anti")
         .withColumn("_group", F.coalesce("asset_id", unassigned))
         .withColumn(
             "asset_recent_alert_count",
-            F.when(countable, F.count(F.lit(1)).over(trailing)).otherwise(F.lit(0).cast("long")),
+            F.when(countable, trailing).otherwise(F.lit(0).cast("long")),
         )
         .join(per_asset.withColumnRenamed("asset_id", "_group"), "_group", "left")
     )
