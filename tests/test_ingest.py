@@ -48,6 +48,15 @@ def test_readers_by_suffix(spark, tmp_path):
         files.dataset_name("/x/other.csv")
 
 
+def test_csv_fields_may_span_lines(spark, tmp_path):
+    (tmp_path / "plain.csv").write_text('id,text\na,"say ""hi"", now"\nb,x\n')
+    (tmp_path / "broken.csv").write_text('id,text\na,"first\nsecond ""q"""\nb,x\n')
+    assert not files.spans_lines(spark, str(tmp_path / "plain.csv"))
+    assert files.spans_lines(spark, str(tmp_path / "broken.csv"))
+    assert values(files.read_table(spark, str(tmp_path / "plain.csv")), "id", "text") == [("a", 'say "hi", now'), ("b", "x")]
+    assert values(files.read_table(spark, str(tmp_path / "broken.csv")), "id", "text") == [("a", 'first\nsecond "q"'), ("b", "x")]
+
+
 def test_aliases_text_times_and_flags(spark):
     raw = spark.createDataFrame(
         [(" A1 ", "E1", "S1", "2024-01-02T03:04:05Z", " High", "EDR", "Open", "x"), ("A2", "E1", "S1", "not-a-date", "Low", "EDR", "Open", "x")],

@@ -95,9 +95,17 @@ def detect_format(path: str) -> str:
     return extension
 
 
+def spans_lines(spark: SparkSession, path: str) -> bool:
+    """Whether a quoted CSV field contains a line break: some line then has an odd number of quotes."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
+
+
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """Read one raw table by suffix. CSV columns stay text and are coerced when normalised.
 
+    A CSV file is split over tasks unless a quoted field spans lines, which only a whole-file parse reads right.
+
     A JSON document is one array of records and is parsed by one task per file; large submissions should come as
     Parquet or CSV, or as a directory of JSON files.
     """
@@ -106,7 +114,8 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
         raise ReadError(f"Input file not found: {posixpath.basename(path)}")
     try:
         if extension == ".csv":
-            return spark.read.csv(path, header=True, inferSchema=False, multiLine=False, escape='"', enforceSchema=False)
+            whole = spans_lines(spark, path)
+            return spark.read.csv(path, header=True, inferSchema=False, multiLine=whole, escape='"', enforceSchema=False)
         if extension == ".json":
             return spark.read.json(path, multiLine=True)
         return spark.read.parquet(path)
