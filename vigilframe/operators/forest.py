@@ -146,7 +146,8 @@ def isolation_scores(
         sample_trees(filled, trees, size, seed)
         .groupBy("tree")
         .applyInPandas(lambda rows: grow_tree(rows, seed), schema=NODE_SCHEMA)
-        .toPandas()
+        .toArrow()
+        .to_pandas()
         .sort_values(["tree", "node"])
     )
     spark = matrix.sparkSession
