@@ -31,16 +31,45 @@ def _type_issues(frame: DataFrame, dataset: str) -> DataFrame:
     return issue_frame(frame.sparkSession, rows)
 
 
-def _null_issues(frame: DataFrame, dataset: str) -> DataFrame:
-    names = [name for name in catalog.REQUIRED_COLUMNS[dataset] if name in frame.columns]
-    counts = frame.agg(*[F.count_if(F.col(name).isNull()).alias(name) for name in names])
-    return issues_from_counts(
-        counts,
-        [
-            (name, dataset, name, "REQUIRED_NULL", f"{{count}} null value(s) in required field {name}")
-            for name in names
-        ],
-    )
+Check = tuple[str, Column, tuple[str, str, str, str]]
+
+
+def _null_checks(frame: DataFrame, dataset: str) -> list[Check]:
+    return [
+        (
+            f"null_{name}", F.col(name).isNull(),
+            (dataset, name, "REQUIRED_NULL", f"{{count}} null value(s) in required field {name}"),
+        )
+        for name in catalog.REQUIRED_COLUMNS[dataset]
+        if name in frame.columns
+    ]
+
+
+def _time_checks(dataset: str) -> list[Check]:
+    """Order of the timestamps inside one row."""
+    kind = "IMPOSSIBLE_TIMESTAMP"
+    closed = F.col("closed_at")
+    if dataset == "alerts":
+        at, acknowledged = F.col("timestamp"), F.col("acknowledged_at")
+        return [
+            ("acknowledged_early", acknowledged < at,
+             ("alerts", "acknowledged_at", kind, "{count} acknowledgement timestamp(s) precede the alert")),
+            ("closed_early", closed < at, ("alerts", "closed_at", kind, "{count} closure timestamp(s) precede the alert")),
+            ("closed_unacknowledged", closed < acknowledged,
+             ("alerts", "closed_at", kind, "{count} closure timestamp(s) precede acknowledgement")),
+        ]
+    if dataset == "cases":
+        return [
+            ("closed_early", closed < F.col("opened_at"),
+             ("cases", "closed_at", kind, "{count} case closure timestamp(s) precede opening")),
+        ]
+    return []
+
+
+def _row_issues(frame: DataFrame, checks: list[Check]) -> DataFrame:
+    """All checks that look at single rows, counted in one pass."""
+    counts = frame.agg(*[F.count_if(test).alias(name) for name, test, _ in checks])
+    return issues_from_counts(counts, [(name, *spec) for name, _, spec in checks])
 
 
 def _duplicate_issues(frame: DataFrame, dataset: str) -> DataFrame:
@@ -77,9 +106,10 @@ def _category_issues(frame: DataFrame, dataset: str) -> DataFrame | None:
     )
 
 
-def frame_issues(frame: DataFrame, dataset: str) -> DataFrame:
-    """Nulls, types, uniqueness and categories of one table."""
-    parts = [_null_issues(frame, dataset), _type_issues(frame, dataset)]
+def frame_issues(frame: DataFrame, dataset: str, times: bool = False) -> DataFrame:
+    """Nulls, types, uniqueness and categories of one table; with ``times`` also the order of a row's timestamps."""
+    checks = _null_checks(frame, dataset) + (_time_checks(dataset) if times else [])
+    parts = [_row_issues(frame, checks), _type_issues(frame, dataset)]
     if "id" in frame.columns:
         parts.append(_duplicate_issues(frame, dataset))
     categories = _category_issues(frame, dataset)
@@ -187,42 +217,12 @@ def reference_issues(bundle: Bundle) -> DataFrame:
     return union_all(parts)
 
 
-def _alert_times(alerts: DataFrame) -> DataFrame:
-    at, acknowledged, closed = F.col("timestamp"), F.col("acknowledged_at"), F.col("closed_at")
-    counts = alerts.agg(
-        F.count_if(acknowledged < at).alias("acknowledged_early"),
-        F.count_if(closed < at).alias("closed_early"),
-        F.count_if(closed < acknowledged).alias("closed_unacknowledged"),
-    )
-    kind = "IMPOSSIBLE_TIMESTAMP"
-    return issues_from_counts(
-        counts,
-        [
-            ("acknowledged_early", "alerts", "acknowledged_at", kind,
-             "{count} acknowledgement timestamp(s) precede the alert"),
-            ("closed_early", "alerts", "closed_at", kind, "{count} closure timestamp(s) precede the alert"),
-            ("closed_unacknowledged", "alerts", "closed_at", kind,
-             "{count} closure timestamp(s) precede acknowledgement"),
-        ],
-    )
-
-
-def _case_times(cases: DataFrame) -> DataFrame:
-    counts = cases.agg(F.count_if(F.col("closed_at") < F.col("opened_at")).alias("closed_early"))
-    return issues_from_counts(
-        counts,
-        [("closed_early", "cases", "closed_at", "IMPOSSIBLE_TIMESTAMP",
-          "{count} case closure timestamp(s) precede opening")],
-    )
-
-
 def temporal_issues(bundle: Bundle) -> DataFrame:
     """Order of the lifecycle timestamps, within a table and across tables."""
     parts = [issue_frame(next(iter(bundle.values())).sparkSession, [])]
-    if "alerts" in bundle:
-        parts.append(_alert_times(bundle["alerts"]))
-    if "cases" in bundle:
-        parts.append(_case_times(bundle["cases"]))
+    for name in ("alerts", "cases"):
+        if name in bundle:
+            parts.append(_row_issues(bundle[name], _time_checks(name)))
     if _has(bundle, "alerts", "cases"):
         parts.append(issues_from_counts(_case_alert_join(bundle), CASE_TIMES))
     if _has(bundle, "cases", "escalations"):
@@ -231,16 +231,12 @@ def temporal_issues(bundle: Bundle) -> DataFrame:
 
 
 def bundle_issues(bundle: Bundle) -> DataFrame:
-    """Every check on whatever tables are present. Cross-table joins run once for references and times."""
-    parts = [frame_issues(frame, name) for name, frame in bundle.items()]
+    """Every check on whatever tables are present, with one pass for row checks and one join per pair of tables."""
+    parts = [frame_issues(frame, name, times=True) for name, frame in bundle.items()]
     if "entities" in bundle and len(bundle) > 1:
         parts.append(_orphan_entities(bundle))
     if _has(bundle, "assets", "alerts"):
         parts.append(_asset_references(bundle))
-    if "alerts" in bundle:
-        parts.append(_alert_times(bundle["alerts"]))
-    if "cases" in bundle:
-        parts.append(_case_times(bundle["cases"]))
     if _has(bundle, "alerts", "cases"):
         parts.append(issues_from_counts(_case_alert_join(bundle), CASE_REFERENCES + CASE_TIMES))
     if _has(bundle, "cases", "escalations"):
