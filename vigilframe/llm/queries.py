@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from vigilframe import session
+from vigilframe.llm import fingerprints, mixing, shards, simhash
 from vigilframe.llm.common import table
 from vigilframe.llm.token_counts import token_counts
 from vigilframe.llm.token_output import token_output
@@ -28,6 +31,61 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), END_ID)
 
 
+@register
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, distance=3)
+    return found.select("doc_id", simhash.fingerprint_text(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@register
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    maps = f"{session.checkpoint_dir(spark)}/slot-map-{uuid.uuid4().hex}"
+    placed = shards.shard_table(table(spark, sf_dir, "documents"), 16, maps)
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot",
+    )
+
+
+@register
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixing.measured(table(spark, sf_dir, "documents"))
+    plan = mixing.plan_mix(rows, mixing.source_rates(rows, weights=(5, 2, 1), share=1.5, most=2.0))
+    return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+ORACLE["op5_mixing"] = """
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size, md5(coalesce(text, '')) AS digest FROM documents
+), totals AS (
+  SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source
+), weighed AS (
+  SELECT *, ([5.0, 2.0, 1.0]::DOUBLE[])[1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight, 2.0 * source_size AS cap FROM totals
+), levels AS (
+  SELECT *, cap::DOUBLE / weight AS ratio FROM weighed
+), filled AS (
+  SELECT *, (1.5::DOUBLE * sum(source_size) OVER ()
+    - coalesce(sum(cap::DOUBLE) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(weight) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM levels
+), settled AS (
+  SELECT *, min(CASE WHEN level <= ratio THEN level END) OVER () AS least_level,
+    first(level) OVER (ORDER BY CASE WHEN level <= ratio THEN 0 ELSE 1 END, ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS found,
+    bool_or(level <= ratio) OVER () AS any_found FROM filled
+), rates AS (
+  SELECT source, source_size, CASE WHEN any_found THEN least(cap::DOUBLE, weight * found) ELSE cap::DOUBLE END AS target FROM settled
+), rated AS (
+  SELECT s.doc_id, s.size, r.source_size, r.target, CASE WHEN r.source_size > 0 THEN r.target / r.source_size ELSE 0 END AS rate,
+    ('0x' || substr(md5('mix|' || coalesce(s.doc_id::VARCHAR, '') || '|' || s.digest), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS drawn
+  FROM sized s JOIN rates r ON s.source IS NOT DISTINCT FROM r.source
+)
+SELECT doc_id, size::BIGINT AS size, source_size, target, (size * (floor(rate) + CASE WHEN drawn < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken FROM rated
+"""
+
+
 @register
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
+@register
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
