@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vigilframe import session
-from vigilframe.llm import fingerprints, mixing, shards, simhash
+from vigilframe.llm import fingerprints, mixing, shards, simhash, warc
 from vigilframe.llm.common import table
 from vigilframe.llm.token_counts import token_counts
 from vigilframe.llm.token_output import token_output
@@ -86,6 +86,13 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+@register
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{session.checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_archives(table(spark, sf_dir, "pages"), folder, least_bytes=0)
+    return warc.archived_pages(spark, folder)
+
+
 @register
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
