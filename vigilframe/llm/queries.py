@@ -9,8 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vigilframe import session
-from vigilframe.llm import fingerprints, mixing, shards, simhash, warc
-from vigilframe.llm.common import table
+from vigilframe.llm import decontaminate, fingerprints, language, mixing, quality, shards, simhash, warc
+from vigilframe.llm.common import id_fold, table
 from vigilframe.llm.token_counts import token_counts
 from vigilframe.llm.token_output import token_output
 
@@ -19,6 +19,8 @@ ORACLE: dict[str, str] = {}
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
+#: Labels of rows in fold 0 are never learned from; documents that score less are rejected.
+QUALITY_FOLDS, QUALITY_LEAST = 5, 0.3
 
 
 def register(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -46,6 +48,14 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.train(docs, id_fold(F.col("doc_id"), 3) != 1)
+    held_out = F.coalesce(id_fold(F.col("doc_id"), 3) == 1, F.lit(False))
+    return language.languages(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 @register
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.measured(table(spark, sf_dir, "documents"))
@@ -81,11 +91,25 @@ SELECT doc_id, size::BIGINT AS size, source_size, target, (size * (floor(rate) +
 """
 
 
+@register
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.train(docs, quality.learning_labels(labels, id_fold(F.col("doc_id"), QUALITY_FOLDS) != 0))
+    scored = quality.quality_scores(docs.select("doc_id", "text"), model)
+    held_out = F.coalesce(id_fold(F.col("doc_id"), QUALITY_FOLDS) == 0, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= QUALITY_LEAST).cast("int").alias("predicted"))
+
+
 @register
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+@register
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @register
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{session.checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
