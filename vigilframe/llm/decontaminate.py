@@ -1,7 +1,7 @@
 """Benchmark decontamination by templates: texts are compared with numbers, names and units replaced by what they are.
 
 A text becomes a sequence of canonical tokens. A number is <num>, a number with a unit <qty>, a run of capitalised words
-that does not begin a sentence <name>; other words are lower-cased and lose the signs around them. Windows of WINDOW
+that does not begin a sentence or line <name>; other words are lower-cased and lose the signs around them. Windows of WINDOW
 tokens of all documents meet the benchmark's windows in a hash join on the window's text. Windows of a document that
 stand as far from an item's windows as each other form an alignment; an alignment is a match if it covers enough of the
 item's windows and if every slot value of the item has one value in the document throughout, and the other way round. So
@@ -59,7 +59,8 @@ def canonical_word(word: str) -> tuple[str, int, bool, bool]:
             return lower, QUANTITY, False, ends
     if not any(sign.isalnum() for sign in core):
         return ("", UNIT, False, ends) if core in _UNITS else ("", NOTHING, False, ends)
-    return lower, WORD, core[0].isupper(), ends
+    # words in capitals throughout are shouted or short forms, and stay words
+    return lower, WORD, core[0].isupper() and any(sign.islower() for sign in core), ends
 
 
 class Canonicaliser:
@@ -82,7 +83,10 @@ class Canonicaliser:
 
     def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray, list[str]]:
         """(kinds, hashes, literals) of the text's canonical tokens."""
-        words = text.split()
+        words, lines = [], []
+        for line in text.split("\n"):
+            lines.append(len(words))
+            words.extend(line.split())
         if len(self.number) > KEPT_WORDS:
             self.clear()
         fresh = set(words).difference(self.number)
@@ -100,6 +104,7 @@ class Canonicaliser:
         kinds, proper, ends, unit = flags[:, 0].copy(), flags[:, 1].astype(bool), flags[:, 2].astype(bool), flags[:, 3].astype(bool)
         starts = np.ones(len(words), dtype=bool)
         starts[1:] = ends[:-1]
+        starts[[place for place in lines if place < len(words)]] = True
         kinds[proper & ~starts] = NAME
         there = np.flatnonzero(kinds != NOTHING)  # signs alone are no tokens
         kinds, hashes, places, unit, ends = kinds[there], hashes[there], places[there], unit[there], ends[there]

@@ -46,21 +46,19 @@ def text_fingerprint(text: bytes, shingle: int) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, fp): the fingerprint of every whole text as a signed 64-bit integer.
+    """(doc_id, fp, text_hash): the fingerprint of every whole text as a signed 64-bit integer, and a hash of the text.
 
     A-Z are lower-cased, words are runs without ASCII white space, shingles count as often as they come. A text of
     fewer words than a shingle is one shingle of all of them; null, empty and blank texts have fingerprint 0.
     """
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.fromiter(
-                (text_fingerprint(text.as_buffer().to_pybytes() if text.is_valid else b"", shingle) for text in batch.column(1)),
-                dtype=np.uint64, count=batch.num_rows,
-            )
-            yield pa.record_batch([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            found = np.fromiter((text_fingerprint(text.as_py() or b"", shingle) for text in batch.column(2)), dtype=np.uint64, count=batch.num_rows)
+            yield pa.record_batch([batch.column(0), pa.array(found.view(np.int64)), batch.column(1)], names=["doc_id", "fp", "text_hash"])
 
-    read = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("binary").alias("text"))
-    return read.mapInArrow(compute, "doc_id long, fp long")
+    text = F.col(text_column).cast("binary")
+    read = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    return read.mapInArrow(compute, "doc_id long, fp long, text_hash long")
 
 
 def block_masks(blocks: int) -> list[int]:
@@ -136,7 +134,9 @@ def fingerprint_links(distinct: DataFrame, distance: int = 3, blocks: int = BLOC
 def near_duplicates(
     docs: DataFrame, shingle: int = 3, distance: int = 3, blocks: int = BLOCKS, id_column: str = "doc_id", text_column: str = "text",
 ) -> DataFrame:
-    """(doc_id, fp, component_id): component_id is the smallest id that links of at most ``distance`` bits reach.
+    """(doc_id, text_hash, fp, root, component_id): component_id is the smallest id that links of at most ``distance`` bits reach.
+
+    ``root``, the least fingerprint of a component, tells components apart where ids are null.
 
     Every row of ``docs`` has a row here, repeated rows too; null ids are no candidates for component_id unless the
     component has no other; an empty table gives an empty result; other columns of ``docs`` are not read.
@@ -146,8 +146,25 @@ def near_duplicates(
     roots = stage(connected_components(stage(fingerprint_links(distinct, distance, blocks))))
     placed = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = stage(placed.join(least, "root").select("fp", "component_id"))
-    return marked.join(classes, "fp").select("doc_id", "fp", "component_id")
+    classes = stage(placed.join(least, "root").select("fp", "root", "component_id"))
+    return marked.join(classes, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
+
+
+def without_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3, blocks: int = BLOCKS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """``docs`` with one row of each component: the smallest id's (null ids last), of that the least text hash.
+
+    Rows that repeat id and text are one document and leave one row. Other columns pass unread.
+    """
+    found = near_duplicates(docs, shingle, distance, blocks, id_column, text_column)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "text_hash")).alias("kept")
+    kept = stage(found.groupBy("root").agg(first).select(
+        F.coalesce("kept.doc_id", F.lit(0)).alias("_kept_id"), F.col("kept.without").alias("_kept_null"), F.col("kept.text_hash").alias("_kept_hash")))
+    doc_id = F.col(id_column).cast("long")
+    named = docs.withColumns({
+        "_kept_id": F.coalesce(doc_id, F.lit(0)), "_kept_null": doc_id.isNull(), "_kept_hash": F.xxhash64(F.col(text_column).cast("binary")),
+    })
+    keys = ["_kept_id", "_kept_null", "_kept_hash"]
+    return named.join(kept, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
 
 
 def fingerprint_text(fp: Column) -> Column:
