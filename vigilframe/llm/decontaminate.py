@@ -6,6 +6,8 @@ tokens of all documents meet the benchmark's windows in a hash join on the windo
 stand as far from an item's windows as each other form an alignment; an alignment is a match if it covers enough of the
 item's windows and if every slot value of the item has one value in the document throughout, and the other way round. So
 a copy matches, and a question asked again with other numbers or names too, but not tokens that happen to stand alike.
+Where capitals were changed names can't be told, so a second form of every text, with names as plain words, is
+compared in the same way, and the better of the two counts.
 """
 
 from __future__ import annotations
@@ -40,6 +42,7 @@ UNITS = (
 _UNITS = frozenset(UNITS.split())
 _QUANTITY = re.compile(r"^([$€£]?)[+-]?\d[\d.,:/]*([^\W\d_]+|[%°$€£])?$")
 WORD, NUMBER, QUANTITY, UNIT, NAME, NOTHING = range(6)
+NAMES_TYPED, NAMES_AS_WORDS = 0, 1
 PLACEHOLDER = {NUMBER: "<num>", QUANTITY: "<qty>", NAME: "<name>"}
 
 
@@ -81,8 +84,15 @@ class Canonicaliser:
         self.literals.append(literal)
         self.flags.append((kind, proper, ends, literal in _UNITS))
 
-    def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray, list[str]]:
-        """(kinds, hashes, literals) of the text's canonical tokens."""
+    def forms(self, text: str) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[str]]]:
+        """(form, kinds, hashes, literals) of the text's canonical tokens: names typed, and names as words like others."""
+        read = self.read(text)
+        yield NAMES_TYPED, *self.tokens(*read)
+        if len(read[0]):
+            yield NAMES_AS_WORDS, *self.tokens(read[0], np.zeros(len(read[0]), dtype=bool))
+
+    def read(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of the words, which of them may be names)."""
         words, lines = [], []
         for line in text.split("\n"):
             lines.append(len(words))
@@ -100,12 +110,17 @@ class Canonicaliser:
             hashes = np.fromiter((xxh64_intdigest(one) for one in self.literals[known:]), dtype=np.uint64)
             self.arrays = (flags, hashes) if not known else (np.concatenate((self.arrays[0], flags)), np.concatenate((self.arrays[1], hashes)))
         places = np.fromiter(map(self.number.__getitem__, words), dtype=np.int64, count=len(words))
-        flags, hashes = self.arrays[0][places], self.arrays[1][places]
-        kinds, proper, ends, unit = flags[:, 0].copy(), flags[:, 1].astype(bool), flags[:, 2].astype(bool), flags[:, 3].astype(bool)
+        flags = self.arrays[0][places]
         starts = np.ones(len(words), dtype=bool)
-        starts[1:] = ends[:-1]
+        starts[1:] = flags[:-1, 2]
         starts[[place for place in lines if place < len(words)]] = True
-        kinds[proper & ~starts] = NAME
+        return places, flags[:, 1].astype(bool) & ~starts
+
+    def tokens(self, places: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """(kinds, hashes, literals) of the canonical tokens."""
+        flags, hashes = self.arrays[0][places], self.arrays[1][places]
+        kinds, ends, unit = flags[:, 0].copy(), flags[:, 2].astype(bool), flags[:, 3].astype(bool)
+        kinds[names] = NAME
         there = np.flatnonzero(kinds != NOTHING)  # signs alone are no tokens
         kinds, hashes, places, unit, ends = kinds[there], hashes[there], places[there], unit[there], ends[there]
         before = np.full(len(kinds), NOTHING, dtype=np.uint8)
@@ -154,8 +169,8 @@ def in_filter(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return ((bits[first >> np.uint64(3)] >> (first & np.uint64(7)).astype(np.uint8)) & (bits[second >> np.uint64(3)] >> (second & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
 
 
-_WINDOWS = pa.schema([("id", pa.int64()), ("size", pa.int32()), ("place", pa.int32()), ("template", pa.string()), ("slots", pa.list_(pa.string()))])
-WINDOW_SCHEMA = "id long, size int, place int, template string, slots array<string>"
+_WINDOWS = pa.schema([("id", pa.int64()), ("form", pa.int32()), ("size", pa.int32()), ("place", pa.int32()), ("template", pa.string()), ("slots", pa.list_(pa.string()))])
+WINDOW_SCHEMA = "id long, form int, size int, place int, template string, slots array<string>"
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -165,12 +180,14 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, id_column: str = "item_id", text_column: str = "text") -> DataFrame:
     """Windows of every item; an item of fewer tokens than a window, but at least LEAST, is one window."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forms = Canonicaliser()
+        canonical = Canonicaliser()
         for batch in batches:
             for item, text in zip(*batch.columns, strict=True):
-                kinds, hashes, literals = forms.tokens(text.as_py() or "")
-                size = min(window, len(kinds))
-                rows = [(item.as_py(), size, *one) for one in windows_of(kinds, hashes, literals, size, None)] if size >= LEAST else []
+                rows = []
+                for form, kinds, hashes, literals in canonical.forms(text.as_py() or ""):
+                    size = min(window, len(kinds))
+                    if size >= LEAST:
+                        rows.extend((item.as_py(), form, size, *one) for one in windows_of(kinds, hashes, literals, size, None))
                 if rows:
                     yield _rows(rows)
 
@@ -206,17 +223,17 @@ def window_filter(items: DataFrame) -> tuple[np.ndarray, list[int]]:
 def document_windows(docs: DataFrame, bits: np.ndarray, sizes: list[int], id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Windows of every whole text that the filter lets pass."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)
-    forms: list[Canonicaliser] = []
+    canonical: list[Canonicaliser] = []
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not forms:
-            forms.append(Canonicaliser())
+        if not canonical:
+            canonical.append(Canonicaliser())
         for batch in batches:
             rows = []
             for doc_id, text in zip(*batch.columns, strict=True):
-                kinds, hashes, literals = forms[0].tokens(text.as_py() or "")
-                for size in sizes:
-                    rows.extend((doc_id.as_py(), size, *one) for one in windows_of(kinds, hashes, literals, size, shared.value))
+                for form, kinds, hashes, literals in canonical[0].forms(text.as_py() or ""):
+                    for size in sizes:
+                        rows.extend((doc_id.as_py(), form, size, *one) for one in windows_of(kinds, hashes, literals, size, shared.value))
                 if len(rows) > 10_000:
                     yield _rows(rows)
                     rows = []
@@ -233,27 +250,30 @@ def matches(
 ) -> DataFrame:
     """(doc_id, item_id, matched_windows, item_windows, coverage, changed_slots) of each document and item that match.
 
-    The best alignment of a pair is returned; changed_slots counts the slot values that differ, 0 for a copy. Null and
+    The best alignment of a pair, in either form, is returned; changed_slots counts the slot values that differ, 0 for a copy. Null and
     empty texts and items of fewer than LEAST tokens match nothing; rows that repeat an id are taken as one document; a
     null id is an id; an empty table on either side gives an empty result; other columns are not read.
     """
     items = stage(benchmark_windows(benchmark, window, item_column, item_text).withColumnRenamed("id", "item_id"))
     bits, sizes = window_filter(items)
     found = document_windows(docs, bits, sizes, id_column, text_column)
-    item_sizes = items.groupBy("item_id").agg(F.count(F.lit(1)).alias("item_windows"))
-    named = items.select("item_id", "size", F.col("place").alias("item_place"), "template", F.col("slots").alias("item_slots"))
-    met = stage(found.join(named, ["size", "template"]).select(
-        F.col("id").alias("doc_id"), "item_id", (F.col("place") - F.col("item_place")).alias("shift"), "item_place", "item_slots", "slots"))
-    at = ["doc_id", "item_id", "shift"]
+    item_sizes = items.groupBy("item_id", "form").agg(F.count(F.lit(1)).alias("item_windows"))
+    named = items.select("item_id", "form", "size", F.col("place").alias("item_place"), "template", F.col("slots").alias("item_slots"))
+    met = stage(found.join(named, ["form", "size", "template"]).select(
+        F.col("id").alias("doc_id"), "item_id", "form", (F.col("place") - F.col("item_place")).alias("shift"), "item_place", "item_slots", "slots"))
+    at = ["doc_id", "item_id", "form", "shift"]
     counted = met.groupBy(*at).agg(F.countDistinct("item_place").alias("matched_windows"))
     slots = met.select(*at, F.explode(F.arrays_zip("item_slots", "slots")).alias("pair")).select(*at, F.col("pair.item_slots").alias("theirs"), F.col("pair.slots").alias("ours")).distinct()
     one_way = slots.groupBy(*at, "theirs").agg(F.count(F.lit(1)).alias("n"), F.max((F.col("theirs") != F.col("ours")).cast("int")).alias("differs"))
     other_way = slots.groupBy(*at, "ours").agg(F.count(F.lit(1)).alias("n"), F.lit(0).alias("differs"))
     consistent = one_way.drop("theirs").unionByName(other_way.drop("ours")).groupBy(*at).agg(F.max("n").alias("most"), F.sum("differs").cast("long").alias("changed"))
-    same = [counted[name].eqNullSafe(consistent[name]) for name in at]
-    judged = counted.join(consistent, same[0] & same[1] & same[2], "left").select(
-        *[counted[name] for name in at], "matched_windows", F.coalesce("most", F.lit(1)).alias("most"), F.coalesce("changed", F.lit(0)).cast("long").alias("changed_slots"))
-    sized = judged.join(item_sizes.withColumnRenamed("item_id", "of"), F.col("item_id").eqNullSafe(F.col("of"))).withColumn("coverage", F.col("matched_windows") / F.col("item_windows"))
+    facts = consistent.select(*[F.col(name).alias(f"at_{name}") for name in at], "most", "changed")
+    here = F.lit(True)
+    for name in at:
+        here = here & F.col(name).eqNullSafe(F.col(f"at_{name}"))
+    judged = counted.join(facts, here, "left").select(*at, "matched_windows", F.coalesce("most", F.lit(1)).alias("most"), F.coalesce("changed", F.lit(0)).cast("long").alias("changed_slots"))
+    named = item_sizes.select(F.col("item_id").alias("of"), F.col("form").alias("of_form"), "item_windows")
+    sized = judged.join(named, F.col("item_id").eqNullSafe(F.col("of")) & (F.col("form") == F.col("of_form"))).withColumn("coverage", F.col("matched_windows") / F.col("item_windows"))
     kept = sized.where((F.col("coverage") >= coverage) & (F.col("most") == 1))
-    best = kept.groupBy("doc_id", "item_id").agg(F.max(F.struct("matched_windows", (-F.col("changed_slots")).alias("unchanged"), "item_windows", "coverage")).alias("best"))
+    best = kept.groupBy("doc_id", "item_id").agg(F.max(F.struct("coverage", "matched_windows", (-F.col("changed_slots")).alias("unchanged"), "item_windows")).alias("best"))
     return best.select("doc_id", "item_id", "best.matched_windows", "best.item_windows", "best.coverage", (-F.col("best.unchanged")).alias("changed_slots"))

@@ -164,7 +164,8 @@ def sampled_texts(docs: DataFrame, learns: Column, rows: int, id_column: str = "
     Every language gets an equal share; ids are chosen by a hash, so each run learns from the same rows. Rows that do
     not learn, and null languages, ids or texts, are not looked at. Only counts of a fixed length reach the driver.
     """
-    known = docs.where(F.coalesce(learns, F.lit(False)) & F.col(language_column).isNotNull()).select(
+    complete = F.col(language_column).isNotNull() & F.col(id_column).isNotNull() & F.col(text_column).isNotNull()
+    known = docs.where(F.coalesce(learns, F.lit(False)) & complete).select(
         F.col(id_column).cast("long").alias("doc_id"), F.col(language_column).cast("string").alias("lang"), F.col(text_column).cast("string").alias("text"))
     totals = {row[0]: row[1] for row in known.groupBy("lang").count().collect()}
     if not totals:

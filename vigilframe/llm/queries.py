@@ -117,6 +117,21 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived_pages(spark, folder)
 
 
+ORACLE["op9_warc"] = """
+WITH payloads AS (
+  SELECT page_id, coalesce(html, '') AS html FROM pages
+), hashed AS (
+  SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS hex, min(page_id) OVER (PARTITION BY html) AS first_id FROM payloads
+)
+SELECT page_id, payload_bytes,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + ((('0x' || substr(hex, 1 + 10 * (i // 8)::INT, 10))::BIGINT >> (35 - 5 * (i % 8))::INT) & 31)::INT, 1) FOR i IN range(32)], '') AS payload_digest,
+  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to
+FROM hashed
+"""
+
+
 @register
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
