@@ -13,12 +13,15 @@ import os
 from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
+import numpy as np
+import pyarrow as pa
+
 #: Bytes of text whose pieces are looked up together.
 RUN_BYTES = 1 << 20
 #: Bytes of pieces that go to the library in one batch.
 BATCH_BYTES = 1 << 18
 #: Pieces in a generation of those kept.
-KEPT_PIECES = 400_000
+KEPT_PIECES = 250_000
 
 
 def drops_white_space(path: str) -> bool:
@@ -48,10 +51,29 @@ def cut_at_space(text: bytes, limit: int) -> Iterator[bytes]:
     yield text[start:]
 
 
+def lengths(ids: np.ndarray, ends: np.ndarray) -> list[int]:
+    """How many ids each piece has; ``ends`` says where each piece's ids end."""
+    return np.diff(ends, prepend=0).tolist()
+
+
+def id_bytes(ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """The ids of each piece as little-endian 32-bit numbers."""
+    raw, stops = ids.astype("<u4").tobytes(), (4 * ends).tolist()
+    return [raw[start:stop] for start, stop in zip([0, *stops], stops, strict=False)]
+
+
+def _one_word(piece: bytes) -> bool:
+    """True for Latin letters alone, which stay single letters in lower case and in normal form."""
+    if piece.isalpha():
+        return True
+    text = piece.decode("utf-8", "replace")
+    return text.isalpha() and max(text) < "\u0250" and "\u0130" not in text
+
+
 class PieceEncoder:
-    """Looks up ``value(ids)`` of pieces; ``value`` gets the ids that the library returns for a piece."""
+    """Looks up ``value`` of pieces: ``lengths`` or ``id_bytes`` of the ids that the library returns for them."""
 
-    def __init__(self, path: str, value: Callable[[list[int]], object]):
+    def __init__(self, path: str, value: Callable[[np.ndarray, np.ndarray], list]):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task's core is all it may use
@@ -60,6 +82,13 @@ class PieceEncoder:
         self.library.no_padding()
         self.by_piece = drops_white_space(path)
         self.value, self.young, self.old = value, {}, {}
+        suffix = getattr(self.library.model, "end_of_word_suffix", None)
+        #: True for ids that end a word of the tokenizer, if it marks words' ends
+        self.ends_word = None
+        if suffix and self.by_piece:
+            self.ends_word = np.zeros(self.library.get_vocab_size(), dtype=bool)
+            for token, number in self.library.get_vocab().items():
+                self.ends_word[number] = token.endswith(suffix)
 
     def split(self, text: bytes) -> list[bytes]:
         return text.split() if self.by_piece else [text]
@@ -86,11 +115,37 @@ class PieceEncoder:
         return young
 
     def encode(self, batch: list[bytes]) -> None:
-        found = self.library.encode_batch_fast([piece.decode("utf-8", "replace") for piece in batch], add_special_tokens=False)
-        value = self.value
-        self.young.update((piece, value(one.ids)) for piece, one in zip(batch, found, strict=True))
-        if not self.by_piece:  # whole texts do not come again often enough to be kept
-            self.old = {}
+        """Pieces that are one word, or one and a stop, go as one text whose words' ends are counted; others go one by one."""
+        joined, words, single = [], [], batch
+        if self.ends_word is not None:
+            single = []
+            for piece in batch:
+                stop = piece[-1:] in (b".", b",")
+                if _one_word(piece[:-1] if stop else piece):
+                    joined.append(piece)
+                    words.append(1 + stop)
+                else:
+                    single.append(piece)
+        if joined:
+            ids = np.array(self.library.encode_batch_fast([b" ".join(joined).decode()], add_special_tokens=False)[0].ids, dtype=np.int64)
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            last = np.cumsum(words) - 1
+            if len(ends) == last[-1] + 1 and ends[-1] == len(ids):
+                self.young.update(zip(joined, self.value(ids, ends[last]), strict=True))
+            else:
+                single = batch
+        if single:
+            found = self.library.encode_batch_fast([piece.decode("utf-8", "replace") for piece in single], add_special_tokens=False)
+            parts = [one.ids for one in found]
+            ids = np.array(list(chain.from_iterable(parts)), dtype=np.int64)
+            self.young.update(zip(single, self.value(ids, np.cumsum([len(one) for one in parts])), strict=True))
+
+
+def row_slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Arrow's batches in slices of few rows, so that only those stand twice in memory, in Arrow and in Python."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
 
 
 def runs(texts: list[bytes | None], encoder: PieceEncoder) -> Iterator[list[tuple[int, list[bytes]]]]:

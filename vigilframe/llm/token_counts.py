@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from vigilframe.llm.encoding import PieceEncoder, runs
+from vigilframe.llm.encoding import PieceEncoder, lengths, row_slices, runs
 
 _ENCODERS: dict[str, PieceEncoder] = {}
 
@@ -21,11 +21,11 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048, id_column:
     result; other columns of ``docs`` are not read. Texts of any length are cut at safe boundaries, so a task holds
     a bounded run of pieces besides the rows that Arrow hands it.
     """
-    def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer not in _ENCODERS:
-            _ENCODERS[tokenizer] = PieceEncoder(tokenizer, len)
+            _ENCODERS[tokenizer] = PieceEncoder(tokenizer, lengths)
         encoder = _ENCODERS[tokenizer]
-        for batch in batches:
+        for batch in row_slices(batches):
             texts = batch.column(1).to_pylist()
             tokens = np.zeros(len(texts), dtype=np.int64)
             for run in runs(texts, encoder):
@@ -36,5 +36,5 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048, id_column:
             yield pa.record_batch([batch.column(0), pa.array(sizes), pa.array(tokens)], names=["doc_id", "n_bytes", "n_tokens"])
 
     read = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("binary").alias("text"))
-    counted = read.mapInArrow(lengths, "doc_id long, n_bytes long, n_tokens long")
+    counted = read.mapInArrow(count, "doc_id long, n_bytes long, n_tokens long")
     return counted.withColumn("over_limit", F.col("n_tokens") > F.lit(limit))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from vigilframe import session
 from vigilframe.llm import simple8b
 from vigilframe.llm.common import running_offsets
-from vigilframe.llm.encoding import PieceEncoder, runs
+from vigilframe.llm.encoding import PieceEncoder, id_bytes, row_slices, runs
 
 MAGIC, VERSION, END = b"S8B1", 1, "\x00S8B-END\n"
 #: A frame is closed when it holds this many ids; a longer document has a frame to itself.
@@ -35,10 +35,6 @@ FILE_FRAMES = 64
 _ENCODERS: dict[str, PieceEncoder] = {}
 
 
-def _ids_as_bytes(ids: list[int]) -> bytes:
-    return np.array(ids, dtype="<u4").tobytes()
-
-
 def frame(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
     words, offsets, escapes = simple8b.pack(ids.astype(np.uint64))
     body = b"".join((
@@ -86,10 +82,10 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, i
     """
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer not in _ENCODERS:
-            _ENCODERS[tokenizer] = PieceEncoder(tokenizer, _ids_as_bytes)
-        encoder, end = _ENCODERS[tokenizer], _ids_as_bytes([end_id])
+            _ENCODERS[tokenizer] = PieceEncoder(tokenizer, id_bytes)
+        encoder, end = _ENCODERS[tokenizer], np.array([end_id], "<u4").tobytes()
         doc_ids, lengths, coded, held = [], [], [], 0
-        for batch in batches:
+        for batch in row_slices(batches):
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             open_row, parts = 0, []
             for run in chain(runs(texts, encoder), [None]):
