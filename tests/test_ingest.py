@@ -51,12 +51,31 @@ def test_readers_by_suffix(spark, tmp_path):
 def test_csv_fields_may_span_lines(spark, tmp_path):
     (tmp_path / "plain.csv").write_text('id,text\na,"say ""hi"", now"\nb,x\n')
     (tmp_path / "broken.csv").write_text('id,text\na,"first\nsecond ""q"""\nb,x\n')
-    assert not files.spans_lines(spark, str(tmp_path / "plain.csv"))
-    assert files.spans_lines(spark, str(tmp_path / "broken.csv"))
     assert values(files.read_table(spark, str(tmp_path / "plain.csv")), "id", "text") == [("a", 'say "hi", now'), ("b", "x")]
     assert values(files.read_table(spark, str(tmp_path / "broken.csv")), "id", "text") == [("a", 'first\nsecond "q"'), ("b", "x")]
 
 
+def test_csv_rows_that_do_not_fit_the_header(spark, tmp_path):
+    (tmp_path / "short.csv").write_text('id,text,more\na,"x, y"\nb,y,z\n')
+    assert values(files.staged_table(spark, str(tmp_path / "short.csv")), "id", "text", "more") == [("a", "x, y", None), ("b", "y", "z")]
+    for name, row in (("long", "a,x,z,surplus"), ("ending", "a,x,z,"), ("quoted", 'a,"x, ""y""\nw",z,"s,t"')):
+        path = tmp_path / f"{name}.csv"
+        path.write_text(f"id,text,more\n{row}\nb,y,z\n")
+        with pytest.raises(files.ReadError, match="more fields than the header"):
+            files.staged_table(spark, str(path))
+        with pytest.raises(Exception, match="more fields than the header"):
+            files.read_table(spark, str(path)).select("id").collect()
+
+
+def test_surplus_fields_fail_the_submission(spark, tmp_path):
+    package = tmp_path / "package"
+    package.mkdir()
+    (package / "entities.csv").write_text("entity_id,entity_name,sector,size,criticality\nE1,n,Energy,Small,High,surplus\n")
+    prepared = pipeline.validate_submission(spark, str(package))
+    assert ("entities", None, "READ_ERROR") in _kinds(prepared.issues)
+    assert prepared.report.first()["status"] == "failed"
+
+
 def test_aliases_text_times_and_flags(spark):
     raw = spark.createDataFrame(
         [(" A1 ", "E1", "S1", "2024-01-02T03:04:05Z", " High", "EDR", "Open", "x"), ("A2", "E1", "S1", "not-a-date", "Low", "EDR", "Open", "x")],

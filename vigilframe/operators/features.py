@@ -13,10 +13,8 @@ from vigilframe.functions.measures import lookup, safe_rate, whole_days, whole_m
 
 # The trailing window is cut into this many equal slices; a slice of one asset is the unit of work of one task.
 WINDOW_SLICES = 720
-# Assets with more alerts than this are counted slice by slice, all others by one window over the asset.
-BUSY_ASSET_ALERTS = 1_000_000
-# Alerts without an asset are spread over this many groups, where they would otherwise form a single one.
-UNASSIGNED_GROUPS = 4096
+# Stands for a missing time where a join needs a value.
+NO_MOMENT = -(1 << 63)
 
 
 # --- alerts ---------------------------------------------------------------------------------------------------
@@ -61,8 +59,7 @@ def trailing_sum(value: Column, window: WindowSpec, back: int, ahead: int = 0) -
 def sliced_alert_counts(alerts: DataFrame, days: int = catalog.RECENT_WINDOW_DAYS) -> DataFrame:
     """Alerts of the same asset within the ``days`` before each (asset_id, timestamp), both ends included.
 
-    For assets whose alerts do not fit one task's sort, as a range window would need. Time is cut into
-    slices and the trailing count is put together from three parts: the own slice up to the alert, the whole
+    No task sorts an asset's whole history, as a range window over assets would need. Time is cut into slices and the trailing count is put together from three parts: the own slice up to the alert, the whole
     slices in between, and the end of the slice the window starts in. The first and last part are windows over
     one slice, the middle one is a window over slice totals, whose number is bounded by the length of the
     history.
@@ -106,46 +103,30 @@ def sliced_alert_counts(alerts: DataFrame, days: int = catalog.RECENT_WINDOW_DAY
     )
 
 
-def alert_features(
-    alerts: DataFrame, days: int = catalog.RECENT_WINDOW_DAYS, busy_asset_alerts: int = BUSY_ASSET_ALERTS
-) -> DataFrame:
+def alert_features(alerts: DataFrame, days: int = catalog.RECENT_WINDOW_DAYS) -> DataFrame:
     """One row per alert, with the asset's total, distinct sources and trailing count.
 
-    The wide rows are shuffled once, by asset: the trailing window and the join with the per-asset counts share that
-    partitioning. Rows of busy assets take the sliced way instead. The list of busy assets is at most
-    rows / ``busy_asset_alerts`` long, which is why it may be broadcast; when it is empty, adaptive execution
-    drops that branch.
+    What an alert needs to know of its asset is put together per (asset, moment) from counts, and joined to the wide
+    rows once, by both: a busy asset's alerts are spread by their times. Alerts without an asset take no part in any
+    shuffle.
     """
     flagged = alert_flags(alerts)
     per_asset = asset_alert_counts(alerts).filter(F.col("asset_id").isNotNull())
-    busy = F.broadcast(per_asset.filter(F.col("asset_alert_count") > busy_asset_alerts).select("asset_id"))
+    moment = F.coalesce(F.unix_micros(F.col("timestamp").cast("timestamp")), F.lit(NO_MOMENT).cast("long"))
+    counts = sliced_alert_counts(alerts, days).select("asset_id", moment.alias("_moment"), "asset_recent_alert_count")
+    undated = per_asset.select("asset_id", F.lit(NO_MOMENT).cast("long").alias("_moment"), F.lit(0).cast("long").alias("asset_recent_alert_count"))
+    facts = counts.unionByName(undated).join(per_asset, "asset_id")
     columns = [
         *alerts.columns, "asset_alert_count", "asset_distinct_alert_sources", "asset_recent_alert_count",
         "acknowledgement_minutes", "alert_lifetime_minutes", "has_case", "is_closed", "severity_rank",
         "is_high_or_critical", "is_critical",
     ]
-
-    unassigned = F.concat(F.lit("\0"), F.pmod(F.xxhash64("id"), F.lit(UNASSIGNED_GROUPS)).cast("string"))
-    by_time = Window.partitionBy("_group").orderBy(F.unix_micros(F.col("timestamp").cast("timestamp")))
-    trailing = trailing_sum(F.lit(1).cast("long"), by_time, days * 86_400_000_000)
-    countable = F.col("asset_id").isNotNull() & F.col("timestamp").isNotNull()
-    usual = (
-        flagged.join(busy, "asset_id", "left_anti")
-        .withColumn("_group", F.coalesce("asset_id", unassigned))
-        .withColumn(
-            "asset_recent_alert_count",
-            F.when(countable, trailing).otherwise(F.lit(0).cast("long")),
-        )
-        .join(per_asset.withColumnRenamed("asset_id", "_group"), "_group", "left")
-    )
-    of_busy = alerts.join(busy, "asset_id", "left_semi")
-    sliced = (
-        flagged.join(busy, "asset_id", "left_semi")
-        .join(sliced_alert_counts(of_busy, days), ["asset_id", "timestamp"], "left")
-        .withColumn("asset_recent_alert_count", zero_if_null(F.col("asset_recent_alert_count")))
-        .join(per_asset, "asset_id", "left")
-    )
-    return usual.select(*columns).unionByName(sliced.select(*columns))
+    assigned = flagged.filter(F.col("asset_id").isNotNull()).withColumn("_moment", moment).join(facts, ["asset_id", "_moment"])
+    unassigned = flagged.filter(F.col("asset_id").isNull()).withColumns({
+        "asset_alert_count": F.lit(None).cast("long"), "asset_distinct_alert_sources": F.lit(None).cast("long"),
+        "asset_recent_alert_count": F.lit(0).cast("long"),
+    })
+    return assigned.select(*columns).unionByName(unassigned.select(*columns))
 
 
 # --- cases ----------------------------------------------------------------------------------------------------

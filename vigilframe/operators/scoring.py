@@ -52,7 +52,7 @@ def dimension_scores(entities: DataFrame, groups: DataFrame) -> DataFrame:
 
     def score(name: str, field: str) -> Column:
         values = F.col(f"_finals.{field}")
-        rest = F.aggregate(F.slice(values, 2, 8), F.lit(0.0), lambda acc, item: acc + item)
+        rest = F.aggregate(F.slice(values, 2, F.greatest(F.size(values) - 1, F.lit(0))), F.lit(0.0), lambda acc, item: acc + item)
         combined = F.least(F.lit(100.0), F.element_at(values, 1) + F.lit(0.20) * rest)
         return (
             F.when(missing[name], F.lit(None).cast("double"))

@@ -39,16 +39,20 @@ class Prepared(NamedTuple):
 
 
 def prepare(spark: SparkSession, path: str, dataset: str | None = None) -> Prepared:
-    """Read, normalise and validate a file or package. The issue rows are staged, the report is computed from them."""
+    """Read, normalise and validate a file or package.
+
+    Every source is parsed once into a staged raw table, and normalised once into a staged canonical one, which all
+    checks and the publishing read. The issue rows are staged too, the report is computed from them.
+    """
     sources, known = files.discover(spark, path, dataset)
     bundle, parts = {}, []
     for name, source in sources.items():
         try:
-            result = normalize.normalize(files.read_table(spark, source), name)
+            result = normalize.normalize(files.staged_table(spark, source), name)
         except files.ReadError as error:
             known.append(normalize.issue(name, "READ_ERROR", str(error)))
             continue
-        bundle[name] = result.frame
+        bundle[name] = session.stage(result.frame)
         parts.append(result.issues)
     parts.append(normalize.issue_frame(spark, known))
     if bundle:

@@ -42,16 +42,28 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a scratch one only where it is unset (tests)."""
+    """The shared folder named by ``spark.checkpoint.dir``.
+
+    Where it is unset, a session whose executors are threads of the driver gets a scratch folder; on a cluster a
+    folder of one machine would lose what the others wrote, so there the setting is required.
+    """
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="vigilframe-checkpoint-"))
+    if not configured:
+        if not is_single_process(context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        configured = tempfile.mkdtemp(prefix="vigilframe-checkpoint-")
+    context.setCheckpointDir(configured)
     return context.getCheckpointDir()
 
 
+def is_single_process(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` once as Parquet under the shared checkpoint folder and read it from there.
 

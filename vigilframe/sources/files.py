@@ -10,9 +10,9 @@ import posixpath
 import uuid
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from vigilframe import catalog, schemas
+from vigilframe import catalog, schemas, session
 
 FORMATS = (".csv", ".json", ".parquet")
 
@@ -95,27 +95,44 @@ def detect_format(path: str) -> str:
     return extension
 
 
-def spans_lines(spark: SparkSession, path: str) -> bool:
-    """Whether a quoted CSV field contains a line break: some line then has an odd number of quotes."""
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    return not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
+CORRUPT = "_corrupt_record"
+
+
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
+    """CSV with a header, all columns text; quoted fields may span lines.
+
+    A file is parsed from its start by one task, because only what comes before tells whether a line break is quoted;
+    large submissions are directories of many files. A row with fewer fields than the header has nulls at its
+    end; one with more makes whatever job reads the table fail, so no field is ever lost unseen.
+    """
+    options = {"header": True, "multiLine": True, "escape": '"', "columnPruning": False}
+    names = spark.read.csv(path, inferSchema=False, enforceSchema=False, **_named(options)).columns
+    schema = T.StructType([T.StructField(name, T.StringType()) for name in (*names, CORRUPT)])
+    frame = spark.read.options(**options, columnNameOfCorruptRecord=CORRUPT).schema(schema).csv(path)
+    bare = F.regexp_replace(F.col(CORRUPT), '"([^"]|"")*"', "")
+    surplus = F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) + 1 > len(names)
+    message = F.concat(F.lit("A row has more fields than the header: "), F.substring(CORRUPT, 1, 200))
+    intact = F.when(F.col(CORRUPT).isNotNull() & surplus, F.raise_error(message).cast("boolean")).otherwise(F.lit(True))
+    return frame.filter(intact).drop(CORRUPT)
+
+
+def _named(options: dict) -> dict:
+    """The options that the csv method knows by name."""
+    return {name: value for name, value in options.items() if name != "columnPruning"}
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """Read one raw table by suffix. CSV columns stay text and are coerced when normalised.
 
-    A CSV file is split over tasks unless a quoted field spans lines, which only a whole-file parse reads right.
-
     A JSON document is one array of records and is parsed by one task per file; large submissions should come as
-    Parquet or CSV, or as a directory of JSON files.
+    Parquet, or as a directory of CSV or JSON files.
     """
     extension = detect_format(path)
     if not exists(spark, path):
         raise ReadError(f"Input file not found: {posixpath.basename(path)}")
     try:
         if extension == ".csv":
-            whole = spans_lines(spark, path)
-            return spark.read.csv(path, header=True, inferSchema=False, multiLine=whole, escape='"', enforceSchema=False)
+            return read_csv(spark, path)
         if extension == ".json":
             return spark.read.json(path, multiLine=True)
         return spark.read.parquet(path)
@@ -123,6 +140,18 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
         raise ReadError(f"Unable to read {posixpath.basename(path)}: {error}") from error
 
 
+def staged_table(spark: SparkSession, path: str) -> DataFrame:
+    """A raw table, parsed once and written to the checkpoint folder; raises ReadError for rows that can't be read."""
+    frame = read_table(spark, path)
+    if not frame.columns:
+        return frame
+    try:
+        return session.stage(frame)
+    except Exception as error:
+        reason = next((line for line in str(error).splitlines() if "more fields than the header" in line), str(error).split("\n")[0])
+        raise ReadError(f"Unable to read {posixpath.basename(path)}: {reason.strip()}") from error
+
+
 def dataset_name(path: str, explicit: str | None = None) -> str:
     """Table a file holds: stated, or from its stem (``alerts``, ``alert`` or ``alerts_data``)."""
     if explicit:
