@@ -108,7 +108,6 @@ ANOMALY_FEATURES = (
 # --- fixed values: detector definitions ---------------------------------------------------------------------
 
 PHASES = ("phase5", "phase6", "phase7", "phase8")
-PHASE_LABELS = {"phase5": "rules", "phase6": "execution_gap", "phase7": "negative_space", "phase8": "peer_anomaly"}
 
 DETECTORS = {
     "R001": dict(

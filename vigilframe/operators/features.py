@@ -6,6 +6,8 @@ share of all rows never lands in one task.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from vigilframe import catalog
@@ -363,11 +365,15 @@ def entity_month_features(alerts: DataFrame, cases: DataFrame) -> DataFrame:
     )
 
 
-def feature_tables(canonical: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """All five feature tables, lazily. Entity and month features skip the per-asset alert counts."""
+def feature_tables(canonical: dict[str, DataFrame], keep: Callable[[DataFrame], DataFrame] = lambda frame: frame) -> dict[str, DataFrame]:
+    """All five feature tables. Entity and month features skip the per-asset alert counts.
+
+    Entity and month features start from the case and asset features. With ``keep`` (``session.stage``) these are
+    written once and read from there; without it all tables are lazy.
+    """
     flags = alert_flags(canonical["alerts"])
-    cases = case_features(canonical["cases"], canonical["escalations"], canonical["alerts"])
-    assets = asset_features(canonical["assets"], canonical["alerts"])
+    cases = keep(case_features(canonical["cases"], canonical["escalations"], canonical["alerts"]))
+    assets = keep(asset_features(canonical["assets"], canonical["alerts"]))
     return {
         "alert_features": alert_features(canonical["alerts"]),
         "case_features": cases,

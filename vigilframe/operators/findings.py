@@ -121,9 +121,8 @@ def deduplicate(df: DataFrame, key: str = "id") -> DataFrame:
 def finalize(detection: Detection) -> Detection:
     """De-duplicate findings and evidence and drop evidence whose finding is gone.
 
-    Published canonical tables have unique ids, so the finding and evidence ids made from them are unique and every
-    evidence row belongs to a finding already. This is for tables that did not pass ingestion, or for outputs put
-    together from several runs.
+    Published canonical tables have unique ids, so the ids made from them are unique too; tables that did not pass
+    ingestion, or outputs put together from several runs, may repeat rows or leave evidence behind.
     """
     findings = deduplicate(detection.findings)
     evidence = deduplicate(detection.evidence).join(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -17,7 +18,8 @@ Picks = Callable[[Column], dict[str, Column]]
 
 
 def _cell(value: Column) -> Column:
-    magnitude = F.floor(F.log2(F.abs(value)) * CELLS_PER_OCTAVE).cast("long") + _SIGN_OFFSET
+    finite = F.least(F.abs(value), F.lit(sys.float_info.max))  # infinite values share the last cell
+    magnitude = F.floor(F.log2(finite) * CELLS_PER_OCTAVE).cast("long") + _SIGN_OFFSET
     return F.when(value > 0, magnitude).when(value < 0, -magnitude).otherwise(F.lit(0).cast("long"))
 
 

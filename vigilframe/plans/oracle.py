@@ -1087,6 +1087,20 @@ from why_pick w where top_group is not null
     finals["dossier_inventory"] = (
         "select entity_id, id, rule_id, source_phase, finding_type, severity, evidence_strength, title, summary, rationale, observed_value, baseline_value, gap_value from findings"
     )
+    finals["dossier_dimensions"] = " union all ".join(
+        f"select entity_id, '{name}' as dimension, {field} as score, cast({weight} as double) as weight, coalesce({rounded(f'{field} * {weight}')}, 0.0) as weighted_contribution, "
+        f"{field} is not null as is_assessable, case when {field} is null then 'Not Assessable (Missing Telemetry Denominator)' else 'Assessable' end as status from assessed"
+        for name, field, weight in _FIELDS
+    )
+    finals["dossier_summary"] = """
+select 'SED-' || r.entity_id || '-20240101' as dossier_id, r.entity_id, 'Supervisory Examination Dossier — ' || r.entity_id as title, coalesce(e.name, r.entity_id) as name,
+ e.sector, e.size, e.criticality, e.total_assets, e.alert_count as total_alerts, e.case_count as total_cases, r.overall_score, r.risk_band, r.top_risk_dimension,
+ q.rank as review_queue_rank, q.priority_score as review_priority_score, coalesce(q.priority, 'LOW') as review_urgency,
+ (select count(*) from findings f where f.entity_id = r.entity_id) as finding_count,
+ nullif((select count(*) from contribution c where c.entity_id = r.entity_id), 0) as contribution_count
+from assessed r left join entity_f e on e.entity_id = r.entity_id
+left join (select * from queue x where rank = (select min(rank) from queue y where y.entity_id = x.entity_id)) q on q.entity_id = r.entity_id
+"""
     finals["finding_digest"] = f"select id as record_id, 'FINDING' as record_type, entity_id, {_FINDING_HASH} as content_hash, source_phase, rule_id as detector_id from findings"
     finals["evidence_digest"] = f"select id as record_id, 'EVIDENCE' as record_type, entity_id, {_EVIDENCE_HASH} as content_hash, finding_id from evidence"
     finals["commitment_history"] = "select * from commitment"
@@ -1101,5 +1115,15 @@ left join (select * from commitment x where version = (select max(version) from
     return finals
 
 
+TABLE_DIGESTS = """
+with parts as (select lang as file, cast(doc_id as varchar) as part, sha256(text) as digest from documents),
+buckets as (
+  select file, substr(sha256(part), 1, 3) as bucket, count(*) as parts, max(digest) as one, sha256(string_agg(digest, '' order by part)) as digest
+  from parts group by all
+)
+select file, case when sum(parts) = 1 then max(one) else sha256(string_agg(digest, '' order by bucket)) end as sha256 from buckets group by file
+"""
+
+
 def oracle_queries() -> dict[str, str]:
-    return {name: compose(text) for name, text in _finals().items()}
+    return {name: compose(text) for name, text in _finals().items()} | {"table_digests": TABLE_DIGESTS}

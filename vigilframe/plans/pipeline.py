@@ -11,8 +11,8 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vigilframe import catalog, schemas, session
-from vigilframe.operators import absence, features, forest, integrity, normalize, validate
-from vigilframe.operators.findings import Detection, order_evidence, order_findings, union_all
+from vigilframe.operators import absence, features, forest, integrity, normalize, peers, validate
+from vigilframe.operators.findings import Detection, finalize, order_evidence, order_findings, union_all
 from vigilframe.plans import analysis
 from vigilframe.sources import files
 
@@ -111,10 +111,10 @@ def _source_digests(spark: SparkSession, sources: dict[str, str]) -> DataFrame:
 def generate_features(spark: SparkSession, input_dir: str, output_dir: str, dataset_id: str | None = None) -> dict:
     """Derive and publish the five feature tables.
 
-    Alert and case features are the large ones; entity and month features are derived from the canonical tables
-    and the row-level expressions, so nothing is held in memory between the writes.
+    Case and asset features are written first, entity and month features are derived from the written ones.
     """
-    tables = features.feature_tables(files.load_canonical(spark, input_dir))
+    tables = features.feature_tables(files.load_canonical(spark, input_dir), keep=session.stage)
+    tables["entity_month_features"] = tables["entity_month_features"].orderBy("entity_id", "year", "month")
 
     def manifest(written: dict[str, DataFrame]) -> dict:
         profiles = {name: feature_profile(frame, name).collect() for name, frame in written.items()}
@@ -146,7 +146,8 @@ def feature_profile(frame: DataFrame, table: str) -> DataFrame:
 def run_family(spark: SparkSession, phase: str, feature_dir: str, output_dir: str, dataset_id: str | None = None) -> dict:
     """Evaluate one detector family on published features and publish findings, evidence and manifest."""
     bundle = files.load_features(spark, feature_dir)
-    detection = analysis.FAMILIES[phase](bundle)
+    found = analysis.stage_detection(analysis.FAMILIES[phase](bundle))
+    detection = finalize(found)
     tables = {"findings": order_findings(detection.findings), "evidence": order_evidence(detection.evidence)}
     extra: dict[str, object] = {}
     if phase == "phase7":
@@ -159,6 +160,7 @@ def run_family(spark: SparkSession, phase: str, feature_dir: str, output_dir: st
         profile = forest.column_profile(bundle["entity_features"]).filter("is_usable").orderBy("feature")
         extra["feature_list"] = [row["feature"] for row in profile.collect()]
         extra["cohort_definition"] = list(catalog.COHORT_COLUMNS)
+        tables["peer_reference_values"] = peers.peer_reference_values(bundle["entity_features"]).orderBy("cohort_key", "metric_name", "entity_id")
 
     def manifest(written: dict[str, DataFrame]) -> dict:
         return {
@@ -251,16 +253,28 @@ def read_risk_manifest(spark: SparkSession, directory: str) -> dict:
 
 
 def read_commitments(spark: SparkSession, path: str) -> DataFrame:
-    known = files.exists(spark, path)
-    return spark.read.schema(schemas.COMMITMENTS).parquet(path) if known else files.empty(spark, schemas.COMMITMENTS)
+    """All batches that were appended to the commitment table."""
+    if not files.exists(spark, path) or not commitment_batches(spark, path):
+        return files.empty(spark, schemas.COMMITMENTS)
+    rows = spark.read.schema(schemas.COMMITMENTS).option("recursiveFileLookup", "true").parquet(path)
+    return rows.select(*schemas.COMMITMENTS.names)
+
+
+def commitment_batches(spark: SparkSession, path: str) -> list[str]:
+    return [name for name in files.list_names(spark, path) if name.startswith("batch-")] if files.exists(spark, path) else []
 
 
 def commit_records(
     spark: SparkSession, records: DataFrame, path: str, created_at: str, only_new: bool = False
 ) -> int:
-    """Append new versions of the records to the commitment table and return how many were added."""
+    """Append new versions of the records to the commitment table and return how many were added.
+
+    A batch is a numbered folder that must not exist yet. Of two runs that start from the same versions the second
+    to publish fails, so no version is given twice.
+    """
+    batch = f"batch-{len(commitment_batches(spark, path)):09d}"
     rows = session.stage(integrity.register(records, read_commitments(spark, path), created_at, only_new=only_new))
-    rows.write.mode("append").parquet(path)
+    rows.write.mode("errorifexists").parquet(f"{path}/{batch}")
     return rows.count()
 
 

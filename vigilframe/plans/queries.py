@@ -81,7 +81,9 @@ def lazy_features(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 @once
 def bundle(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Feature tables, written once to the checkpoint folder."""
-    return {name: session.stage(frame) for name, frame in lazy_features(spark, sf_dir).items()}
+    tables = features.feature_tables(canonical_tables(spark, sf_dir), keep=session.stage)
+    written = {"case_features", "asset_features"}
+    return {name: frame if name in written else session.stage(frame) for name, frame in tables.items()}
 
 
 def entity_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -412,6 +414,30 @@ def _dossier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return result.withColumns({name: F.to_json(name) for name in ("dimensions", "risk_contributions")})
 
 
+@register("dossier_dimensions")
+def _dossier_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dimension rows of all dossiers, one row each."""
+    entities, found, run = entity_table(spark, sf_dir), detection(spark, sf_dir), risk(spark, sf_dir)
+    result = serving.dossiers(
+        run.entity_risk, entities, run.contributions, review_queue(spark, sf_dir), found.findings, found.evidence, "20240101"
+    )
+    return result.select("entity_id", F.inline("dimensions"))
+
+
+@register("dossier_summary")
+def _dossier_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a dossier says of its entity outside its lists."""
+    entities, found, run = entity_table(spark, sf_dir), detection(spark, sf_dir), risk(spark, sf_dir)
+    result = serving.dossiers(
+        run.entity_risk, entities, run.contributions, review_queue(spark, sf_dir), found.findings, found.evidence, "20240101"
+    )
+    return result.select(
+        "dossier_id", "entity_id", "title", "name", "sector", "size", "criticality", "total_assets", "total_alerts", "total_cases",
+        "overall_score", "risk_band", "top_risk_dimension", "review_queue_rank", "review_priority_score", "review_urgency", "finding_count",
+        F.size("risk_contributions").alias("contribution_count"),
+    )
+
+
 @register("dossier_inventory")
 def _dossier_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return serving.dossier_inventory(detection(spark, sf_dir).findings)
@@ -430,6 +456,14 @@ def _evidence_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return integrity.evidence_records(detection(spark, sf_dir).evidence)
 
 
+@register("table_digests")
+def _table_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest of every language's documents, each document a part."""
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return integrity.table_digests(documents.select(
+        F.col("lang").alias("file"), F.col("doc_id").cast("string").alias("part"), integrity.text_digest(F.col("text")).alias("sha256")))
+
+
 @register("submission_digest")
 def _submission_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digest of the directory the tables come from, over the files the canonical tables are built on."""
