@@ -6,6 +6,7 @@ size whatever the number of entities; the entities are scored in one distributed
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -68,10 +69,20 @@ def anomaly_matrix(entities: DataFrame, profile: DataFrame | None = None) -> Dat
     return entities.withColumn("_medians", medians.scalar()).select("entity_id", *imputed)
 
 
+# Draws are the first hex digits of a digest of what they are for, so that any engine can repeat them.
+DRAW_DIGITS = 13
+
+
 def _uniform(*parts: object) -> Column:
     """Reproducible number in [0, 1) from the given parts."""
-    bits = F.xxhash64(*[part if isinstance(part, Column) else F.lit(part) for part in parts])
-    return F.shiftrightunsigned(bits, 11).cast("double") / F.lit(float(1 << 53))
+    text = F.concat_ws("|", *[part.cast("string") if isinstance(part, Column) else F.lit(str(part)) for part in parts])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, DRAW_DIGITS), 16, 10).cast("double") / F.lit(16.0**DRAW_DIGITS)
+
+
+def _draw(*parts: object) -> float:
+    """The same number outside Spark."""
+    text = "|".join(str(part) for part in parts)
+    return int(hashlib.md5(text.encode(), usedforsecurity=False).hexdigest()[:DRAW_DIGITS], 16) / 16.0**DRAW_DIGITS
 
 
 def sample_trees(matrix: DataFrame, trees: int, size: int, seed: int) -> DataFrame:
@@ -101,15 +112,18 @@ def _expected_path(size: np.ndarray | float) -> np.ndarray:
 
 
 def grow_tree(rows: pd.DataFrame, seed: int) -> pd.DataFrame:
-    """One isolation tree as node rows; leaves carry their depth plus the expected remaining path."""
+    """One isolation tree as node rows; leaves carry their depth plus the expected remaining path.
+
+    Feature and cut of a node are drawn from seed, tree and the turns that lead to the node.
+    """
     tree = int(rows["tree"].iloc[0])
     values = rows.sort_values("entity_id")[list(FEATURES)].to_numpy(dtype=float)
-    random = np.random.default_rng([seed, tree])
     limit = int(np.ceil(np.log2(max(len(values), 2))))
     nodes: list[list[float]] = []
-    pending = [(np.arange(len(values)), 0, -1, 0)]
+    pending = [(np.arange(len(values)), "", -1, 0)]
     while pending:
-        index, depth, parent, side = pending.pop()
+        index, turns, parent, side = pending.pop()
+        depth = len(turns)
         number = len(nodes)
         nodes.append([tree, number, -1, 0.0, -1, -1, depth + float(_expected_path(len(index)))])
         if parent >= 0:
@@ -121,12 +135,12 @@ def grow_tree(rows: pd.DataFrame, seed: int) -> pd.DataFrame:
         splittable = np.flatnonzero(high > low)
         if not len(splittable):
             continue
-        feature = int(random.choice(splittable))
-        cut = float(random.uniform(low[feature], high[feature]))
+        feature = int(splittable[int(_draw(seed, tree, turns, "feature") * len(splittable))])
+        cut = float(low[feature] + _draw(seed, tree, turns, "cut") * (high[feature] - low[feature]))
         below = block[:, feature] <= cut
         nodes[number][2:4] = [feature, cut]
-        pending.append((index[~below], depth + 1, number, 1))
-        pending.append((index[below], depth + 1, number, 0))
+        pending.append((index[~below], turns + "1", number, 1))
+        pending.append((index[below], turns + "0", number, 0))
     return pd.DataFrame(nodes, columns=["tree", "node", "feature", "cut", "low", "high", "depth"]).astype(
         {"tree": "int32", "node": "int32", "feature": "int32", "low": "int32", "high": "int32"}
     )

@@ -612,6 +612,64 @@ STEPS["anomaly_profile"] = " union all ".join(
     for name in catalog.ANOMALY_FEATURES
 )
 
+# --- anomaly forest: every entity walks down every tree, level by level ------------------------------------------
+
+
+def _drawn(*parts: str) -> str:
+    text = " || '|' || ".join(parts)
+    return f"(cast(cast('0x' || substr(md5({text}), 1, 13) as bigint) as double) / 4503599627370496.0)"
+
+
+def _path(size: str) -> str:
+    n = f"cast({size} as double)"
+    return f"(case when {size} <= 1 then 0.0 when {size} = 2 then 1.0 else 2 * (ln({n} - 1) + 0.5772156649015329) - 2 * ({n} - 1) / {n} end)"
+
+
+_AF, _SEED = catalog.ANOMALY_FEATURES, f"'{catalog.FOREST_SEED}'"
+STEPS["forest_matrix"] = "select entity_id, [" + ", ".join(
+    f"coalesce(case when (select is_usable from anomaly_profile where feature = '{name}') then coalesce(cast({name} as double), (select median from anomaly_profile where feature = '{name}')) end, 0.0)"
+    for name in _AF
+) + "] as x from entity_f"
+STEPS["forest_sample"] = f"""
+select tree, entity_id from (
+ select tree, entity_id, row_number() over (partition by tree order by {_drawn(_SEED, 'cast(tree as varchar)', 'entity_id')}, entity_id) as place
+ from forest_matrix cross join (select unnest(range({catalog.FOREST_TREES})) as tree) t
+) d where place <= {catalog.FOREST_SAMPLE}
+"""
+STEPS["forest_walk_0"] = f"""
+select t.tree, m.entity_id, '' as turns, s.entity_id is not null as sampled, m.x
+from forest_matrix m cross join (select unnest(range({catalog.FOREST_TREES})) as tree) t left join forest_sample s on s.tree = t.tree and s.entity_id = m.entity_id
+"""
+_LEVELS = 8  # a tree of at most 256 rows is at most this deep
+STEPS["forest_limit"] = "select tree, cast(ceil(log2(greatest(count(*), 2))) as bigint) as depth_limit from forest_sample group by 1"
+for _level in range(_LEVELS + 1):
+    _lows = ", ".join(f"min(x[{place + 1}])" for place in range(len(_AF)))
+    _highs = ", ".join(f"max(x[{place + 1}])" for place in range(len(_AF)))
+    STEPS[f"forest_node_{_level}"] = f"""
+select tree, turns, n, lows, highs, case when {_level} < depth_limit and n > 1 and len(open) > 0 then open[1 + cast(floor({_drawn(_SEED, 'cast(tree as varchar)', 'turns', "'feature'")} * len(open)) as bigint)] end as feature,
+ {_drawn(_SEED, 'cast(tree as varchar)', 'turns', "'cut'")} as share
+from (
+ select tree, turns, n, lows, highs, [place for place in range(1, {len(_AF) + 1}) if highs[place] > lows[place]] as open
+ from (select tree, turns, count(*) as n, [{_lows}] as lows, [{_highs}] as highs from forest_walk_{_level} where sampled group by all) g
+) o join forest_limit using (tree)
+"""
+    STEPS[f"forest_leaf_{_level}"] = f"select entity_id, {_level} + {_path('n')} as depth from forest_walk_{_level} join forest_node_{_level} using (tree, turns) where feature is null"
+    STEPS[f"forest_walk_{_level + 1}"] = f"""
+select tree, entity_id, turns || case when x[feature] <= lows[feature] + share * (highs[feature] - lows[feature]) then '0' else '1' end as turns, sampled, x
+from forest_walk_{_level} join forest_node_{_level} using (tree, turns) where feature is not null
+"""
+STEPS["forest_score"] = f"""
+select entity_id, -pow(2.0, -(sum(depth) / {catalog.FOREST_TREES}) / (select {_path('least(count(*), ' + str(catalog.FOREST_SAMPLE) + ')')} from forest_matrix)) as score
+from ({" union all ".join(f"select * from forest_leaf_{level}" for level in range(_LEVELS + 1))}) l group by 1
+"""
+_AT = f"(select (count(*) - 1) * cast({catalog.FOREST_CONTAMINATION} as double) from forest_score)"
+STEPS["forest_flag"] = f"""
+select entity_id, score - cut as anomaly_score, row_number() over (order by score - cut, entity_id) as anomaly_rank from forest_score cross join (
+ select low + (high - low) * ({_AT} - floor({_AT})) as cut from (
+  select l[cast(floor({_AT}) as bigint) + 1] as low, l[least(cast(floor({_AT}) as bigint) + 2, len(l))] as high from (select list_sort(list(score)) as l from forest_score) a) b) c
+where (select count(*) from forest_matrix) >= {catalog.FOREST_MIN_ENTITIES}
+"""
+
 # --- risk -----------------------------------------------------------------------------------------------------
 
 STEPS["summary"] = """
@@ -1030,6 +1088,9 @@ select id, {stamp('timestamp')} as timestamp, cast(year(timestamp) as bigint) as
         f"case when (select is_usable from anomaly_profile where feature = '{name}') then coalesce(cast({name} as double), (select median from anomaly_profile where feature = '{name}')) end as {name}"
         for name in catalog.ANOMALY_FEATURES
     ) + " from entity_f"
+    finals["anomaly_sample"] = "select cast(tree as bigint) as tree, entity_id from forest_sample"
+    finals["anomaly_scores"] = f"select entity_id, {rounded('score', 9)} as score from forest_score"
+    finals["anomaly_flags"] = f"select entity_id, {rounded('anomaly_score', 9)} as anomaly_score, anomaly_rank from forest_flag where anomaly_score < 0"
     finals["signals"] = "select * from signal"
     finals["correlation_groups"] = (
         "select entity_id, group_id, dimension, base_value, primary_detector, replace(phases, ', ', '|') as corroborating_phases, severity, assessment_strength, "

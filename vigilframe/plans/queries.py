@@ -274,6 +274,31 @@ def _anomaly_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.anomaly_matrix(entity_table(spark, sf_dir))
 
 
+def _filled_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    matrix = forest.anomaly_matrix(entity_table(spark, sf_dir))
+    return matrix.select("entity_id", *[F.coalesce(F.col(name), F.lit(0.0)).alias(name) for name in forest.FEATURES])
+
+
+@register("anomaly_sample")
+def _anomaly_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entities that each tree is grown from."""
+    rows = forest.sample_trees(_filled_matrix(spark, sf_dir), catalog.FOREST_TREES, catalog.FOREST_SAMPLE, catalog.FOREST_SEED)
+    return rows.select("tree", "entity_id")
+
+
+@register("anomaly_scores")
+def _anomaly_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = forest.isolation_scores(forest.anomaly_matrix(entity_table(spark, sf_dir)))
+    return scores.select("entity_id", round_half_even(F.col("score"), 9).alias("score"))
+
+
+@register("anomaly_flags")
+def _anomaly_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities below the contaminated share, with their rank."""
+    flagged = forest.detect_anomalies(entity_table(spark, sf_dir))
+    return flagged.select("entity_id", round_half_even(F.col("anomaly_score"), 9).alias("anomaly_score"), "anomaly_rank")
+
+
 @register("anomaly_an001")
 def _anomaly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.anomaly_detection(entity_table(spark, sf_dir)).findings.select(*FINDING_COLUMNS, "anomaly_score", "anomaly_rank")
