@@ -5,7 +5,7 @@ import __spark_entry__ as driver
 from vigilframe.plans import queries
 
 TABLES = ("events", "customer", "nation", "documents")
-ROWS_ONLY = {"anomaly_an001", "dossier", "submission_digest"}
+ROWS_ONLY = {"dossier", "submission_digest"}
 
 
 def test_every_query_has_an_oracle_or_is_listed():
@@ -20,7 +20,7 @@ def test_entry(spark):
 
 @pytest.mark.parametrize("name", [
     "canonical_alerts", "alert_features", "entity_features", "recent_alert_count", "validate_references", "rule_r003", "gap_eg003",
-    "absence_ns003", "peer_findings_all", "benchmark_table", "anomaly_matrix", "entity_risk", "review_queue", "why_flagged", "commitment_verify", "table_digests",
+    "absence_ns003", "peer_findings_all", "benchmark_table", "anomaly_matrix", "anomaly_an001", "correlation_groups", "entity_risk", "review_queue", "why_flagged", "commitment_verify", "table_digests",
     "dossier_dimensions", "dossier_summary",
 ])
 def test_query_equals_oracle(spark, sf_dir, name):

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from vigilframe import catalog, session
-from vigilframe.functions.text import render
+from vigilframe.functions.text import render, round_half_even
 from vigilframe.operators.findings import Detection, EvidenceItem, first_rows, identify, make_evidence, make_findings
 from vigilframe.operators.ordering import exact_medians, global_rank, order_statistics
 
@@ -22,6 +22,7 @@ FEATURES = catalog.ANOMALY_FEATURES
 NODE_SCHEMA = "tree int, node int, feature int, cut double, low int, high int, depth double"
 EULER = 0.5772156649015329
 TREES_PER_TASK = 8
+SCORE_DIGITS = 9
 
 
 def column_profile(entities: DataFrame) -> DataFrame:
@@ -200,12 +201,14 @@ def isolation_scores(
 def detect_anomalies(entities: DataFrame, profile: DataFrame | None = None) -> DataFrame:
     """Flagged entities with ``anomaly_score`` and ``anomaly_rank``; empty below the minimum population.
 
-    The score is shifted so that the contaminated share of the entities falls below zero.
+    The score is shifted so that the contaminated share of the entities falls below zero. Scores are kept to
+    SCORE_DIGITS places, so that ranks and digests do not hang on the last bits of a sum.
     """
     matrix = anomaly_matrix(entities, profile)
     population = entities.agg(F.count(F.lit(1)))
     scores = session.stage(
         isolation_scores(matrix).filter(population.scalar() >= catalog.FOREST_MIN_ENTITIES)
+        .withColumn("score", round_half_even(F.col("score"), SCORE_DIGITS))
     )
     # Linear interpolation between the two order statistics around (n-1) * contamination.
     share = catalog.FOREST_CONTAMINATION
@@ -217,7 +220,7 @@ def detect_anomalies(entities: DataFrame, profile: DataFrame | None = None) -> D
     )
     weight = (F.col("n") - 1) * share - F.floor((F.col("n") - 1) * share)
     offset = bounds.select(F.col("_low") + (F.col("_high") - F.col("_low")) * weight)
-    shifted = scores.withColumn("anomaly_score", F.col("score") - offset.scalar()).drop("score")
+    shifted = scores.withColumn("anomaly_score", round_half_even(F.col("score") - offset.scalar(), SCORE_DIGITS)).drop("score")
     ranked = global_rank(shifted, [F.col("anomaly_score"), F.col("entity_id")], "anomaly_rank")
     return ranked.filter(F.col("anomaly_score") < 0)
 

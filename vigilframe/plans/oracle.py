@@ -595,7 +595,7 @@ for _name, _item in _PB.items():
     ])
 
 for _phase, _label in (("phase5", "rule"), ("phase6", "gap"), ("phase7", "absence"), ("phase8", "peer")):
-    _names = [name for name in catalog.enabled(_phase) if name != "AN001"]
+    _names = catalog.enabled(_phase)
     STEPS[f"{_label}_findings"] = " union all ".join(f"select * from {name}" for name in _names)
     STEPS[f"{_label}_evidence"] = " union all ".join(f"select * from {name}_e" for name in _names)
 STEPS["findings"] = " union all ".join(f"select * from {label}_findings" for label in ("rule", "gap", "absence", "peer"))
@@ -659,17 +659,42 @@ select tree, entity_id, turns || case when x[feature] <= lows[feature] + share *
 from forest_walk_{_level} join forest_node_{_level} using (tree, turns) where feature is not null
 """
 STEPS["forest_score"] = f"""
-select entity_id, -pow(2.0, -(sum(depth) / {catalog.FOREST_TREES}) / (select {_path('least(count(*), ' + str(catalog.FOREST_SAMPLE) + ')')} from forest_matrix)) as score
+select entity_id, {rounded(f"-pow(2.0, -(sum(depth) / {catalog.FOREST_TREES}) / (select {_path('least(count(*), ' + str(catalog.FOREST_SAMPLE) + ')')} from forest_matrix))", 9)} as score
 from ({" union all ".join(f"select * from forest_leaf_{level}" for level in range(_LEVELS + 1))}) l group by 1
 """
 _AT = f"(select (count(*) - 1) * cast({catalog.FOREST_CONTAMINATION} as double) from forest_score)"
 STEPS["forest_flag"] = f"""
-select entity_id, score - cut as anomaly_score, row_number() over (order by score - cut, entity_id) as anomaly_rank from forest_score cross join (
+select entity_id, {rounded('score - cut', 9)} as anomaly_score, row_number() over (order by {rounded('score - cut', 9)}, entity_id) as anomaly_rank from forest_score cross join (
  select low + (high - low) * ({_AT} - floor({_AT})) as cut from (
   select l[cast(floor({_AT}) as bigint) + 1] as low, l[least(cast(floor({_AT}) as bigint) + 2, len(l))] as high from (select list_sort(list(score)) as l from forest_score) a) b) c
 where (select count(*) from forest_matrix) >= {catalog.FOREST_MIN_ENTITIES}
 """
 
+STEPS["anomaly_deviation"] = " union all ".join(
+    f"select entity_id, '{name}' as feature, cast({name} as double) as observed, (select median from anomaly_profile where feature = '{name}' and is_usable) as reference from entity_f where {name} is not null"
+    for name in _AF
+)
+STEPS["anomaly_top"] = """
+select *, row_number() over (partition by entity_id order by -relative, feature) as place from (
+ select *, abs(observed - reference) / case when reference = 0 then 1.0 else abs(reference) end as relative from anomaly_deviation where reference is not null)
+qualify place <= 3
+"""
+STEPS["hit_AN001"] = f"""
+select f.entity_id, f.anomaly_score, f.anomaly_rank, count(t.feature) as parts, coalesce(avg(t.relative), 0) as mean_deviation,
+ coalesce(list(t.feature order by t.place) filter (t.feature is not null), []) as features,
+ coalesce(string_agg({fill(catalog.RATIONALES['AN001_ITEM'], feature='t.feature', observed='t.observed', reference='t.reference')}, '; ' order by t.place), '') as listed
+from forest_flag f left join anomaly_top t using (entity_id) where f.anomaly_score < 0 group by all
+"""
+STEPS["AN001"] = finding(
+    "AN001", "entity_id", "hit_AN001", "case when parts >= 3 then 'High' else 'Medium' end", {"deviations": "listed"}, metric_name="'anomaly_score'",
+    observed_value="anomaly_score", baseline_method="'isolation_forest'", baseline_type="'model_relative_unusualness'",
+)
+_AP = digest("F", quote("AN001"), "entity_id", "entity_id")
+STEPS["AN001_e"] = (
+    f"select {digest('E', _AP, quote('entity_feature'), 'entity_id', 'feature')} as id, {_AP} as finding_id, 'entity_feature' as source_type, entity_id as source_id, "
+    f"entity_id, feature as field, {plain('observed')} as value, {quote(R['AN001'])} as reason from anomaly_top where entity_id in (select entity_id from hit_AN001)"
+)
+
 # --- risk -----------------------------------------------------------------------------------------------------
 
 STEPS["summary"] = """
@@ -682,10 +707,10 @@ select f.entity_id, f.rule_id as detector_id, count(*) as finding_count, arg_min
 from findings f group by 1, 2
 """
 STEPS["signal_base"] = """
-select s.*, e.expected_monitored_assets, e.critical_assets, e.critical_alert_count,
+select s.*, e.expected_monitored_assets, e.critical_assets, e.critical_alert_count, a.anomaly_score, a.anomaly_rank, a.mean_deviation, a.features,
  case detector_id when 'R001' then case when e.critical_closed_case_count > 0 then e.critical_closed_case_count else e.closed_case_count end
   when 'R002' then e.critical_case_count when 'R003' then e.total_assets when 'R004' then e.case_count when 'R005' then e.expected_monitored_assets end as denominator
-from summary s join entity_f e using (entity_id)
+from summary s join entity_f e using (entity_id) left join hit_AN001 a on a.entity_id = s.entity_id and s.detector_id = 'AN001'
 """
 _SHARE = "least(1.0, cast(finding_count as double) / denominator)"
 _NORMS = {
@@ -698,6 +723,8 @@ _NORMS = {
     "detector_id = 'NS002'": rounded("observed_value / greatest(critical_assets, 1) * 100"),
     "detector_id = 'NS005'": rounded("observed_value / greatest(critical_alert_count, 1) * 100"),
     "detector_id in ('NS003', 'NS004')": rounded("coalesce(gap_value, 0.5) * 100"),
+    "detector_id = 'AN001'": f"least(cast({catalog.ANOMALY_CEILING} as double), "
+    + rounded(f"greatest(5.0, 18.0 - (anomaly_rank - 1) * 4.0) + least(7.0, {rounded('mean_deviation * 8.0')})") + ")",
     "detector_id like 'PB%'": rounded("absolute_gap / greatest(abs(reference_value), 1e-6) * 60"),
 }
 STEPS["signal_value"] = (
@@ -713,24 +740,25 @@ _SV = {"count": "finding_count", "denominator": "denominator", "norm": "normaliz
 STEPS["signal"] = f"""
 select entity_id, detector_id, source_phase, {_SIGNAL_NAME} as signal_name,
  case when detector_id in ('R001', 'R002', 'R003', 'R004') then cast(finding_count as double) when detector_id like 'EG%' then gap_value
-  when detector_id like 'PB%' then absolute_gap else observed_value end as raw_value,
+  when detector_id like 'PB%' then absolute_gap when detector_id = 'AN001' then anomaly_score else observed_value end as raw_value,
  normalized_value, severity, case when detector_id not like 'R0%' then own_strength end as evidence_strength,
  case when not is_assessable then 'Low' when detector_id not like 'R0%' then own_strength when denominator >= 10 then 'Medium' else 'Low' end as assessment_strength,
  finding_count,
  case when not is_assessable then '' when detector_id = 'R001' then {fill(_T['R001'], **_SV)} when detector_id = 'R002' then {fill(_T['R002'], **_SV)}
   when detector_id = 'R003' then {fill(_T['R003'], **_SV)} when detector_id = 'R004' then {fill(_T['R004'], **_SV)} when detector_id = 'R005' then {fill(_T['R005'], **_SV)}
-  when detector_id like 'EG%' then {fill(_T['EG'], gap='gap_value', baseline='baseline_value', rationale='finding_rationale')} else finding_rationale end as rationale,
- is_assessable
+  when detector_id like 'EG%' then {fill(_T['EG'], gap='gap_value', baseline='baseline_value', rationale='finding_rationale')}
+  when detector_id = 'AN001' then {fill(_T['AN001'], rank='anomaly_rank', deviation='mean_deviation')} else finding_rationale end as rationale,
+ is_assessable, features
 from signal_value
 """
 STEPS["membership"] = "select * from (values " + ", ".join(
-    f"({quote(group)}, {place}, {quote(dimension)}, {quote(detector)}, {order})"
-    for place, (group, dimension, detectors, _, _) in enumerate(catalog.CORRELATION_GROUPS)
+    f"({quote(group)}, {place}, {quote(dimension)}, {quote(detector)}, {order}, cast([{', '.join(map(quote, names))}] as varchar[]))"
+    for place, (group, dimension, detectors, names, _) in enumerate(catalog.CORRELATION_GROUPS)
     for order, detector in enumerate(detectors)
-) + ") t(group_id, group_position, dimension, detector_id, detector_position)"
+) + ") t(group_id, group_position, dimension, detector_id, detector_position, relevant)"
 STEPS["member"] = """
 select s.*, m.group_id, m.group_position, m.dimension, m.detector_position from signal s join membership m using (detector_id)
-where is_assessable and normalized_value > 0
+where is_assessable and normalized_value > 0 and (detector_id <> 'AN001' or list_contains(m.relevant, '*') or list_has_any(s.features, m.relevant))
 """
 _RANKS = {"Low": 1, "Medium": 2, "High": 3, "Critical": 4}
 
@@ -1091,7 +1119,8 @@ select id, {stamp('timestamp')} as timestamp, cast(year(timestamp) as bigint) as
     finals["anomaly_sample"] = "select cast(tree as bigint) as tree, entity_id from forest_sample"
     finals["anomaly_scores"] = f"select entity_id, {rounded('score', 9)} as score from forest_score"
     finals["anomaly_flags"] = f"select entity_id, {rounded('anomaly_score', 9)} as anomaly_score, anomaly_rank from forest_flag where anomaly_score < 0"
-    finals["signals"] = "select * from signal"
+    finals["anomaly_an001"] = f"select {', '.join('f.' + name for name in FINDING_COLUMNS)}, a.anomaly_score, a.anomaly_rank from AN001 f join hit_AN001 a using (entity_id)"
+    finals["signals"] = "select * exclude (features) from signal"
     finals["correlation_groups"] = (
         "select entity_id, group_id, dimension, base_value, primary_detector, replace(phases, ', ', '|') as corroborating_phases, severity, assessment_strength, "
         "evidence_strength, supporting_finding_count, corroboration_boost, final_value, corroboration_level, replace(detectors, ', ', '|') as participating_detectors, rationale from groups"
@@ -1144,7 +1173,7 @@ from why_pick w where top_group is not null
         "max(x.n) as evidence from findings f join (select g.source_phase, count(*) as n from evidence e join findings g on g.id = e.finding_id group by 1) x "
         "on x.source_phase = f.source_phase group by 1"
     )
-    finals["entities_benchmarked"] = "select count(distinct entity_id) as entities_benchmarked from peer_findings"
+    finals["entities_benchmarked"] = "select count(distinct entity_id) as entities_benchmarked from peer_findings where rule_id <> 'AN001'"
     finals["dossier_inventory"] = (
         "select entity_id, id, rule_id, source_phase, finding_type, severity, evidence_strength, title, summary, rationale, observed_value, baseline_value, gap_value from findings"
     )

@@ -11,7 +11,7 @@ from vigilframe.functions.text import round_half_even
 from vigilframe.operators import (
     absence, audit, features, forest, gaps, integrity, normalize, peers, scoring, serving, validate,
 )
-from vigilframe.operators.findings import Detection
+from vigilframe.operators.findings import Detection, combine
 from vigilframe.plans import analysis
 from vigilframe.plans.oracle import EVIDENCE_COLUMNS, FINDING_COLUMNS
 from vigilframe.sources import files, fixture_views
@@ -90,10 +90,18 @@ def entity_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bundle(spark, sf_dir)["entity_features"]
 
 
+@once
+def peer_detection(spark: SparkSession, sf_dir: str) -> Detection:
+    """Peer deviations and anomalies, written once: the forest is grown a single time."""
+    return analysis.stage_detection(analysis.evaluate_peers(bundle(spark, sf_dir)))
+
+
 @once
 def detection(spark: SparkSession, sf_dir: str) -> Detection:
-    """Findings and evidence of the deterministic detectors, written once to the checkpoint folder."""
-    return analysis.stage_detection(analysis.evaluate_families(bundle(spark, sf_dir), anomalies=False))
+    """Findings and evidence of all detectors, written once to the checkpoint folder."""
+    tables, peer = bundle(spark, sf_dir), peer_detection(spark, sf_dir)
+    others = [analysis.FAMILIES[phase](tables) for phase in ("phase5", "phase6", "phase7")]
+    return analysis.stage_detection(combine([*others, peer]))
 
 
 @once
@@ -209,8 +217,7 @@ for _phase, _label in LABELS.items():
 
 def _family(phase: str, label: str) -> None:
     def evaluate(spark: SparkSession, sf_dir: str) -> Detection:
-        tables = bundle(spark, sf_dir)
-        return analysis.evaluate_peers(tables, anomalies=False) if phase == "phase8" else analysis.FAMILIES[phase](tables)
+        return peer_detection(spark, sf_dir) if phase == "phase8" else analysis.FAMILIES[phase](bundle(spark, sf_dir))
 
     @register(f"{label}_findings_all")
     def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
