@@ -55,7 +55,7 @@ def test_each_stage_against_brute_force(spark, sf_dir):
     assert sum(doc_id not in kept for doc_id in bad) >= 0.9 * len(bad)
 
     rows = sorted(good.collect(), key=lambda row: row.doc_id)
-    groups = brute_components([brute_fingerprint(row.text, 3) for row in rows], 3)
+    groups = brute_components([brute_fingerprint(row.text, 3) for row in rows], corpus_pipeline.NEAR_BITS)
     single = stage(FUNCTIONS["near_duplicates"](spark, good, sf_dir))
     assert single.columns == COLUMNS
     assert sorted(row.doc_id for row in single.collect()) == [row.doc_id for place, row in enumerate(rows) if groups[place] == place]

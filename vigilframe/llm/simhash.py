@@ -71,13 +71,13 @@ def _signed(value: int) -> int:
 
 
 def block_keys(fp: Column, distance: int, blocks: int) -> Column:
-    """Array of (choice of blocks, their bits): two fingerprints within ``distance`` share at least one."""
+    """Array of keys, one per choice of blocks, from the choice and its bits: fingerprints within ``distance`` share one.
+
+    A key is a hash, so a row to shuffle is two longs; keys that fall together by chance only cost a comparison.
+    """
     masks = block_masks(blocks)
     chosen = [sum(some) for some in combinations(masks, blocks - distance)]
-    return F.array(*[
-        F.struct(F.lit(number).cast("short").alias("choice"), fp.bitwiseAND(F.lit(_signed(mask)).cast("long")).alias("bits"))
-        for number, mask in enumerate(chosen)
-    ])
+    return F.array(*[F.xxhash64(F.lit(number), fp.bitwiseAND(F.lit(_signed(mask)).cast("long"))) for number, mask in enumerate(chosen)])
 
 
 def spanning_links(left: np.ndarray, right: np.ndarray, distance: int) -> list[tuple[int, int]]:
@@ -103,19 +103,19 @@ def fingerprint_links(distinct: DataFrame, distance: int = 3, blocks: int = BLOC
     by a hash into parts, and each pair of parts is a group of its own, so a group never holds more than about twice
     ``part`` values and none is left out.
     """
-    keyed = distinct.select("fp", F.explode(block_keys(F.col("fp"), distance, blocks)).alias("key")).select("fp", "key.choice", "key.bits")
-    counted = stage(keyed.groupBy("choice", "bits").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("one"), F.max("fp").alias("two")).where("n > 1"))
+    keyed = distinct.select("fp", F.explode(block_keys(F.col("fp"), distance, blocks)).alias("key"))
+    counted = stage(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("one"), F.max("fp").alias("two")).where("n > 1"))
     # two fingerprints are a pair as they stand
     pairs = counted.where("n = 2").select(F.col("one").alias("a"), F.col("two").alias("b"))
     close = pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
-    more = counted.where("n > 2").select("choice", "bits", F.ceil(F.col("n") / part).cast("int").alias("parts"))
-    member = keyed.join(more, ["choice", "bits"]).withColumn("own", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("parts")).cast("int"))
+    more = counted.where("n > 2").select("key", F.ceil(F.col("n") / part).cast("int").alias("parts"))
+    member = keyed.join(more, "key").withColumn("own", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("parts")).cast("int"))
     dealt = member.select(
-        "choice", "bits", "fp", "own",
+        "key", "fp", "own",
         F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda other: F.struct(
             F.least("own", other).alias("low"), F.greatest("own", other).alias("high")))).alias("at"),
     )
-    groups = dealt.select("choice", "bits", "fp", "own", "at.low", "at.high").groupBy("choice", "bits", "low", "high").agg(
+    groups = dealt.select("key", "fp", "own", "at.low", "at.high").groupBy("key", "low", "high").agg(
         F.collect_list(F.when(F.col("own") == F.col("low"), F.col("fp"))).alias("lefts"),
         F.collect_list(F.when(F.col("own") == F.col("high"), F.col("fp"))).alias("rights"),
     ).select("lefts", "rights")
