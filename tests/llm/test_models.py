@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vigilframe.llm import language, quality, queries
+from vigilframe.llm import common, language, quality, queries
 from vigilframe.llm.common import id_fold, table
 
 SF = "/root/testdata/sf0.01"
@@ -23,6 +23,12 @@ def test_long_texts_count_as_whole(monkeypatch):
     assert (quality.term_counts(text) == whole).all() and (language.letter_counts(text) == letters).all()
 
 
+def test_counts_are_packed():
+    counts = np.zeros((3, 5000), dtype=np.int64)
+    counts[0, [0, 4999]], counts[1, 7] = (3, 1 << 20), 1
+    assert (common.unpack_counts([common.pack_counts(row) for row in counts], 5000) == counts).all()
+
+
 def test_terms():
     counts = quality.term_counts("aB  c\n")
     assert counts[quality.TRIPLES + (1 << 4 | 2)] == 1 and counts[quality.WORDS] == 2

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from vigilframe.session import stage
@@ -39,6 +40,21 @@ def byte_runs(sizes: list[int], limit: int) -> Iterator[range]:
         yield range(start, len(sizes))
 
 
+def pack_counts(counts: np.ndarray) -> bytes:
+    """The places of counts over zero (16 bits each), then those counts (32 bits each): a few kilobytes for a text."""
+    there = np.flatnonzero(counts)
+    return there.astype("<u2").tobytes() + counts[there].astype("<u4").tobytes()
+
+
+def unpack_counts(packed: list[bytes], size: int) -> np.ndarray:
+    """Rows of ``size`` counts."""
+    rows = np.zeros((len(packed), size), dtype=np.float32)
+    for row, data in zip(rows, packed, strict=True):
+        number = len(data) // 6
+        row[np.frombuffer(data, "<u2", number)] = np.frombuffer(data, "<u4", number, 2 * number)
+    return rows
+
+
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b): root is the smallest node of its component.
 

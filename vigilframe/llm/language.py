@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from vigilframe.llm.common import pack_counts, unpack_counts
+
 #: ISO 639-1 codes by family; a language that is not here is a family of its own.
 FAMILIES = {
     "germanic": "af da de en fo fy is lb nb nl nn no sv yi",
@@ -89,7 +91,7 @@ def letter_counts(text: str) -> np.ndarray:
 
 def unit_rows(counts: np.ndarray) -> np.ndarray:
     """Root of each count's share, so rows have length 1, and a constant for the machines' thresholds."""
-    rows = np.sqrt(counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)).astype(np.float32)
+    rows = np.sqrt(counts.astype(np.float32) / np.maximum(counts.sum(axis=1, keepdims=True), 1).astype(np.float32))
     return np.concatenate((rows, np.full((len(rows), 1), 0.3, dtype=np.float32)), axis=1)
 
 
@@ -174,7 +176,7 @@ def sampled_texts(docs: DataFrame, learns: Column, rows: int, id_column: str = "
     shares = docs.sparkSession.createDataFrame([(name, min(1.0, each / number)) for name, number in totals.items()], "of string, share double")
     drawn = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 32)) / F.lit(float(1 << 32))
     # the hash keeps about as many as asked for; the limit bounds what one id on very many rows could add
-    chosen = known.join(F.broadcast(shares), F.col("lang") == F.col("of")).where(drawn < F.col("share")).select("doc_id", "lang", "text").limit(2 * rows + 100)
+    chosen = known.join(shares, F.col("lang") == F.col("of")).where(drawn < F.col("share")).select("doc_id", "lang", "text").limit(2 * rows + 100)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,7 +190,7 @@ def sampled_texts(docs: DataFrame, learns: Column, rows: int, id_column: str = "
                         names.append(name)
                         parts.append(part)
                         ids.append(doc_id)
-                        packed.append(letter_counts(some).astype("<u4").tobytes())
+                        packed.append(pack_counts(letter_counts(some)))
                 yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(names, pa.string()), pa.array(parts, pa.int32()), pa.array(packed, pa.binary())], names=["doc_id", "lang", "part", "counts"])
 
     found = chosen.mapInArrow(vectors, "doc_id long, lang string, part int, counts binary").collect()
@@ -198,7 +200,7 @@ def sampled_texts(docs: DataFrame, learns: Column, rows: int, id_column: str = "
 def fit(sample: list[tuple[str, int, bytes]]) -> Model:
     if not sample:
         return Model(Duel((), (), np.zeros((0, FEATURES + 1), np.float32)), ())
-    counts = np.stack([np.frombuffer(row[2], dtype="<u4") for row in sample])
+    counts = unpack_counts([row[2] for row in sample], FEATURES)
     there = counts.any(axis=1)
     if not there.any():
         return fit([])
