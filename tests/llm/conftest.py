@@ -1,7 +1,4 @@
 import pytest
-from pyspark.sql import Row
-
-from vigilframe import session
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -26,10 +23,3 @@ def sf_copy(spark, tmp_path_factory):
         return folder
 
     return write
-
-
-def rows(frame: object) -> list[Row]:
-    return frame.collect()
-
-
-__all__ = ["session"]

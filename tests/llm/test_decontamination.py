@@ -24,8 +24,9 @@ FILLER = "Nothing that stands here belongs to any question at all, it only fills
 
 
 def test_templates():
-    _, kinds, _, literals = next(decontaminate.Canonicaliser().forms("Then Maria Lopez ran 5 km, or 5km (in 20 minutes) in $3.50! IT WAS | Good.\nNew line"))
-    signs = [decontaminate.PLACEHOLDER.get(kind, value) for kind, value in zip(kinds.tolist(), literals, strict=True)]
+    _, tokens = next(decontaminate.Canonicaliser().forms("Then Maria Lopez ran 5 km, or 5km (in 20 minutes) in $3.50! IT WAS | Good.\nNew line"))
+    literals = [tokens.literal(place) for place in range(len(tokens.kinds))]
+    signs = [decontaminate.PLACEHOLDER.get(kind, value) for kind, value in zip(tokens.kinds.tolist(), literals, strict=True)]
     assert signs == ["then", "<name>", "ran", "<qty>", "or", "<qty>", "in", "<qty>", "in", "<qty>", "it", "was", "<name>", "new", "line"]
     assert literals[1] == "maria lopez" and literals[3] == "5 km"
 
@@ -49,6 +50,12 @@ def test_slots_must_agree_throughout(documents, bench):
     assert (1, 1) in got and (2, 1) not in got
 
 
+def test_short_items_with_a_word_changed(documents, bench):
+    item = "one day the small red engine went over the far hills to bring all the toys home"
+    got = found(documents((1, item.replace("hills", "mountains")), (2, item.replace("red", "").replace("toys", "boys").replace("far", "low"))), bench((1, item)))
+    assert (1, 1) in got and (2, 1) not in got
+
+
 def test_windows_of_other_places_do_not_add_up(documents, bench):
     words = [f"w{number}" for number in range(40)]
     item = " ".join(words)
@@ -71,9 +78,9 @@ def test_empty_tables(documents, bench):
 def test_filter_never_hides_a_window(spark, bench):
     items = decontaminate.benchmark_windows(bench(*((number, f"word{number} " + ITEM + f" tail{number}") for number in range(300)))).cache()
     bits, sizes = decontaminate.window_filter(items.withColumnRenamed("id", "item_id"))
-    assert sizes == [8]
-    for _, kinds, hashes, _ in decontaminate.Canonicaliser().forms("word7 " + ITEM + " tail7"):
-        assert decontaminate.in_filter(bits, decontaminate.window_hashes(hashes, 8))[np.convolve(kinds == 0, [1] * 8, "valid") >= 4].all()
+    assert sizes == [5]
+    for _, tokens in decontaminate.Canonicaliser().forms("word7 " + ITEM + " tail7"):
+        assert decontaminate.in_filter(bits, decontaminate.window_hashes(tokens.hashes, 5))[np.convolve(tokens.kinds == 0, [1] * 5, "valid") >= 3].all()
 
 
 def test_query_finds_planted_passages(spark, sf_dir):

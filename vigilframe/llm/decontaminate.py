@@ -21,8 +21,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from vigilframe.session import stage
 
-#: Tokens of a window; an item with fewer, but at least LEAST, is a window of its own length.
-WINDOW, LEAST = 8, 4
+#: Tokens of a window; an item with fewer, but at least LEAST, is a window of its own length. A changed word spoils as
+#: many windows as a window has tokens, so short windows let short items be found with a word changed; that windows
+#: must stand in one alignment keeps them from matching by chance.
+WINDOW, LEAST = 5, 4
 #: Of a window's tokens, this share at least must be words and not placeholders.
 LITERAL = 0.5
 #: Share of an item's windows that one alignment must cover.
@@ -48,6 +50,17 @@ PLACEHOLDER = {NUMBER: "<num>", QUANTITY: "<qty>", NAME: "<name>"}
 
 def canonical_word(word: str) -> tuple[str, int, bool, bool]:
     """(literal, kind, may be a name, ends a sentence) of what stands between white space."""
+    core, ends = word, False
+    if not core.isalpha():
+        core, ends = word[:-1], word[-1] == "."
+        if word[-1] not in ".," or not core.isalpha():
+            return _marked_word(word)
+    # words in capitals throughout are shouted or short forms, and stay words
+    return core.lower(), WORD, core[0].isupper() and not core.isupper(), ends
+
+
+def _marked_word(word: str) -> tuple[str, int, bool, bool]:
+    """The same for a word with other signs than letters and a stop."""
     core = word.strip("\"'`´‘’“”«»()[]{}<>*#_~|.,;:!?&-–—…=+^\\")
     ends = word.rstrip("\"'’”»)]}*#_~&%$")[-1:] in {".", "!", "?", ":"}
     lower = core.lower()
@@ -62,34 +75,58 @@ def canonical_word(word: str) -> tuple[str, int, bool, bool]:
             return lower, QUANTITY, False, ends
     if not any(sign.isalnum() for sign in core):
         return ("", UNIT, False, ends) if core in _UNITS else ("", NOTHING, False, ends)
-    # words in capitals throughout are shouted or short forms, and stay words
     return lower, WORD, core[0].isupper() and any(sign.islower() for sign in core), ends
 
 
+class Tokens:
+    """Canonical tokens of a text in one form: kinds, hashes, and the literal of each, put together when asked for."""
+
+    def __init__(self, kinds: np.ndarray, hashes: np.ndarray, places: np.ndarray, more: dict[int, str], literals: list[str]):
+        self.kinds, self.hashes, self._places, self._more, self._literals = kinds, hashes, places, more, literals
+
+    def literal(self, token: int) -> str:
+        """What the token stands for; a quantity's unit and the other words of a name belong to it."""
+        return self._literals[self._places[token]] + self._more.get(token, "")
+
+    def template(self, start: int, size: int) -> tuple[str, list[str]]:
+        """The window's tokens as one text, and its slots with their values."""
+        kinds, values = self.kinds[start : start + size].tolist(), [self.literal(token) for token in range(start, start + size)]
+        text = " ".join(PLACEHOLDER.get(kind, value) for kind, value in zip(kinds, values, strict=True))
+        return text, [f"{PLACEHOLDER[kind]}{value}" for kind, value in zip(kinds, values, strict=True) if kind in PLACEHOLDER]
+
+
 class Canonicaliser:
-    """Turns texts into arrays of canonical tokens; forms of words met before are kept, up to a bound."""
+    """Turns texts into canonical tokens; forms of words met before are kept, up to a bound."""
 
     def __init__(self):
-        self.clear()
-
-    def clear(self) -> None:
         self.number: dict[str, int] = {}
         self.literals: list[str] = []
-        self.flags: list[tuple[int, bool, bool, bool]] = []
-        self.arrays: tuple[np.ndarray, np.ndarray] | None = None
-
-    def add(self, word: str) -> None:
-        literal, kind, proper, ends = canonical_word(word)
-        self.number[word] = len(self.literals)
-        self.literals.append(literal)
-        self.flags.append((kind, proper, ends, literal in _UNITS))
-
-    def forms(self, text: str) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[str]]]:
-        """(form, kinds, hashes, literals) of the text's canonical tokens: names typed, and names as words like others."""
-        read = self.read(text)
-        yield NAMES_TYPED, *self.tokens(*read)
-        if len(read[0]):
-            yield NAMES_AS_WORDS, *self.tokens(read[0], np.zeros(len(read[0]), dtype=bool))
+        self.hashes = np.zeros(1024, dtype=np.uint64)
+        #: kind, may be a name, ends a sentence, is a unit
+        self.flags = np.zeros((1024, 4), dtype=np.uint8)
+
+    def learn(self, words: set[str]) -> None:
+        from xxhash import xxh64_intdigest
+
+        known, total = len(self.literals), len(self.literals) + len(words)
+        if total > len(self.hashes):
+            more = max(total, 2 * len(self.hashes)) - len(self.hashes)
+            self.hashes = np.concatenate((self.hashes, np.zeros(more, dtype=np.uint64)))
+            self.flags = np.concatenate((self.flags, np.zeros((more, 4), dtype=np.uint8)))
+        rows = [canonical_word(word) for word in words]
+        self.number.update(zip(words, range(known, total), strict=True))
+        self.literals.extend(row[0] for row in rows)
+        self.hashes[known:total] = [xxh64_intdigest(row[0]) for row in rows]
+        self.flags[known:total] = [(kind, proper, ends, literal in _UNITS) for literal, kind, proper, ends in rows]
+
+    def forms(self, text: str) -> Iterator[tuple[list[int], Tokens]]:
+        """(forms, tokens): names typed, and names as words like others; one item for both where there are no names."""
+        places, names = self.read(text)
+        if names.any():
+            yield [NAMES_TYPED], self.tokens(places, names)
+            yield [NAMES_AS_WORDS], self.tokens(places, np.zeros_like(names))
+        else:
+            yield [NAMES_TYPED, NAMES_AS_WORDS], self.tokens(places, names)
 
     def read(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """(numbers of the words, which of them may be names)."""
@@ -98,48 +135,41 @@ class Canonicaliser:
             lines.append(len(words))
             words.extend(line.split())
         if len(self.number) > KEPT_WORDS:
-            self.clear()
-        fresh = set(words).difference(self.number)
-        if fresh or self.arrays is None:
-            from xxhash import xxh64_intdigest
-
-            known = 0 if self.arrays is None else len(self.arrays[0])
-            for word in fresh:
-                self.add(word)
-            flags = np.array(self.flags[known:], dtype=np.uint8).reshape(-1, 4)
-            hashes = np.fromiter((xxh64_intdigest(one) for one in self.literals[known:]), dtype=np.uint64)
-            self.arrays = (flags, hashes) if not known else (np.concatenate((self.arrays[0], flags)), np.concatenate((self.arrays[1], hashes)))
+            self.__init__()
+        if fresh := set(words).difference(self.number):
+            self.learn(fresh)
         places = np.fromiter(map(self.number.__getitem__, words), dtype=np.int64, count=len(words))
-        flags = self.arrays[0][places]
+        flags = self.flags[places]
         starts = np.ones(len(words), dtype=bool)
         starts[1:] = flags[:-1, 2]
         starts[[place for place in lines if place < len(words)]] = True
         return places, flags[:, 1].astype(bool) & ~starts
 
-    def tokens(self, places: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[str]]:
-        """(kinds, hashes, literals) of the canonical tokens."""
-        flags, hashes = self.arrays[0][places], self.arrays[1][places]
+    def tokens(self, places: np.ndarray, names: np.ndarray) -> Tokens:
+        flags, hashes = self.flags[places], self.hashes[places]
         kinds, ends, unit = flags[:, 0].copy(), flags[:, 2].astype(bool), flags[:, 3].astype(bool)
         kinds[names] = NAME
-        there = np.flatnonzero(kinds != NOTHING)  # signs alone are no tokens
-        kinds, hashes, places, unit, ends = kinds[there], hashes[there], places[there], unit[there], ends[there]
-        before = np.full(len(kinds), NOTHING, dtype=np.uint8)
-        before[1:] = kinds[:-1]
-        broken = np.zeros(len(kinds), dtype=bool)
-        broken[1:] = ends[:-1]
-        measured = unit & (before == NUMBER) & ~broken  # a number and its unit are one quantity
-        kinds[np.flatnonzero(measured) - 1] = QUANTITY
-        kinds[(kinds == UNIT) & ~measured] = NOTHING
-        kept = ~measured & ~((kinds == NAME) & (before == NAME) & ~broken) & (kinds != NOTHING)
-        kinds, hashes = kinds[kept], hashes[kept]
-        for kind, sign in PLACEHOLDER.items():
-            hashes[kinds == kind] = np.uint64(kind)
-        # a slot's literal is all that it stands for: the unit, or the other words of the name
-        owner = np.cumsum(kept) - 1
-        literals = [self.literals[place] for place in places[kept].tolist()]
-        for place in np.flatnonzero(~kept & (measured | (before == NAME)) & (owner >= 0)).tolist():
-            literals[owner[place]] += " " + self.literals[places[place]]
-        return kinds, hashes, literals
+        more: dict[int, str] = {}
+        there = kinds != NOTHING  # signs alone are no tokens
+        if not there.all():
+            kinds, hashes, places, unit, ends = kinds[there], hashes[there], places[there], unit[there], ends[there]
+        if (kinds != WORD).any():
+            before = np.full(len(kinds), NOTHING, dtype=np.uint8)
+            before[1:] = kinds[:-1]
+            broken = np.zeros(len(kinds), dtype=bool)
+            broken[1:] = ends[:-1]
+            measured = unit & (before == NUMBER) & ~broken  # a number and its unit are one quantity
+            kinds[np.flatnonzero(measured) - 1] = QUANTITY
+            kinds[(kinds == UNIT) & ~measured] = NOTHING
+            joined = measured | ((kinds == NAME) & (before == NAME) & ~broken)
+            kept = ~joined & (kinds != NOTHING)
+            owner = np.cumsum(kept) - 1
+            for place in np.flatnonzero(joined).tolist():
+                more[int(owner[place])] = f"{more.get(int(owner[place]), '')} {self.literals[places[place]]}"
+            kinds, hashes, places = kinds[kept], hashes[kept], places[kept]
+            for kind in PLACEHOLDER:
+                hashes[kinds == kind] = np.uint64(kind)
+        return Tokens(kinds, hashes, places, more, self.literals)
 
 
 def window_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -150,17 +180,16 @@ def window_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
     return found
 
 
-def windows_of(kinds: np.ndarray, hashes: np.ndarray, literals: list[str], size: int, keep: np.ndarray | None) -> Iterator[tuple[int, str, list[str]]]:
+def windows_of(tokens: Tokens, size: int, keep: np.ndarray | None) -> Iterator[tuple[int, str, list[str]]]:
     """(place, template, slots) of the windows of ``size`` tokens that have words enough and that ``keep`` lets pass."""
-    if len(kinds) < size:
+    if len(tokens.kinds) < size:
         return
-    filled = np.convolve(kinds == WORD, np.ones(size, dtype=np.int64), "valid") >= LITERAL * size
+    words = np.concatenate(([0], np.cumsum(tokens.kinds == WORD)))
+    filled = words[size:] - words[:-size] >= LITERAL * size
     if keep is not None:
-        filled &= in_filter(keep, window_hashes(hashes, size))
+        filled &= in_filter(keep, window_hashes(tokens.hashes, size))
     for place in np.flatnonzero(filled).tolist():
-        part, values = kinds[place : place + size].tolist(), literals[place : place + size]
-        template = " ".join(PLACEHOLDER.get(kind, value) for kind, value in zip(part, values, strict=True))
-        yield place, template, [f"{PLACEHOLDER[kind]}{value}" for kind, value in zip(part, values, strict=True) if kind in PLACEHOLDER]
+        yield place, *tokens.template(place, size)
 
 
 def in_filter(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -184,10 +213,10 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, id_column: str
         for batch in batches:
             for item, text in zip(*batch.columns, strict=True):
                 rows = []
-                for form, kinds, hashes, literals in canonical.forms(text.as_py() or ""):
-                    size = min(window, len(kinds))
+                for forms, tokens in canonical.forms(text.as_py() or ""):
+                    size = min(window, len(tokens.kinds))
                     if size >= LEAST:
-                        rows.extend((item.as_py(), form, size, *one) for one in windows_of(kinds, hashes, literals, size, None))
+                        rows.extend((item.as_py(), form, size, *one) for one in windows_of(tokens, size, None) for form in forms)
                 if rows:
                     yield _rows(rows)
 
@@ -231,9 +260,9 @@ def document_windows(docs: DataFrame, bits: np.ndarray, sizes: list[int], id_col
         for batch in batches:
             rows = []
             for doc_id, text in zip(*batch.columns, strict=True):
-                for form, kinds, hashes, literals in canonical[0].forms(text.as_py() or ""):
+                for forms, tokens in canonical[0].forms(text.as_py() or ""):
                     for size in sizes:
-                        rows.extend((doc_id.as_py(), form, size, *one) for one in windows_of(kinds, hashes, literals, size, shared.value))
+                        rows.extend((doc_id.as_py(), form, size, *one) for one in windows_of(tokens, size, shared.value) for form in forms)
                 if len(rows) > 10_000:
                     yield _rows(rows)
                     rows = []
