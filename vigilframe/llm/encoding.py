@@ -84,11 +84,12 @@ class PieceEncoder:
         self.value, self.young, self.old = value, {}, {}
         suffix = getattr(self.library.model, "end_of_word_suffix", None)
         #: True for ids that end a word of the tokenizer, if it marks words' ends
-        self.ends_word = None
+        self.ends_word, self.stops = None, {}
         if suffix and self.by_piece:
             self.ends_word = np.zeros(self.library.get_vocab_size(), dtype=bool)
             for token, number in self.library.get_vocab().items():
                 self.ends_word[number] = token.endswith(suffix)
+            self.stops = dict(zip((b".", b","), self.one_by_one([b".", b","]), strict=True))
 
     def split(self, text: bytes) -> list[bytes]:
         return text.split() if self.by_piece else [text]
@@ -100,11 +101,22 @@ class PieceEncoder:
         """A table with the value of every piece of this run."""
         if len(self.young) > KEPT_PIECES:
             self.old, self.young = self.young, {}
-        young, old, batch, held = self.young, self.old, [], 0
+        young, old, asked, stopped = self.young, self.old, set(), []
         for piece in set(chain.from_iterable(pieces)).difference(young):
             if piece in old:
                 young[piece] = old[piece]
                 continue
+            if piece[-1:] in self.stops and _one_word(piece[:-1]):  # a word and a stop: the word's ids, then the stop's
+                stopped.append(piece)
+                piece = piece[:-1]
+                if piece in young:
+                    continue
+                if piece in old:
+                    young[piece] = old[piece]
+                    continue
+            asked.add(piece)
+        batch, held = [], 0
+        for piece in asked:
             batch.append(piece)
             held += len(piece)
             if held >= BATCH_BYTES:
@@ -112,33 +124,31 @@ class PieceEncoder:
                 batch, held = [], 0
         if batch:
             self.encode(batch)
+        for piece in stopped:
+            young[piece] = young[piece[:-1]] + self.stops[piece[-1:]]
         return young
 
     def encode(self, batch: list[bytes]) -> None:
-        """Pieces that are one word, or one and a stop, go as one text whose words' ends are counted; others go one by one."""
-        joined, words, single = [], [], batch
+        """Single words go as one text, in which the ids that end a word are counted; other pieces go one by one."""
+        words, single = [], batch
         if self.ends_word is not None:
-            single = []
+            words, single = [], []
             for piece in batch:
-                stop = piece[-1:] in (b".", b",")
-                if _one_word(piece[:-1] if stop else piece):
-                    joined.append(piece)
-                    words.append(1 + stop)
-                else:
-                    single.append(piece)
-        if joined:
-            ids = np.array(self.library.encode_batch_fast([b" ".join(joined).decode()], add_special_tokens=False)[0].ids, dtype=np.int64)
+                (words if _one_word(piece) else single).append(piece)
+        if words:
+            ids = np.array(self.library.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, dtype=np.int64)
             ends = np.flatnonzero(self.ends_word[ids]) + 1
-            last = np.cumsum(words) - 1
-            if len(ends) == last[-1] + 1 and ends[-1] == len(ids):
-                self.young.update(zip(joined, self.value(ids, ends[last]), strict=True))
+            if len(ends) == len(words) and ends[-1] == len(ids):
+                self.young.update(zip(words, self.value(ids, ends), strict=True))
             else:
                 single = batch
         if single:
-            found = self.library.encode_batch_fast([piece.decode("utf-8", "replace") for piece in single], add_special_tokens=False)
-            parts = [one.ids for one in found]
-            ids = np.array(list(chain.from_iterable(parts)), dtype=np.int64)
-            self.young.update(zip(single, self.value(ids, np.cumsum([len(one) for one in parts])), strict=True))
+            self.young.update(zip(single, self.one_by_one(single), strict=True))
+
+    def one_by_one(self, batch: list[bytes]) -> list:
+        found = self.library.encode_batch_fast([piece.decode("utf-8", "replace") for piece in batch], add_special_tokens=False)
+        parts = [one.ids for one in found]
+        return self.value(np.array(list(chain.from_iterable(parts)), dtype=np.int64), np.cumsum([len(one) for one in parts]))
 
 
 def row_slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
