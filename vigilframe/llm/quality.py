@@ -14,7 +14,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+
+from vigilframe.llm.common import pack_counts, unpack_counts
+from vigilframe.session import stage
 
 #: Labelled rows of each class that the space and the neighbours are taken from, about this many by a hash of the id.
 SAMPLE_PER_CLASS = 2048
@@ -74,8 +77,12 @@ def term_counts(text: str) -> np.ndarray:
 
 def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """Rows of unit length: root of a term's share of the text's terms, times its rarity; no terms give zeros."""
-    shares = np.sqrt(counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)).astype(np.float32) * idf
-    return shares / np.maximum(np.linalg.norm(shares, axis=1, keepdims=True), 1e-9)
+    shares = counts.astype(np.float32)
+    shares /= np.maximum(counts.sum(axis=1, keepdims=True), 1)
+    np.sqrt(shares, out=shares)
+    shares *= idf
+    shares /= np.maximum(np.linalg.norm(shares, axis=1, keepdims=True), 1e-9)
+    return shares
 
 
 @dataclass(frozen=True)
@@ -142,14 +149,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int, id_colum
     for label, number in totals.items():
         share = F.when(F.col("label") == label, F.lit(min(1.0, per_class / number))).otherwise(share)
     drawn = F.pmod(F.xxhash64("labelled", F.lit(3)), F.lit(1 << 32)) / F.lit(float(1 << 32))
-    # the hash keeps about as many as asked for; the limit bounds what one id on very many rows could add
-    chosen = known.where(drawn < share)
+    # the hash keeps about as many as asked for: a written table of that size is broadcast, and no text is shuffled
+    chosen = stage(known.where(drawn < share))
     joined = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text")).join(chosen, F.col("doc_id") == F.col("labelled"))
+    # one id may stand on very many rows, which the limit bounds
     bounded = joined.select("doc_id", "label", "text").limit(8 * per_class)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, counts in _counted(batches):
-            packed = pa.array([row.tobytes() for row in counts.astype("<u4")], pa.binary())
+            packed = pa.array([pack_counts(row) for row in counts], pa.binary())
             yield pa.record_batch([part.column(0), part.column(1), packed], names=["doc_id", "label", "counts"])
 
     found = bounded.mapInArrow(vectors, "doc_id long, label int, counts binary").collect()
@@ -164,7 +172,7 @@ def fit(sample: list[tuple[int, int, bytes]], totals: dict[int, int], documents:
     prior = totals.get(1, 0) / everything if everything else 0.5
     if not len(sample):
         return Model(idf, np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), np.zeros(0), prior)
-    rows = weighted(np.stack([np.frombuffer(row[2], dtype="<u4") for row in sample]), idf)
+    rows = weighted(unpack_counts([row[2] for row in sample], TERMS), idf)
     width = min(DIMENSIONS, len(sample))
     sketch = rows @ np.random.default_rng(0).standard_normal((TERMS, min(width + 16, len(sample)))).astype(np.float32)
     for _ in range(3):  # power steps bring the sketch close to the leading singular vectors
@@ -200,8 +208,6 @@ def quality_scores(docs: DataFrame, model: Model, text_column: str = "text", nam
             yield pa.RecordBatch.from_arrays(
                 [*part.columns[:-1], pa.array(shared.value.scores(counts))], names=[*columns, name])
 
-    from pyspark.sql import types as T
-
     source = docs.select(*[F.col(f"`{old}`").alias(new) for old, new in zip(docs.columns, columns, strict=True)], F.col(text_column).cast("string").alias("text"))
     schema = T.StructType([T.StructField(new, field.dataType) for new, field in zip(columns, docs.schema, strict=True)] + [T.StructField(name, T.DoubleType())])
     scored = source.mapInArrow(score, schema)
