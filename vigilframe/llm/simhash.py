@@ -22,6 +22,8 @@ from vigilframe.session import stage
 BLOCKS = 7
 #: Fingerprints of one key that are compared in one place; a key with more is dealt out as pairs of parts.
 PART = 2048
+#: Up to so many keys that three fingerprints or more meet at (16 bytes each) are broadcast; more are joined by a shuffle.
+BROADCAST_KEYS = 500_000
 #: Shingles whose bits are counted at once.
 SHINGLES = 1 << 15
 
@@ -103,12 +105,16 @@ def fingerprint_links(distinct: DataFrame, distance: int = 3, blocks: int = BLOC
     by a hash into parts, and each pair of parts is a group of its own, so a group never holds more than about twice
     ``part`` values and none is left out.
     """
-    keyed = distinct.select("fp", F.explode(block_keys(F.col("fp"), distance, blocks)).alias("key"))
+    # a small table makes many keys: a stated number of partitions, because its size doesn't show the work
+    dealt_out = distinct.select("fp").repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    keyed = dealt_out.select("fp", F.explode(block_keys(F.col("fp"), distance, blocks)).alias("key"))
     counted = stage(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("one"), F.max("fp").alias("two")).where("n > 1"))
     # two fingerprints are a pair as they stand
     pairs = counted.where("n = 2").select(F.col("one").alias("a"), F.col("two").alias("b"))
     close = pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
     more = counted.where("n > 2").select("key", F.ceil(F.col("n") / part).cast("int").alias("parts"))
+    if more.count() <= BROADCAST_KEYS:
+        more = F.broadcast(more)
     member = keyed.join(more, "key").withColumn("own", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("parts")).cast("int"))
     dealt = member.select(
         "key", "fp", "own",
