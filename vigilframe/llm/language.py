@@ -173,10 +173,11 @@ def sampled_texts(docs: DataFrame, learns: Column, rows: int, id_column: str = "
     if not totals:
         return []
     each = max(2, rows // len(totals))
+    # one row per language, which the driver has made itself: broadcast, so that no text is shuffled
     shares = docs.sparkSession.createDataFrame([(name, min(1.0, each / number)) for name, number in totals.items()], "of string, share double")
     drawn = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 32)) / F.lit(float(1 << 32))
     # the hash keeps about as many as asked for; the limit bounds what one id on very many rows could add
-    chosen = known.join(shares, F.col("lang") == F.col("of")).where(drawn < F.col("share")).select("doc_id", "lang", "text").limit(2 * rows + 100)
+    chosen = known.join(F.broadcast(shares), F.col("lang") == F.col("of")).where(drawn < F.col("share")).select("doc_id", "lang", "text").limit(2 * rows + 100)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
