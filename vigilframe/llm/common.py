@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -28,16 +29,16 @@ def running_offsets(counts: DataFrame, order: list[str], value: str, name: str)
     return counts.withColumn(name, F.coalesce(F.sum(value).over(window), F.lit(0)).cast("long"))
 
 
-def byte_runs(sizes: list[int], limit: int) -> Iterator[range]:
-    """Consecutive rows whose sizes add up to about ``limit``; a larger row stands alone."""
-    start, held = 0, 0
-    for place, size in enumerate(sizes):
-        if held and held + size > limit:
-            yield range(start, place)
-            start, held = place, 0
-        held += size
-    if start < len(sizes):
-        yield range(start, len(sizes))
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """While a job runs, Arrow hands tasks batches of this many rows: with long texts the usual number takes much memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def pack_counts(counts: np.ndarray) -> bytes:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from vigilframe import session
 from vigilframe.llm import simple8b
-from vigilframe.llm.common import running_offsets
+from vigilframe.llm.common import arrow_rows, running_offsets
 from vigilframe.llm.encoding import PieceEncoder, id_bytes, row_slices, runs
 
 MAGIC, VERSION, END = b"S8B1", 1, "\x00S8B-END\n"
@@ -31,6 +31,8 @@ MAGIC, VERSION, END = b"S8B1", 1, "\x00S8B-END\n"
 FRAME_IDS = 1 << 18
 #: Frames in a file, so that a reader may hold a file.
 FILE_FRAMES = 64
+#: Rows that a task gets from Arrow at once.
+BATCH_ROWS = 512
 
 _ENCODERS: dict[str, PieceEncoder] = {}
 
@@ -109,7 +111,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, i
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("binary").alias("text"))
     order = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
     frames = order.select("doc_id", "text").mapInArrow(encode, "frame binary").select(F.col("frame").cast("string").alias("value"))
-    frames.write.option("lineSep", END).option("maxRecordsPerFile", FILE_FRAMES).option("compression", "none").text(path)
+    with arrow_rows(docs.sparkSession, BATCH_ROWS):
+        frames.write.option("lineSep", END).option("maxRecordsPerFile", FILE_FRAMES).option("compression", "none").text(path)
 
 
 def _one_frame(doc_ids: list[int | None], lengths: list[int], coded: list[bytes]) -> pa.RecordBatch:
