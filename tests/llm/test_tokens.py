@@ -1,3 +1,4 @@
+import shutil
 import zlib
 
 import numpy as np
@@ -126,6 +127,22 @@ def test_many_frames_and_files(spark, documents, monkeypatch, tmp_path):
         held += row.n_tokens
 
 
+def test_pieces_are_read_from_the_end_of_a_name(spark, documents, monkeypatch, tmp_path):
+    monkeypatch.setattr(token_output, "FRAME_IDS", 50)
+    monkeypatch.setattr(token_output, "FILE_FRAMES", 1)
+    token_output.write_token_files(documents(*((number, f"some words of document {number} " * (number % 7)) for number in range(120))), str(tmp_path / "f"), PATH, 2)
+    (tmp_path / "g").mkdir()
+    for file in (tmp_path / "f").glob("part-*.txt"):
+        part, piece = file.name[:10], file.name[file.name.rindex("-c") :]
+        shutil.copy(file, tmp_path / "g" / f"{part}-6b5a3c2e-c2d1-4e5f-8a9b-c0ffee123456{piece}")
+    assert token_output.read_token_files(spark, str(tmp_path / "g")).agg({"piece": "max"}).first()[0] > 0
+    held = 0
+    for row in token_output.token_index(spark, str(tmp_path / "g")).orderBy("doc_id").collect():
+        assert row.start == held
+        held += row.n_tokens
+    assert held > 0
+
+
 def test_empty_table(documents):
     empty = documents((1, "x")).where("false")
     assert token_counts(empty, PATH).count() == 0

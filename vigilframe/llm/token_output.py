@@ -147,7 +147,7 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) ->
     files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
     decoded = files.mapInArrow(decode, schema)
     return decoded.withColumns({
-        "part": F.regexp_extract("name", r"^part-(\d+)", 1).cast("long"), "piece": F.regexp_extract("name", r"-c(\d+)", 1).cast("long"),
+        "part": F.regexp_extract("name", r"^part-(\d+)", 1).cast("long"), "piece": F.regexp_extract("name", r"-c(\d+)\.txt$", 1).cast("long"),
     }).drop("name")
 
 
