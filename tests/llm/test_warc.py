@@ -62,6 +62,20 @@ def test_chunks_carry_digests(spark):
     ]
 
 
+@pytest.mark.parametrize("chunk", [64, 1 << 18])
+def test_payloads_that_end_in_one_line_end(spark, tmp_path, chunk):
+    rows = [
+        (1, "u", "X\r\n"), (2, "u", "\r\n"), (3, "u", "y" * 62 + "\r\n" + "z" * 62 + "\r\n"), (4, "u", "a\r\n" * 200), (5, "u", "\r\n" * 99),
+        (6, "u", "b" * 63 + "\r\n" + "c"), (7, "u", "X\r\n\r"), (8, "u", "X\r\n\r\n\r\n"), (9, "u", "last\r\n"),
+    ]
+    path = str(tmp_path / "w")
+    warc.write_archives(spark.createDataFrame(rows, PAGES).coalesce(1), path, chunk_bytes=chunk)
+    found = {}
+    for row in warc.read_archives(spark, path, with_data=True).orderBy("page_id", "segment").collect():
+        found[row.page_id] = found.get(row.page_id, b"") + bytes(row.data)
+    assert found == {page_id: html.encode() for page_id, _, html in rows}
+
+
 def test_damage_is_seen():
     good = list(warc.page_records(1, "u", memoryview(b"payload"), None, False, 100))[0]
     assert list(warc.read_records(iter(good.split(b"\r\n\r\n"))))[0][1] == b"payload"

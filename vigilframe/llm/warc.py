@@ -171,23 +171,38 @@ _READ = pa.schema([
 def read_records(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
     """(header, body) of each record in one archive, given what stands between its double line ends, in order.
 
-    A body may hold double line ends itself; Content-Length says how many pieces belong to it.
+    The pieces are put together again with the line ends between them, and Content-Length says where a body ends: a
+    body may hold double line ends itself, and one that ends in a line end is cut before it, not before the record's end.
     """
-    end = RECORD_END.encode()
-    for piece in pieces:
-        lines = piece.decode("utf-8", "replace").split("\r\n")
+    end, ahead = RECORD_END.encode(), bytearray()
+
+    def reaches(length: int) -> bool:
+        while len(ahead) < length:
+            piece = next(pieces, None)
+            if piece is None:
+                return False
+            ahead.extend(piece)
+            ahead.extend(end)
+        return True
+
+    while reaches(len(end) + 1):
+        while (place := ahead.find(end)) < 0:
+            if not reaches(len(ahead) + 1):
+                raise ValueError("an archive ends within a header")
+        lines = ahead[:place].decode("utf-8", "replace").split("\r\n")
         if not lines[0].startswith("WARC/"):
             raise ValueError(f"no record begins with {lines[0][:40]!r}")
         header = dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in lines[1:])
-        length, parts, held = int(header["Content-Length"]), [], -len(end)
-        while held < length:
-            part = next(pieces)
-            parts.append(part)
-            held += len(part) + len(end)
-        body = end.join(parts)
-        if len(body) != length:
-            raise ValueError(f"a record of {length} bytes has {len(body)}")
+        del ahead[: place + len(end)]
+        length = int(header["Content-Length"])
+        if not reaches(length + len(end)) or ahead[length : length + len(end)] != end:
+            raise ValueError(f"a record of {length} bytes does not end there")
+        body = bytes(ahead[:length])
+        del ahead[: length + len(end)]
         yield header, body
+    # a last body that ends in a line end leaves a piece which no line ends follow
+    if ahead not in (b"", end):
+        raise ValueError(f"no record begins with {bytes(ahead[:40])!r}")
 
 
 def read_archives(spark: SparkSession, path: str, with_data: bool = False) -> DataFrame:
