@@ -4,7 +4,8 @@ A text becomes a sequence of canonical tokens. A number is <num>, a number with
 that does not begin a sentence or line <name>; other words are lower-cased and lose the signs around them. Windows of WINDOW
 tokens of all documents meet the benchmark's windows in a hash join on the window's text. Windows of a document that
 stand as far from an item's windows as each other form an alignment; an alignment is a match if it covers enough of the
-item's windows and if every slot value of the item has one value in the document throughout, and the other way round. So
+item's windows and if its slots agree: slot values of the item have one value in the document nearly throughout (two
+numbers may become equal, or equal ones differ, now and then), or most windows are the item's with their slot values. So
 a copy matches, and a question asked again with other numbers or names too, but not tokens that happen to stand alike.
 Where capitals were changed names can't be told, so a second form of every text, with names as plain words, is
 compared in the same way, and the better of the two counts.
@@ -13,6 +14,7 @@ compared in the same way, and the better of the two counts.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +31,9 @@ WINDOW, LEAST = 5, 4
 LITERAL = 0.5
 #: Share of an item's windows that one alignment must cover.
 COVERAGE = 0.5
+#: Of an alignment's slots, this share at least must have the value that their item value has most often in the document;
+#: or more than SAME of its windows must have equal slot values.
+AGREEING, SAME = 3 / 4, 2 / 3
 #: Bits of the filter of benchmark windows: fixed, whatever the benchmark's size; a false hit only costs a join row.
 FILTER_BITS = 1 << 23
 #: Words kept with their canonical form in a worker.
@@ -202,8 +207,8 @@ _WINDOWS = pa.schema([("id", pa.int64()), ("form", pa.int32()), ("size", pa.int3
 WINDOW_SCHEMA = "id long, form int, size int, place int, template string, slots array<string>"
 
 
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(column, field.type) for column, field in zip(zip(*rows, strict=True), _WINDOWS, strict=True)], schema=_WINDOWS)
+def _rows(rows: list[tuple], schema: pa.Schema = _WINDOWS) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(column, field.type) for column, field in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, id_column: str = "item_id", text_column: str = "text") -> DataFrame:
@@ -273,6 +278,40 @@ def document_windows(docs: DataFrame, bits: np.ndarray, sizes: list[int], id_col
     return read.mapInArrow(cut, WINDOW_SCHEMA)
 
 
+def slots_agree(alignment: dict[int, dict]) -> bool:
+    """Whether an alignment's windows, by place in the item, are one text's."""
+    pairs: dict[int, tuple[str, str]] = {}
+    for place, one in alignment.items():
+        slots = [number for number, token in enumerate(one["template"].split(" ")) if token in PLACEHOLDER.values()]
+        pairs.update((place + number, pair) for number, pair in zip(slots, zip(one["item_slots"], one["slots"], strict=True), strict=True))
+    usual: dict[str, int] = {}
+    for (theirs, _), number in Counter(pairs.values()).items():
+        usual[theirs] = max(usual.get(theirs, 0), number)
+    if sum(usual.values()) >= AGREEING * len(pairs):
+        return True
+    return sum(one["item_slots"] == one["slots"] for one in alignment.values()) > SAME * len(alignment)
+
+
+JUDGED_SCHEMA = "doc_id long, item_id long, matched_windows long, item_windows long, coverage double, changed_slots long"
+_JUDGED = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("matched_windows", pa.int64()), ("item_windows", pa.int64()), ("coverage", pa.float64()), ("changed_slots", pa.int64())])
+
+
+def _judged(batches: Iterator[pa.RecordBatch], coverage: float) -> Iterator[pa.RecordBatch]:
+    """The groups of windows that are a match."""
+    for batch in batches:
+        rows = []
+        for group in (row.as_py() for row in batch.to_struct_array()):
+            alignment: dict[int, dict] = {}
+            for one in group["windows"]:  # of rows that repeat an id, the one that is more alike
+                if one["item_place"] not in alignment or one["item_slots"] == one["slots"]:
+                    alignment[one["item_place"]] = one
+            if len(alignment) >= coverage * group["item_windows"] and slots_agree(alignment):
+                changed = {theirs for one in alignment.values() for theirs, ours in zip(one["item_slots"], one["slots"], strict=True) if theirs != ours}
+                rows.append((group["doc_id"], group["item_id"], len(alignment), group["item_windows"], len(alignment) / group["item_windows"], len(changed)))
+        if rows:
+            yield _rows(rows, _JUDGED)
+
+
 def matches(
     docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE,
     id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text",
@@ -289,20 +328,15 @@ def matches(
     item_sizes = items.groupBy("item_id", "form").agg(F.count(F.lit(1)).alias("item_windows"))
     named = items.select("item_id", "form", "size", F.col("place").alias("item_place"), "template", F.col("slots").alias("item_slots"))
     met = stage(found.join(named, ["form", "size", "template"]).select(
-        F.col("id").alias("doc_id"), "item_id", "form", (F.col("place") - F.col("item_place")).alias("shift"), "item_place", "item_slots", "slots"))
+        F.col("id").alias("doc_id"), "item_id", "form", (F.col("place") - F.col("item_place")).alias("shift"), "item_place", "template", "item_slots", "slots"))
     at = ["doc_id", "item_id", "form", "shift"]
-    counted = met.groupBy(*at).agg(F.countDistinct("item_place").alias("matched_windows"))
-    slots = met.select(*at, F.explode(F.arrays_zip("item_slots", "slots")).alias("pair")).select(*at, F.col("pair.item_slots").alias("theirs"), F.col("pair.slots").alias("ours")).distinct()
-    one_way = slots.groupBy(*at, "theirs").agg(F.count(F.lit(1)).alias("n"), F.max((F.col("theirs") != F.col("ours")).cast("int")).alias("differs"))
-    other_way = slots.groupBy(*at, "ours").agg(F.count(F.lit(1)).alias("n"), F.lit(0).alias("differs"))
-    consistent = one_way.drop("theirs").unionByName(other_way.drop("ours")).groupBy(*at).agg(F.max("n").alias("most"), F.sum("differs").cast("long").alias("changed"))
-    facts = consistent.select(*[F.col(name).alias(f"at_{name}") for name in at], "most", "changed")
+    of_item = item_sizes.select(F.col("item_id").alias("of"), F.col("form").alias("of_form"), "item_windows")
+    enough = met.groupBy(*at).agg(F.countDistinct("item_place").alias("n")).join(of_item, F.col("item_id").eqNullSafe(F.col("of")) & (F.col("form") == F.col("of_form")))
+    enough = enough.where(F.col("n") >= coverage * F.col("item_windows")).select(*[F.col(name).alias(f"at_{name}") for name in at], "item_windows")
     here = F.lit(True)
     for name in at:
         here = here & F.col(name).eqNullSafe(F.col(f"at_{name}"))
-    judged = counted.join(facts, here, "left").select(*at, "matched_windows", F.coalesce("most", F.lit(1)).alias("most"), F.coalesce("changed", F.lit(0)).cast("long").alias("changed_slots"))
-    named = item_sizes.select(F.col("item_id").alias("of"), F.col("form").alias("of_form"), "item_windows")
-    sized = judged.join(named, F.col("item_id").eqNullSafe(F.col("of")) & (F.col("form") == F.col("of_form"))).withColumn("coverage", F.col("matched_windows") / F.col("item_windows"))
-    kept = sized.where((F.col("coverage") >= coverage) & (F.col("most") == 1))
+    groups = met.join(enough, here).groupBy(*at, "item_windows").agg(F.collect_set(F.struct("item_place", "template", "item_slots", "slots")).alias("windows"))
+    kept = groups.mapInArrow(lambda batches: _judged(batches, coverage), JUDGED_SCHEMA)
     best = kept.groupBy("doc_id", "item_id").agg(F.max(F.struct("coverage", "matched_windows", (-F.col("changed_slots")).alias("unchanged"), "item_windows")).alias("best"))
     return best.select("doc_id", "item_id", "best.matched_windows", "best.item_windows", "best.coverage", (-F.col("best.unchanged")).alias("changed_slots"))
