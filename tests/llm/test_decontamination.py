@@ -59,6 +59,18 @@ def test_equal_numbers_need_not_stay_equal(documents, bench):
     assert {(1, 1), (2, 1), (3, 2)} <= set(found(docs, bench((1, item), (2, typo))))
 
 
+def test_copies_of_items_with_few_words(documents, bench):
+    items = ["What is 12 * 7 - 3 ?", "Compute 48 + 24 - 6", "Who wrote Hamlet?", "1 2 3 4 5 6 7 8 9 km", "Why?"]
+    docs = documents(*((number, f"{FILLER}{item} {FILLER}") for number, item in enumerate(items)), (10, FILLER + "What is 13 * 8 - 4 ? Compute 49 + 25 - 7. Who wrote Macbeth? " + FILLER))
+    assert set(found(docs, bench(*enumerate(items), (9, "?!"), (8, "")))) == {(number, number) for number in range(len(items))}
+
+
+def test_windows_with_few_words_cost_no_match(documents, bench):
+    item = "What is the sum of 1 2 3 4 5 6 7 8 9 10 11 12 and of the number 13"
+    other = "What is the sum of 21 22 23 24 25 26 27 28 29 30 31 32 and of the number 33"
+    assert (1, 1) in found(documents((1, other)), bench((1, item)))
+
+
 def test_short_items_with_a_word_changed(documents, bench):
     item = "one day the small red engine went over the far hills to bring all the toys home"
     got = found(documents((1, item.replace("hills", "mountains")), (2, item.replace("red", "").replace("toys", "boys").replace("far", "low"))), bench((1, item)))

@@ -7,6 +7,8 @@ stand as far from an item's windows as each other form an alignment; an alignmen
 item's windows and if its slots agree: slot values of the item have one value in the document nearly throughout (two
 numbers may become equal, or equal ones differ, now and then), or most windows are the item's with their slot values. So
 a copy matches, and a question asked again with other numbers or names too, but not tokens that happen to stand alike.
+Windows with few words, and items with few tokens, are compared with the values of their slots, so their copies match; where
+an item has windows with words enough, covering enough of those will do.
 Where capitals were changed names can't be told, so a second form of every text, with names as plain words, is
 compared in the same way, and the better of the two counts.
 """
@@ -23,11 +25,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from vigilframe.session import stage
 
-#: Tokens of a window; an item with fewer, but at least LEAST, is a window of its own length. A changed word spoils as
+#: Tokens of a window; an item with fewer is a window of its own length, one with fewer than LEAST is compared with the
+#: values of its slots. A changed word spoils as
 #: many windows as a window has tokens, so short windows let short items be found with a word changed; that windows
 #: must stand in one alignment keeps them from matching by chance.
 WINDOW, LEAST = 5, 4
-#: Of a window's tokens, this share at least must be words and not placeholders.
+#: Of a window's tokens, this share at least must be words and not placeholders; else slots count with their values.
 LITERAL = 0.5
 #: Share of an item's windows that one alignment must cover.
 COVERAGE = 0.5
@@ -51,6 +54,8 @@ _QUANTITY = re.compile(r"^([$€£]?)[+-]?\d[\d.,:/]*([^\W\d_]+|[%°$€£])?$")
 WORD, NUMBER, QUANTITY, UNIT, NAME, NOTHING = range(6)
 NAMES_TYPED, NAMES_AS_WORDS = 0, 1
 PLACEHOLDER = {NUMBER: "<num>", QUANTITY: "<qty>", NAME: "<name>"}
+#: Stands before each token of a window that is compared with the values of its slots; no token holds it.
+VALUED = "\x1f"
 
 
 def canonical_word(word: str) -> tuple[str, int, bool, bool]:
@@ -84,19 +89,24 @@ def _marked_word(word: str) -> tuple[str, int, bool, bool]:
 
 
 class Tokens:
-    """Canonical tokens of a text in one form: kinds, hashes, and the literal of each, put together when asked for."""
+    """Canonical tokens of a text in one form: kinds, hashes, and the literal of each, put together when asked for.
 
-    def __init__(self, kinds: np.ndarray, hashes: np.ndarray, places: np.ndarray, more: dict[int, str], literals: list[str]):
-        self.kinds, self.hashes, self._places, self._more, self._literals = kinds, hashes, places, more, literals
+    ``plain`` has the hashes of the tokens' first words, also where ``hashes`` has a placeholder's.
+    """
+
+    def __init__(self, kinds: np.ndarray, hashes: np.ndarray, plain: np.ndarray, places: np.ndarray, more: dict[int, str], literals: list[str]):
+        self.kinds, self.hashes, self.plain, self._places, self._more, self._literals = kinds, hashes, plain, places, more, literals
 
     def literal(self, token: int) -> str:
         """What the token stands for; a quantity's unit and the other words of a name belong to it."""
         return self._literals[self._places[token]] + self._more.get(token, "")
 
-    def template(self, start: int, size: int) -> tuple[str, list[str]]:
-        """The window's tokens as one text, and its slots with their values."""
+    def template(self, start: int, size: int, valued: bool = False) -> tuple[str, list[str]]:
+        """The window's tokens as one text, with the values of its slots if asked for, and its slots with their values."""
         kinds, values = self.kinds[start : start + size].tolist(), [self.literal(token) for token in range(start, start + size)]
         text = " ".join(PLACEHOLDER.get(kind, value) for kind, value in zip(kinds, values, strict=True))
+        if valued:
+            text = "".join(f"{VALUED}{PLACEHOLDER.get(kind, '')}{value}" for kind, value in zip(kinds, values, strict=True))
         return text, [f"{PLACEHOLDER[kind]}{value}" for kind, value in zip(kinds, values, strict=True) if kind in PLACEHOLDER]
 
 
@@ -158,6 +168,7 @@ class Canonicaliser:
         there = kinds != NOTHING  # signs alone are no tokens
         if not there.all():
             kinds, hashes, places, unit, ends = kinds[there], hashes[there], places[there], unit[there], ends[there]
+        plain = hashes
         if (kinds != WORD).any():
             before = np.full(len(kinds), NOTHING, dtype=np.uint8)
             before[1:] = kinds[:-1]
@@ -171,30 +182,59 @@ class Canonicaliser:
             owner = np.cumsum(kept) - 1
             for place in np.flatnonzero(joined).tolist():
                 more[int(owner[place])] = f"{more.get(int(owner[place]), '')} {self.literals[places[place]]}"
-            kinds, hashes, places = kinds[kept], hashes[kept], places[kept]
+            kinds, plain, places = kinds[kept], hashes[kept], places[kept]
+            hashes = plain.copy()
             for kind in PLACEHOLDER:
                 hashes[kinds == kind] = np.uint64(kind)
-        return Tokens(kinds, hashes, places, more, self.literals)
+        return Tokens(kinds, hashes, plain, places, more, self.literals)
 
 
-def window_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
-    found = np.zeros(len(hashes) - size + 1, dtype=np.uint64)
+def window_hashes(hashes: np.ndarray, size: int, starts: np.ndarray | None = None) -> np.ndarray:
+    """Hashes of all windows of ``size`` tokens, or of those at ``starts``."""
+    number = len(hashes) - size + 1
+    found = np.zeros(number if starts is None else len(starts), dtype=np.uint64)
     for place in range(size):
-        found = (found + hashes[place : len(hashes) - size + 1 + place]) * np.uint64(0x9E3779B97F4A7C15)
+        found = (found + (hashes[place : number + place] if starts is None else hashes[starts + place])) * np.uint64(0x9E3779B97F4A7C15)
         found ^= found >> np.uint64(29)
     return found
 
 
+def template_tokens(template: str) -> list[str]:
+    return template.split(VALUED)[1:] if template.startswith(VALUED) else template.split(" ")
+
+
+def first_word(token: str) -> str:
+    """What Tokens.plain hashes of a token of a template with values."""
+    for sign in PLACEHOLDER.values():
+        token = token.removeprefix(sign)
+    return token.split(" ", 1)[0]
+
+
 def windows_of(tokens: Tokens, size: int, keep: np.ndarray | None) -> Iterator[tuple[int, str, list[str]]]:
-    """(place, template, slots) of the windows of ``size`` tokens that have words enough and that ``keep`` lets pass."""
+    """(place, template, slots) of the windows of ``size`` tokens that ``keep`` lets pass.
+
+    A window with too few words, or of fewer than LEAST tokens, has its slots' values in the template; one of fewer
+    than LEAST tokens comes once.
+    """
     if len(tokens.kinds) < size:
         return
     words = np.concatenate(([0], np.cumsum(tokens.kinds == WORD)))
-    filled = words[size:] - words[:-size] >= LITERAL * size
+    valued = np.full(len(tokens.kinds) - size + 1, size < LEAST) | (words[size:] - words[:-size] < LITERAL * size)
+    wanted = np.ones(len(valued), dtype=bool)
     if keep is not None:
-        filled &= in_filter(keep, window_hashes(tokens.hashes, size))
-    for place in np.flatnonzero(filled).tolist():
-        yield place, *tokens.template(place, size)
+        if not valued.all():
+            wanted = in_filter(keep, window_hashes(tokens.hashes, size))
+        if valued.any():
+            places = np.flatnonzero(valued)
+            wanted[places] = in_filter(keep, window_hashes(tokens.plain, size, places))
+    seen: set[str] = set()
+    for place in np.flatnonzero(wanted).tolist():
+        template, slots = tokens.template(place, size, bool(valued[place]))
+        if size < LEAST:
+            if template in seen:
+                continue
+            seen.add(template)
+        yield place, template, slots
 
 
 def in_filter(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -212,7 +252,7 @@ def _rows(rows: list[tuple], schema: pa.Schema = _WINDOWS) -> pa.RecordBatch:
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, id_column: str = "item_id", text_column: str = "text") -> DataFrame:
-    """Windows of every item; an item of fewer tokens than a window, but at least LEAST, is one window."""
+    """Windows of every item; an item of fewer tokens than a window is one window."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         canonical = Canonicaliser()
         for batch in batches:
@@ -220,7 +260,7 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, id_column: str
                 rows = []
                 for forms, tokens in canonical.forms(text.as_py() or ""):
                     size = min(window, len(tokens.kinds))
-                    if size >= LEAST:
+                    if size:
                         rows.extend((item.as_py(), form, size, *one) for one in windows_of(tokens, size, None) for form in forms)
                 if rows:
                     yield _rows(rows)
@@ -238,8 +278,8 @@ def window_filter(items: DataFrame) -> tuple[np.ndarray, list[int]]:
         signs = {sign: kind for kind, sign in PLACEHOLDER.items()}
         for batch in batches:
             for size, template in zip(*batch.columns, strict=True):
-                tokens = template.as_py().split(" ")
-                hashed = np.array([signs[token] if token in signs else xxh64_intdigest(token) for token in tokens], dtype=np.uint64)
+                tokens, valued = template_tokens(template.as_py()), template.as_py().startswith(VALUED)
+                hashed = np.array([xxh64_intdigest(first_word(token)) if valued else signs[token] if token in signs else xxh64_intdigest(token) for token in tokens], dtype=np.uint64)
                 value = window_hashes(hashed, len(tokens))
                 for place in (value % np.uint64(FILTER_BITS), (value >> np.uint64(32)) % np.uint64(FILTER_BITS)):
                     np.bitwise_or.at(bits, (place >> np.uint64(3)).astype(np.int64), np.uint8(1) << (place & np.uint64(7)).astype(np.uint8))
@@ -282,7 +322,7 @@ def slots_agree(alignment: dict[int, dict]) -> bool:
     """Whether an alignment's windows, by place in the item, are one text's."""
     pairs: dict[int, tuple[str, str]] = {}
     for place, one in alignment.items():
-        slots = [number for number, token in enumerate(one["template"].split(" ")) if token in PLACEHOLDER.values()]
+        slots = [number for number, token in enumerate(template_tokens(one["template"])) if token.startswith(tuple(PLACEHOLDER.values()))]
         pairs.update((place + number, pair) for number, pair in zip(slots, zip(one["item_slots"], one["slots"], strict=True), strict=True))
     usual: dict[str, int] = {}
     for (theirs, _), number in Counter(pairs.values()).items():
@@ -292,6 +332,14 @@ def slots_agree(alignment: dict[int, dict]) -> bool:
     return sum(one["item_slots"] == one["slots"] for one in alignment.values()) > SAME * len(alignment)
 
 
+def best_covered(alignment: dict[int, dict], item_windows: int, worded_windows: int) -> tuple[int, int]:
+    """(matched, item's) windows, of all or of those that have words enough, whichever is the larger share."""
+    worded = sum(not one["template"].startswith(VALUED) for one in alignment.values())
+    if worded * item_windows > len(alignment) * worded_windows:
+        return worded, worded_windows
+    return len(alignment), item_windows
+
+
 JUDGED_SCHEMA = "doc_id long, item_id long, matched_windows long, item_windows long, coverage double, changed_slots long"
 _JUDGED = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("matched_windows", pa.int64()), ("item_windows", pa.int64()), ("coverage", pa.float64()), ("changed_slots", pa.int64())])
 
@@ -305,9 +353,10 @@ def _judged(batches: Iterator[pa.RecordBatch], coverage: float) -> Iterator[pa.R
             for one in group["windows"]:  # of rows that repeat an id, the one that is more alike
                 if one["item_place"] not in alignment or one["item_slots"] == one["slots"]:
                     alignment[one["item_place"]] = one
-            if len(alignment) >= coverage * group["item_windows"] and slots_agree(alignment):
+            matched, total = best_covered(alignment, group["item_windows"], group["worded_windows"])
+            if matched >= coverage * total and slots_agree(alignment):
                 changed = {theirs for one in alignment.values() for theirs, ours in zip(one["item_slots"], one["slots"], strict=True) if theirs != ours}
-                rows.append((group["doc_id"], group["item_id"], len(alignment), group["item_windows"], len(alignment) / group["item_windows"], len(changed)))
+                rows.append((group["doc_id"], group["item_id"], matched, total, matched / total, len(changed)))
         if rows:
             yield _rows(rows, _JUDGED)
 
@@ -319,24 +368,26 @@ def matches(
     """(doc_id, item_id, matched_windows, item_windows, coverage, changed_slots) of each document and item that match.
 
     The best alignment of a pair, in either form, is returned; changed_slots counts the slot values that differ, 0 for a copy. Null and
-    empty texts and items of fewer than LEAST tokens match nothing; rows that repeat an id are taken as one document; a
+    empty texts and items without words and numbers match nothing; an item of fewer than LEAST tokens matches wherever these stand; rows that repeat an id are taken as one document; a
     null id is an id; an empty table on either side gives an empty result; other columns are not read.
     """
     items = stage(benchmark_windows(benchmark, window, item_column, item_text).withColumnRenamed("id", "item_id"))
     bits, sizes = window_filter(items)
     found = document_windows(docs, bits, sizes, id_column, text_column)
-    item_sizes = items.groupBy("item_id", "form").agg(F.count(F.lit(1)).alias("item_windows"))
+    worded = (~F.col("template").startswith(VALUED)).cast("int")
+    item_sizes = items.groupBy("item_id", "form").agg(F.count(F.lit(1)).alias("item_windows"), F.sum(worded).alias("worded_windows"))
     named = items.select("item_id", "form", "size", F.col("place").alias("item_place"), "template", F.col("slots").alias("item_slots"))
     met = stage(found.join(named, ["form", "size", "template"]).select(
         F.col("id").alias("doc_id"), "item_id", "form", (F.col("place") - F.col("item_place")).alias("shift"), "item_place", "template", "item_slots", "slots"))
     at = ["doc_id", "item_id", "form", "shift"]
-    of_item = item_sizes.select(F.col("item_id").alias("of"), F.col("form").alias("of_form"), "item_windows")
-    enough = met.groupBy(*at).agg(F.countDistinct("item_place").alias("n")).join(of_item, F.col("item_id").eqNullSafe(F.col("of")) & (F.col("form") == F.col("of_form")))
-    enough = enough.where(F.col("n") >= coverage * F.col("item_windows")).select(*[F.col(name).alias(f"at_{name}") for name in at], "item_windows")
+    of_item = item_sizes.select(F.col("item_id").alias("of"), F.col("form").alias("of_form"), "item_windows", "worded_windows")
+    enough = met.groupBy(*at).agg(F.countDistinct("item_place").alias("n"), F.countDistinct(F.when(worded == 1, F.col("item_place"))).alias("n_worded")).join(of_item, F.col("item_id").eqNullSafe(F.col("of")) & (F.col("form") == F.col("of_form")))
+    covered = (F.col("n") >= coverage * F.col("item_windows")) | ((F.col("n_worded") > 0) & (F.col("n_worded") >= coverage * F.col("worded_windows")))
+    enough = enough.where(covered).select(*[F.col(name).alias(f"at_{name}") for name in at], "item_windows", "worded_windows")
     here = F.lit(True)
     for name in at:
         here = here & F.col(name).eqNullSafe(F.col(f"at_{name}"))
-    groups = met.join(enough, here).groupBy(*at, "item_windows").agg(F.collect_set(F.struct("item_place", "template", "item_slots", "slots")).alias("windows"))
+    groups = met.join(enough, here).groupBy(*at, "item_windows", "worded_windows").agg(F.collect_set(F.struct("item_place", "template", "item_slots", "slots")).alias("windows"))
     kept = groups.mapInArrow(lambda batches: _judged(batches, coverage), JUDGED_SCHEMA)
     best = kept.groupBy("doc_id", "item_id").agg(F.max(F.struct("coverage", "matched_windows", (-F.col("changed_slots")).alias("unchanged"), "item_windows")).alias("best"))
     return best.select("doc_id", "item_id", "best.matched_windows", "best.item_windows", "best.coverage", (-F.col("best.unchanged")).alias("changed_slots"))
