@@ -71,6 +71,28 @@ def test_windows_with_few_words_cost_no_match(documents, bench):
     assert (1, 1) in found(documents((1, other)), bench((1, item)))
 
 
+def test_inserted_and_deleted_words(documents, bench):
+    words = [f"w{number}" for number in range(37)]
+    item, (first, second, third) = " ".join(words), (words[:12], words[12:25], words[25:])
+    docs = documents(
+        (1, " ".join([*words[:18], "so", *words[18:]])), (2, " ".join([*first, "so", *second, "then", *third])), (3, " ".join(words[:18] + words[19:])),
+        (4, " ".join([*second, *first, *third[:4]])), (5, " ".join([*first, *FILLER.split() * 3, *third])), (6, FILLER + ITEM.replace("Maria Lopez drives", "Jan drives").replace("km to the", "km all the way to the")),
+        (7, " ".join(["x", *words[:19], "so", "x", *words[19:]] * 20)), (8, " ".join([*first, *FILLER.split()[:10], *second, *third])), (9, "Jan " + ITEM.replace("How long does", "How very long does").replace("300", "80")),
+    )
+    got = found(docs, bench((1, item), (2, ITEM)))
+    assert set(got) == {(1, 1), (2, 1), (3, 1), (7, 1), (8, 1), (6, 2), (9, 2)}
+    assert got[1, 1].matched_windows == 29 and got[2, 1].matched_windows == 25 and got[3, 1].matched_windows == 28
+
+
+def test_parts_are_put_together_in_order():
+    def at(*places):
+        return {place: {"item_slots": [], "slots": []} for place in places}
+
+    assert sorted(decontaminate.put_together({0: at(0, 1, 2), 1: at(7, 8), -2: at(3, 4)})) == [0, 1, 2, 7, 8]
+    assert sorted(decontaminate.put_together({0: at(0, 1, 2), -2: at(5, 6)})) == [0, 1, 2, 5, 6]
+    assert sorted(decontaminate.put_together({5: at(0, 1, 2), 0: at(3, 4, 5, 6)})) == [3, 4, 5, 6]
+
+
 def test_short_items_with_a_word_changed(documents, bench):
     item = "one day the small red engine went over the far hills to bring all the toys home"
     got = found(documents((1, item.replace("hills", "mountains")), (2, item.replace("red", "").replace("toys", "boys").replace("far", "low"))), bench((1, item)))

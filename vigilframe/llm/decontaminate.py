@@ -7,6 +7,8 @@ stand as far from an item's windows as each other form an alignment; an alignmen
 item's windows and if its slots agree: slot values of the item have one value in the document nearly throughout (two
 numbers may become equal, or equal ones differ, now and then), or most windows are the item's with their slot values. So
 a copy matches, and a question asked again with other numbers or names too, but not tokens that happen to stand alike.
+Inserted and deleted tokens split a passage: alignments whose distances lie near each other are put together in the item's
+order, and together have to cover most of the item's tokens or windows.
 Windows with few words, and items with few tokens, are compared with the values of their slots, so their copies match; where
 an item has windows with words enough, covering enough of those will do.
 Where capitals were changed names can't be told, so a second form of every text, with names as plain words, is
@@ -23,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from vigilframe.llm.common import arrow_rows
 from vigilframe.session import stage
 
 #: Tokens of a window; an item with fewer is a window of its own length, one with fewer than LEAST is compared with the
@@ -37,8 +40,17 @@ COVERAGE = 0.5
 #: Of an alignment's slots, this share at least must have the value that their item value has most often in the document;
 #: or more than SAME of its windows must have equal slot values.
 AGREEING, SAME = 3 / 4, 2 / 3
+#: Alignments are put together that lie at most this many tokens, or this part of a long item's tokens, from each other.
+BAND, BAND_SHARE = 16, 4
+#: Put together they cover at least this share of the item's tokens, or of its windows: more than one alignment
+#: needs, since a text with the frame of an item around another middle is not the item.
+PARTS_TOKENS, PARTS_WINDOWS = 0.8, 0.65
+#: What going on with another distance costs, and what a window with equal slot values is worth more than others.
+CHANGE, EQUAL = 0.5, 0.1
 #: Bits of the filter of benchmark windows: fixed, whatever the benchmark's size; a false hit only costs a join row.
 FILTER_BITS = 1 << 23
+#: Groups of windows that a task gets from Arrow at once.
+GROUP_ROWS = 512
 #: Words kept with their canonical form in a worker.
 KEPT_WORDS = 200_000
 
@@ -345,49 +357,118 @@ _JUDGED = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("matched_
 
 
 def _judged(batches: Iterator[pa.RecordBatch], coverage: float) -> Iterator[pa.RecordBatch]:
-    """The groups of windows that are a match."""
+    """The best match, if any, of each group: an item's windows in a document within a band of shifts."""
     for batch in batches:
         rows = []
         for group in (row.as_py() for row in batch.to_struct_array()):
-            alignment: dict[int, dict] = {}
+            by_shift: dict[int, dict[int, dict]] = {}
             for one in group["windows"]:  # of rows that repeat an id, the one that is more alike
+                alignment = by_shift.setdefault(one["shift"], {})
                 if one["item_place"] not in alignment or one["item_slots"] == one["slots"]:
                     alignment[one["item_place"]] = one
-            matched, total = best_covered(alignment, group["item_windows"], group["worded_windows"])
-            if matched >= coverage * total and slots_agree(alignment):
-                changed = {theirs for one in alignment.values() for theirs, ours in zip(one["item_slots"], one["slots"], strict=True) if theirs != ours}
-                rows.append((group["doc_id"], group["item_id"], matched, total, matched / total, len(changed)))
+            found = []
+            for alignment in by_shift.values():
+                matched, total = best_covered(alignment, group["item_windows"], group["worded_windows"])
+                if matched >= coverage * total:
+                    found.append((matched, total, alignment))
+            if len(by_shift) > 1:
+                alignment = put_together(by_shift)
+                tokens = {place + number for place, one in alignment.items() for number in range(one["size"])}
+                matched, total = best_covered(alignment, group["item_windows"], group["worded_windows"])
+                if len(tokens) >= PARTS_TOKENS * group["item_tokens"] or matched >= max(coverage, PARTS_WINDOWS) * total:
+                    found.append((matched, total, alignment))
+            judged = []
+            for matched, total, alignment in found:
+                if slots_agree(alignment):
+                    changed = {theirs for one in alignment.values() for theirs, ours in zip(one["item_slots"], one["slots"], strict=True) if theirs != ours}
+                    judged.append((matched / total, matched, -len(changed), total))
+            if judged:
+                share, matched, unchanged, total = max(judged)
+                rows.append((group["doc_id"], group["item_id"], matched, total, share, -unchanged))
         if rows:
             yield _rows(rows, _JUDGED)
 
 
+def put_together(by_shift: dict[int, dict[int, dict]]) -> dict[int, dict]:
+    """Windows by place in the item, in the order of item and document, from alignments at several shifts.
+
+    The most windows, less a cost for each change of the shift; windows with equal slot values are worth a little more.
+    """
+    shifts = np.array(sorted(by_shift))
+    places = np.array(sorted({place for alignment in by_shift.values() for place in alignment}))
+    # score[s, k]: of the best row of windows that ends at shift s among the first k places; ends[s, k]: the last one's place
+    score, ends = np.zeros((len(shifts), len(places) + 1)), np.full((len(shifts), len(places) + 1), -1)
+    before: dict[tuple[int, int], tuple[int, int]] = {}
+    lines, apart = np.arange(len(shifts)), np.maximum(0, shifts[:, None] - shifts[None, :])
+    for k, place in enumerate(places.tolist()):
+        score[:, k + 1], ends[:, k + 1] = score[:, k], ends[:, k]
+        for s, shift in enumerate(shifts.tolist()):
+            one = by_shift[shift].get(place)
+            if one is None:
+                continue
+            # at a larger shift the windows before must end so much earlier in the item
+            reach = np.searchsorted(places, place - 1 - apart[:, s], side="right")
+            gained = score[lines, reach] - CHANGE * (lines != s)
+            prior = int(np.argmax(gained))
+            value = 1 + EQUAL * (one["item_slots"] == one["slots"]) + max(0.0, float(gained[prior]))
+            if value > score[s, k + 1]:
+                score[s, k + 1], ends[s, k + 1] = value, k
+                before[s, k] = (prior, int(ends[prior, reach[prior]])) if gained[prior] > 0 else (-1, -1)
+    s = int(np.argmax(score[:, -1]))
+    k, chosen = int(ends[s, -1]), {}
+    while k >= 0:
+        place = int(places[k])
+        chosen[place] = by_shift[int(shifts[s])][place]
+        s, k = before[s, k]
+    return chosen
+
+
 def matches(
     docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE,
     id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text",
 ) -> DataFrame:
     """(doc_id, item_id, matched_windows, item_windows, coverage, changed_slots) of each document and item that match.
 
-    The best alignment of a pair, in either form, is returned; changed_slots counts the slot values that differ, 0 for a copy. Null and
-    empty texts and items without words and numbers match nothing; an item of fewer than LEAST tokens matches wherever these stand; rows that repeat an id are taken as one document; a
-    null id is an id; an empty table on either side gives an empty result; other columns are not read.
+    The best alignment of a pair, or alignments near each other put together, in either form, is returned;
+    changed_slots counts the slot values that differ, 0 for a copy. Windows are all of the item's, or those with words
+    enough where these are covered better; parts put together may cover the tokens of an item and few of its windows.
+    Null and empty texts and items without words and numbers match nothing; an item of fewer than LEAST tokens matches
+    wherever these stand with their values; rows that repeat an id are taken as one document; a null id is an id; an
+    empty table on either side gives an empty result; other columns are not read.
     """
     items = stage(benchmark_windows(benchmark, window, item_column, item_text).withColumnRenamed("id", "item_id"))
     bits, sizes = window_filter(items)
     found = document_windows(docs, bits, sizes, id_column, text_column)
     worded = (~F.col("template").startswith(VALUED)).cast("int")
-    item_sizes = items.groupBy("item_id", "form").agg(F.count(F.lit(1)).alias("item_windows"), F.sum(worded).alias("worded_windows"))
-    named = items.select("item_id", "form", "size", F.col("place").alias("item_place"), "template", F.col("slots").alias("item_slots"))
+    item_sizes = items.groupBy("item_id", "form").agg(
+        F.count(F.lit(1)).alias("item_windows"), F.sum(worded).alias("worded_windows"), (F.max("place") + F.max("size")).alias("item_tokens"),
+    )
+    of_item = item_sizes.select(F.col("item_id").alias("of"), F.col("form").alias("of_form"), "item_windows", "worded_windows", "item_tokens")
+    same_item = F.col("item_id").eqNullSafe(F.col("of")) & (F.col("form") == F.col("of_form"))
+    named = items.join(of_item, same_item).select(
+        "item_id", "form", "size", F.col("place").alias("item_place"), "template", F.col("slots").alias("item_slots"),
+        F.greatest(F.lit(BAND), F.floor(F.col("item_tokens") / BAND_SHARE)).cast("int").alias("width"),
+    )
     met = stage(found.join(named, ["form", "size", "template"]).select(
-        F.col("id").alias("doc_id"), "item_id", "form", (F.col("place") - F.col("item_place")).alias("shift"), "item_place", "template", "item_slots", "slots"))
-    at = ["doc_id", "item_id", "form", "shift"]
-    of_item = item_sizes.select(F.col("item_id").alias("of"), F.col("form").alias("of_form"), "item_windows", "worded_windows")
-    enough = met.groupBy(*at).agg(F.countDistinct("item_place").alias("n"), F.countDistinct(F.when(worded == 1, F.col("item_place"))).alias("n_worded")).join(of_item, F.col("item_id").eqNullSafe(F.col("of")) & (F.col("form") == F.col("of_form")))
-    covered = (F.col("n") >= coverage * F.col("item_windows")) | ((F.col("n_worded") > 0) & (F.col("n_worded") >= coverage * F.col("worded_windows")))
-    enough = enough.where(covered).select(*[F.col(name).alias(f"at_{name}") for name in at], "item_windows", "worded_windows")
+        F.col("id").alias("doc_id"), "item_id", "form", "size", (F.col("place") - F.col("item_place")).alias("shift"), "width", "item_place", "template", "item_slots", "slots"))
+    # bands of two widths, each a width further than the one before, so that any two shifts within a width share one
+    at = ["doc_id", "item_id", "form", "band"]
+    number = F.floor(F.col("shift") / F.col("width")).cast("int")
+    bands = F.explode(F.array(number - 1, number)).alias("band")
+    counted = met.groupBy("doc_id", "item_id", "form", "shift", "width").agg(
+        F.countDistinct("item_place").alias("n"), F.countDistinct(F.when(worded == 1, F.col("item_place"))).alias("n_worded"), F.max("size").alias("size"))
+    # at most what a band's alignments can cover together; what they do cover is judged from their windows
+    most = counted.select("*", bands).groupBy(*at).agg(
+        F.sum("n").alias("n"), F.sum("n_worded").alias("n_worded"), F.sum(F.col("n") + F.col("size") - 1).alias("tokens"))
+    covered = (F.col("n") >= min(coverage, PARTS_WINDOWS) * F.col("item_windows")) | ((F.col("n_worded") > 0) & (F.col("n_worded") >= coverage * F.col("worded_windows")))
+    covered = covered | (F.col("tokens") >= PARTS_TOKENS * F.col("item_tokens"))
+    facts = ["item_windows", "worded_windows", "item_tokens"]
+    enough = most.join(of_item, same_item).where(covered).select(*[F.col(name).alias(f"at_{name}") for name in at], *facts)
     here = F.lit(True)
     for name in at:
         here = here & F.col(name).eqNullSafe(F.col(f"at_{name}"))
-    groups = met.join(enough, here).groupBy(*at, "item_windows", "worded_windows").agg(F.collect_set(F.struct("item_place", "template", "item_slots", "slots")).alias("windows"))
-    kept = groups.mapInArrow(lambda batches: _judged(batches, coverage), JUDGED_SCHEMA)
+    groups = met.select("*", bands).join(enough, here).groupBy(*at, *facts).agg(F.collect_set(F.struct("item_place", "shift", "size", "template", "item_slots", "slots")).alias("windows"))
+    with arrow_rows(docs.sparkSession, GROUP_ROWS):
+        kept = stage(groups.mapInArrow(lambda batches: _judged(batches, coverage), JUDGED_SCHEMA))
     best = kept.groupBy("doc_id", "item_id").agg(F.max(F.struct("coverage", "matched_windows", (-F.col("changed_slots")).alias("unchanged"), "item_windows")).alias("best"))
     return best.select("doc_id", "item_id", "best.matched_windows", "best.item_windows", "best.coverage", (-F.col("best.unchanged")).alias("changed_slots"))
