@@ -2,8 +2,8 @@
 
 A payload is handled as chunks of CHUNK_BYTES. The chunk table carries, with every chunk, the SHA-1 of the payload up
 to its end, so the last chunk of a record has the record's digest; it serves for digests alone. Records are written from
-whole payloads, each held by its task. An archive stores a longer payload as the standard's segments: the first in a record of its own type, the others in `continuation`
-records that name the first; each holds one chunk.
+whole payloads, each held by its task. An archive stores a longer payload as the standard's segments: the first in a
+record of its own type, the others in `continuation` records that name the first; each holds one chunk.
 
 Archives are written by Spark's text sink with the record end of the standard (two line ends) as its line end, and
 compressed as a whole, so a reader streams each file from its start in pieces of at most about a chunk.
