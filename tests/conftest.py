@@ -27,8 +27,3 @@ def spark():
 @pytest.fixture(scope="session")
 def sf_dir():
     return SF_DIR
-
-
-def values(df, *names):
-    """Rows as sorted tuples of the named columns."""
-    return sorted((tuple(row[name] for name in names) for row in df.collect()), key=repr)

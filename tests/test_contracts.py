@@ -4,7 +4,7 @@ import hashlib
 import math
 
 import pytest
-from conftest import values
+from support import values
 from pyspark.sql import functions as F
 
 from vigilframe import schemas

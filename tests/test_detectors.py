@@ -1,6 +1,6 @@
 from datetime import datetime, timedelta
 
-from conftest import values
+from support import values
 
 from vigilframe.operators import absence, gaps, peers, rules
 from vigilframe.plans import analysis

@@ -1,7 +1,7 @@
 import random
 from datetime import datetime, timedelta
 
-from conftest import values
+from support import values
 
 from vigilframe import schemas
 from vigilframe.operators import features

@@ -1,6 +1,6 @@
 import random
 
-from conftest import values
+from support import values
 from pyspark.sql import functions as F
 
 from vigilframe.functions import measures, text

@@ -2,7 +2,7 @@ import json
 from datetime import datetime
 
 import pytest
-from conftest import values
+from support import values
 
 from vigilframe import schemas
 from vigilframe.operators import audit, normalize, validate

@@ -1,7 +1,7 @@
 import hashlib
 
 import pytest
-from conftest import values
+from support import values
 
 from vigilframe import catalog, schemas
 from vigilframe.operators import scoring, signals
