@@ -1,36 +1,13 @@
-import re
 from itertools import combinations
 
 import numpy as np
 import pytest
-import xxhash
+from brute import brute_components, brute_fingerprint
 
 from vigilframe.llm import common, queries, simhash
 from vigilframe.session import stage
 
 
-def brute_fingerprint(text, size):
-    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(sign) + 32) if "A" <= sign <= "Z" else sign for sign in text or ""))
-    shingles = [" ".join(words[place : place + size]) for place in range(len(words) - size + 1)] or ([" ".join(words)] if words else [])
-    hashes = [xxhash.xxh64_intdigest(one.encode(), 42) for one in shingles]
-    return sum(1 << bit for bit in range(64) if 2 * sum(value >> bit & 1 for value in hashes) > len(hashes))
-
-
-def brute_components(prints, distance):
-    root = list(range(len(prints)))
-
-    def find(one):
-        while root[one] != one:
-            one = root[one]
-        return one
-
-    for one, other in combinations(range(len(prints)), 2):
-        if (prints[one] ^ prints[other]).bit_count() <= distance:
-            low, high = sorted((find(one), find(other)))
-            root[high] = low
-    return [find(one) for one in range(len(prints))]
-
-
 def unsigned(value):
     return value & (1 << 64) - 1
 

@@ -2,25 +2,11 @@ import re
 
 import duckdb
 import pytest
+from brute import water_level
 
 from vigilframe.llm import mixing, queries
 
 
-def water_level(sizes, weights, share, most):
-    """Targets by handing the excess on until none is above its cap."""
-    target, open_ones, left = {}, set(sizes), share * sum(sizes.values())
-    while open_ones:
-        total = sum(weights[one] for one in open_ones)
-        over = [one for one in open_ones if left * weights[one] / total > most * sizes[one]]
-        if not over:
-            return target | {one: left * weights[one] / total for one in open_ones}
-        for one in over:
-            target[one] = most * sizes[one]
-            left -= target[one]
-            open_ones.discard(one)
-    return target
-
-
 @pytest.mark.parametrize("sizes", [
     {"a": 100, "b": 100, "c": 100}, {"a": 10, "b": 1000, "c": 10, "d": 7, None: 300}, {"é": 5, "Z": 500, "a": 0}, {"only": 12}, {"a": 0}, {},
 ])

@@ -6,8 +6,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
-from test_duplicates import brute_components, brute_fingerprint
-from test_mixing import water_level
+from brute import brute_components, brute_fingerprint, water_level
 from tokenizers import Tokenizer
 
 import __spark_entry__ as driver
