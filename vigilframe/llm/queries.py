@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vigilframe import session
-from vigilframe.llm import decontaminate, fingerprints, language, mixing, quality, shards, simhash, warc
+from vigilframe.llm import decontaminate, fingerprints, language, mixing, periodic, quality, shards, simhash, warc
 from vigilframe.llm.common import id_fold, table
 from vigilframe.llm.token_counts import token_counts
 from vigilframe.llm.token_output import token_output
@@ -135,3 +135,8 @@ FROM hashed
 @register
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+@register
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.periodic_runs(table(spark, sf_dir, "documents"), periodic.repeated_from).drop("n_words")
