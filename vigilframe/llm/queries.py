@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vigilframe import session
-from vigilframe.llm import decontaminate, fingerprints, language, mixing, periodic, quality, shards, simhash, warc
+from vigilframe.llm import decontaminate, fingerprints, language, mixing, periodic, quality, shards, simhash, vectors, warc
 from vigilframe.llm.common import id_fold, table
 from vigilframe.llm.token_counts import token_counts
 from vigilframe.llm.token_output import token_output
@@ -137,6 +137,33 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+@register
+def op12_vector_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_copies(table(spark, sf_dir, "embeddings"), least=0.98)
+
+
+ORACLE["op12_vector_copies"] = """
+WITH RECURSIVE vectors AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS one, b.vec_id AS other FROM vectors a JOIN vectors b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.98
+), reached AS (
+  SELECT one, other FROM links
+  UNION
+  SELECT r.one, l.other FROM reached r JOIN links l ON r.other = l.one
+), counted AS (
+  SELECT one, count(*) AS n_links FROM links GROUP BY one
+), least AS (
+  SELECT one, min(other) AS other FROM reached GROUP BY one
+)
+SELECT e.vec_id, coalesce(c.n_links, 0)::BIGINT AS n_links, least(e.vec_id, coalesce(l.other, e.vec_id)) AS component_id,
+  e.vec_id = least(e.vec_id, coalesce(l.other, e.vec_id)) AS kept
+FROM embeddings e LEFT JOIN counted c ON e.vec_id = c.one LEFT JOIN least l ON e.vec_id = l.one
+"""
+
+
 @register
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.periodic_runs(table(spark, sf_dir, "documents"), periodic.repeated_from).drop("n_words")
