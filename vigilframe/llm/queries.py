@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vigilframe import session
-from vigilframe.llm import decontaminate, fingerprints, language, mixing, periodic, quality, shards, simhash, vectors, warc
+from vigilframe.llm import decontaminate, fingerprints, language, mixing, periodic, prefix_trie, quality, shards, simhash, vectors, warc
 from vigilframe.llm.common import id_fold, table
 from vigilframe.llm.token_counts import token_counts
 from vigilframe.llm.token_output import token_output
@@ -137,6 +137,53 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+@register
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+ORACLE["op11_prefix_trie"] = """
+WITH said AS (
+  SELECT conv_id, length(coalesce(text, '')) AS chars, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS said,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), said) - 1 AS place
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT DISTINCT conv_id, conv_id::VARCHAR AS name FROM said
+), drawn AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS giver, xor(list_reduce(
+      list_prepend(4294967295::BIGINT, list_transform(range(1, len(name) + 1), lambda i: ascii(name[i])::BIGINT)),
+      lambda sum, byte: list_reduce(list_prepend(xor(sum, byte), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda a, b: xor(a >> 1, (a & 1) * 3988292384::BIGINT))
+    ), 4294967295::BIGINT) % 6 AS h
+  FROM convs
+), rebuilt AS (
+  SELECT d.conv_id, s.said, s.chars, 0 AS part, s.place FROM drawn d JOIN said s ON s.conv_id = d.giver AND s.place < d.h
+  UNION ALL
+  SELECT d.conv_id, s.said, s.chars, 1, s.place FROM drawn d JOIN said s ON s.conv_id = d.conv_id AND s.place >= d.h
+), placed AS (
+  SELECT conv_id, said, chars, row_number() OVER (PARTITION BY conv_id ORDER BY part, place) AS depth FROM rebuilt
+), prefixes AS (
+  SELECT conv_id, depth, chars, md5(string_agg(said, '') OVER (PARTITION BY conv_id ORDER BY depth)) AS prefix FROM placed
+  UNION ALL
+  SELECT conv_id, 0, 0, '' FROM convs
+), members AS (
+  SELECT *, lag(prefix) OVER (PARTITION BY conv_id ORDER BY depth) AS above, max(depth) OVER (PARTITION BY conv_id) AS turns FROM prefixes
+), nodes AS (
+  SELECT prefix, depth, any_value(above) AS above, any_value(chars) AS chars, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (depth = turns), '')) AS ends_sha256
+  FROM members GROUP BY prefix, depth
+), children AS (
+  SELECT above, count(*) AS n_children FROM nodes WHERE above IS NOT NULL GROUP BY above
+), counted AS (
+  SELECT n.*, coalesce(c.n_children, 0) AS n_children FROM nodes n LEFT JOIN children c ON n.prefix = c.above
+), sums AS (
+  SELECT m.prefix, count(*) FILTER (n.n_children = 0) AS n_leaves, sum((n.n_convs - 1) * n.chars)::BIGINT AS saved_tokens
+  FROM counted n JOIN members m ON m.conv_id = n.conv_id AND m.depth <= n.depth GROUP BY m.prefix
+)
+SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children::BIGINT AS n_children, s.n_leaves, s.saved_tokens, n.ends_sha256
+FROM counted n JOIN sums s ON n.prefix = s.prefix LEFT JOIN nodes p ON n.above = p.prefix
+"""
+
+
 @register
 def op12_vector_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_copies(table(spark, sf_dir, "embeddings"), least=0.98)
