@@ -13,6 +13,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from vigilframe import catalog, schemas, session
+from vigilframe.sources import parts
 
 FORMATS = (".csv", ".json", ".parquet")
 
@@ -101,32 +102,38 @@ CORRUPT = "_corrupt_record"
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """CSV with a header, all columns text; quoted fields may span lines.
 
-    A file is parsed from its start by one task, because only what comes before tells whether a line break is quoted;
-    large submissions are directories of many files. A row with fewer fields than the header has nulls at its
-    end; one with more makes whatever job reads the table fail, so no field is ever lost unseen.
+    Files of any size are cut into records by many tasks, see ``parts``. A row with fewer fields than the header has
+    nulls at its end; one with more makes whatever job reads the table fail, so no field is ever lost unseen. Files
+    of a directory must have the same header.
     """
-    options = {"header": True, "multiLine": True, "escape": '"', "columnPruning": False}
-    names = spark.read.csv(path, inferSchema=False, enforceSchema=False, **_named(options)).columns
-    schema = T.StructType([T.StructField(name, T.StringType()) for name in (*names, CORRUPT)])
-    frame = spark.read.options(**options, columnNameOfCorruptRecord=CORRUPT).schema(schema).csv(path)
-    bare = F.regexp_replace(F.col(CORRUPT), '"([^"]|"")*"', "")
-    surplus = F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) + 1 > len(names)
-    message = F.concat(F.lit("A row has more fields than the header: "), F.substring(CORRUPT, 1, 200))
-    intact = F.when(F.col(CORRUPT).isNotNull() & surplus, F.raise_error(message).cast("boolean")).otherwise(F.lit(True))
-    return frame.filter(intact).drop(CORRUPT)
+    names = spark.read.csv(path, header=True, inferSchema=False, multiLine=True, escape='"').columns
+    records = parts.file_records(spark, path, parts.CsvCutter())
+    if records.where("is_first").select("value").distinct().count() > 1:
+        raise ReadError(f"Files of {posixpath.basename(path.rstrip('/'))} have different headers")
+    text = F.col("value").cast("string")
+    message = F.concat(F.lit("A row has more fields than the header: "), F.substring(text, 1, 200))
+    intact = F.when(F.col("fields") > len(names), F.raise_error(message).cast("boolean")).otherwise(F.lit(True))
+    schema = ", ".join(f"`{name.replace('`', '``')}` string" for name in names)
+    return records.where(~F.col("is_first")).where(intact).select(F.from_csv(text, schema, {"escape": '"'}).alias("row")).select("row.*")
 
 
-def _named(options: dict) -> dict:
-    """The options that the csv method knows by name."""
-    return {name: value for name, value in options.items() if name != "columnPruning"}
+def read_json(spark: SparkSession, path: str) -> DataFrame:
+    """JSON documents, each an array of records or a row of them; types inferred over all records.
 
+    Files of any size are cut into records by many tasks and staged one to a line, which Spark then reads in parallel.
+    """
+    start = spark.read.option("lineSep", "}").text(path).first()
+    level = 1 if start is not None and start[0].lstrip("\ufeff \t\r\n").startswith("[") else 0
+    lines = f"{session.checkpoint_dir(spark)}/lines-{uuid.uuid4().hex}"
+    parts.file_records(spark, path, parts.JsonCutter(level)).select(F.col("value").cast("string")).write.text(lines)
+    frame = spark.read.json(lines)
+    if CORRUPT in frame.columns:
+        raise ReadError(f"{posixpath.basename(path.rstrip('/'))} holds records that are no JSON objects")
+    return frame
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """Read one raw table by suffix. CSV columns stay text and are coerced when normalised.
 
-    A JSON document is one array of records and is parsed by one task per file; large submissions should come as
-    Parquet, or as a directory of CSV or JSON files.
-    """
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """Read one raw table by suffix. CSV columns stay text and are coerced when normalised."""
     extension = detect_format(path)
     if not exists(spark, path):
         raise ReadError(f"Input file not found: {posixpath.basename(path)}")
@@ -134,10 +141,22 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
         if extension == ".csv":
             return read_csv(spark, path)
         if extension == ".json":
-            return spark.read.json(path, multiLine=True)
+            return read_json(spark, path)
         return spark.read.parquet(path)
+    except ReadError:
+        raise
     except Exception as error:
-        raise ReadError(f"Unable to read {posixpath.basename(path)}: {error}") from error
+        raise ReadError(f"Unable to read {posixpath.basename(path)}: {error_reason(error)}") from error
+
+
+#: What the errors of a job that cuts or parses records say.
+REASONS = ("more fields than the header", "something else than an array", "after the last record", "is closed")
+
+
+def error_reason(error: Exception) -> str:
+    """The line of an error that names what is wrong with the data, or its first one."""
+    lines = str(error).splitlines() or [type(error).__name__]
+    return next((line.strip().removeprefix("ValueError: ") for line in lines if any(reason in line for reason in REASONS)), lines[0])
 
 
 def staged_table(spark: SparkSession, path: str) -> DataFrame:
@@ -148,8 +167,7 @@ def staged_table(spark: SparkSession, path: str) -> DataFrame:
     try:
         return session.stage(frame)
     except Exception as error:
-        reason = next((line for line in str(error).splitlines() if "more fields than the header" in line), str(error).split("\n")[0])
-        raise ReadError(f"Unable to read {posixpath.basename(path)}: {reason.strip()}") from error
+        raise ReadError(f"Unable to read {posixpath.basename(path)}: {error_reason(error)}") from error
 
 
 def dataset_name(path: str, explicit: str | None = None) -> str:
