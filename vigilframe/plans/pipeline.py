@@ -87,7 +87,7 @@ def ingest(spark: SparkSession, path: str, output_root: str, dataset: str | None
             "output_location": dataset_id,
         }
 
-    return files.publish(spark, prepared.bundle, f"{output_root}/{dataset_id}", "manifest.json", manifest)
+    return files.publish(spark, prepared.bundle, f"{output_root}/{dataset_id}", files.CANONICAL_MANIFEST, manifest)
 
 
 def _source_digests(spark: SparkSession, sources: dict[str, str]) -> DataFrame:
@@ -128,7 +128,7 @@ def generate_features(spark: SparkSession, input_dir: str, output_dir: str, data
             "monthly_semantics": "Only entity-months with an alert or a case have a row; absent months are not filled.",
         }
 
-    return files.publish(spark, tables, output_dir, "feature_manifest.json", manifest)
+    return files.publish(spark, tables, output_dir, files.FEATURE_MANIFEST, manifest)
 
 
 def feature_profile(frame: DataFrame, table: str) -> DataFrame:
@@ -256,12 +256,14 @@ def read_commitments(spark: SparkSession, path: str) -> DataFrame:
     """All batches that were appended to the commitment table."""
     if not files.exists(spark, path) or not commitment_batches(spark, path):
         return files.empty(spark, schemas.COMMITMENTS)
-    rows = spark.read.schema(schemas.COMMITMENTS).option("recursiveFileLookup", "true").parquet(path)
-    return rows.select(*schemas.COMMITMENTS.names)
+    batches = [f"{path}/{name}" for name in commitment_batches(spark, path)]
+    return spark.read.schema(schemas.COMMITMENTS).parquet(*batches)
 
 
 def commitment_batches(spark: SparkSession, path: str) -> list[str]:
-    return [name for name in files.list_names(spark, path) if name.startswith("batch-")] if files.exists(spark, path) else []
+    """Folders of batches that were written whole, in their order."""
+    names = [name for name in files.list_names(spark, path) if name.startswith("batch-")] if files.exists(spark, path) else []
+    return [name for name in names if files.exists(spark, f"{path}/{name}/_SUCCESS")]
 
 
 def commit_records(
@@ -269,12 +271,23 @@ def commit_records(
 ) -> int:
     """Append new versions of the records to the commitment table and return how many were added.
 
-    A batch is a numbered folder that must not exist yet. Of two runs that start from the same versions the second
-    to publish fails, so no version is given twice.
+    A batch is a numbered folder. Its number is claimed first, by a file that only one run can create, and versions are
+    taken from the batches before it; a second run with the same number fails before it writes anything. A batch
+    counts once it is written whole. A claim that its run could not keep is given back.
     """
-    batch = f"batch-{len(commitment_batches(spark, path)):09d}"
-    rows = session.stage(integrity.register(records, read_commitments(spark, path), created_at, only_new=only_new))
-    rows.write.mode("errorifexists").parquet(f"{path}/{batch}")
+    number = len(commitment_batches(spark, path))
+    claim, batch = f"{path}/_claims/{number:09d}", f"{path}/batch-{number:09d}"
+    if not files.create_exclusively(spark, claim):
+        raise FileExistsError(f"Another run commits batch {number} of {path}; if it is gone, remove {claim}")
+    try:
+        if len(commitment_batches(spark, path)) != number:
+            raise FileExistsError(f"Batch {number} of {path} was committed meanwhile")
+        rows = session.stage(integrity.register(records, read_commitments(spark, path), created_at, only_new=only_new))
+        rows.write.mode("overwrite").parquet(batch)
+    except BaseException:
+        if not files.exists(spark, f"{batch}/_SUCCESS"):
+            files.remove(spark, claim)
+        raise
     return rows.count()
 
 

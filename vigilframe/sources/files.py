@@ -5,12 +5,18 @@ Everything goes through Hadoop's file-system API, so local paths, HDFS and objec
 
 from __future__ import annotations
 
+import hashlib
 import json
+import os
 import posixpath
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vigilframe import catalog, schemas, session
 from vigilframe.sources import parts
@@ -32,6 +38,8 @@ PHASE_MARKERS = {
     "phase7": "findings.parquet", "phase8": "findings.parquet", "phase9": "entity_risk.parquet",
 }
 
+CANONICAL_MANIFEST, FEATURE_MANIFEST = "manifest.json", "feature_manifest.json"
+
 
 class ReadError(ValueError):
     """A supported input cannot be read."""
@@ -69,6 +77,35 @@ def rename(spark: SparkSession, source: str, target: str) -> None:
         raise OSError(f"Cannot publish {source} as {target}")
 
 
+def create_exclusively(spark: SparkSession, path: str) -> bool:
+    """Make an empty file if there is none of that name; of several callers at once one gets True.
+
+    File systems of clusters create without overwriting in one step. The local one of Hadoop looks first and writes
+    then, so files of this machine are made through the operating system.
+    """
+    fs, target = _handle(spark, path)
+    if fs.getScheme() == "file":
+        local = os.path.realpath(target.toUri().getPath())
+        os.makedirs(os.path.dirname(local), exist_ok=True)
+        try:
+            os.close(os.open(local, os.O_CREAT | os.O_EXCL | os.O_WRONLY))
+            return True
+        except FileExistsError:
+            return False
+    try:
+        fs.create(target, False).close()
+        return True
+    except Exception:
+        if fs.exists(target):
+            return False
+        raise
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, target = _handle(spark, path)
+    fs.delete(target, True)
+
+
 def write_document(spark: SparkSession, path: str, document: dict) -> None:
     """Write one small JSON document as a single file."""
     fs, target = _handle(spark, path)
@@ -215,26 +252,59 @@ def discover(spark: SparkSession, path: str, explicit: str | None = None) -> tup
     return sources, issues
 
 
-def _load(spark: SparkSession, directory: str, names: tuple[str, ...], label: str, declared: dict) -> dict[str, DataFrame]:
+def _load(
+    spark: SparkSession, directory: str, names: tuple[str, ...], label: str, declared: dict, manifest_name: str
+) -> dict[str, DataFrame]:
     if not is_directory(spark, directory):
         raise ValueError(f"{label} input directory not found: {directory}")
     missing = [name for name in names if not exists(spark, f"{directory}/{name}.parquet")]
     if missing:
         raise ValueError(f"{label} dataset is missing: {', '.join(missing)}")
+    check_committed(spark, directory, manifest_name, names)
     return {
         name: (spark.read.schema(declared[name]) if name in declared else spark.read).parquet(f"{directory}/{name}.parquet")
         for name in names
     }
 
 
+class NotCommitted(ValueError):
+    """An output directory lacks its manifest, or doesn't hold what the manifest lists."""
+
+
+def check_committed(spark: SparkSession, directory: str, manifest_name: str, names: tuple[str, ...]) -> dict:
+    """The manifest of an output, if every named table has just the files that the manifest lists.
+
+    The manifest is written last and holds a digest over names and sizes of each table's files. A directory that
+    was renamed in part, or changed later, is not read.
+    """
+    if not exists(spark, f"{directory}/{manifest_name}"):
+        raise NotCommitted(f"{directory} has no {manifest_name}: its output is not complete")
+    document = read_document(spark, f"{directory}/{manifest_name}")
+    listed = document.get("files", {})
+    for name in names:
+        if name not in listed:
+            raise NotCommitted(f"{manifest_name} of {directory} does not list {name}")
+        found = table_files(spark, f"{directory}/{name}.parquet") if exists(spark, f"{directory}/{name}.parquet") else None
+        if found != listed[name]:
+            raise NotCommitted(f"{name} of {directory} does not hold the files that {manifest_name} lists: {listed[name]} listed, {found} found")
+    return document
+
+
+def table_files(spark: SparkSession, path: str) -> dict:
+    """Number and bytes of a table's files, and a digest over their names and sizes."""
+    sizes = listed_sizes(spark, [path])
+    lines = "".join(f"{name.rsplit('/', 1)[-1]} {size}\n" for name, size in sorted((name, size) for name, size in sizes.items()))
+    return {"number": len(sizes), "bytes": sum(sizes.values()), "listing_sha256": hashlib.sha256(lines.encode()).hexdigest()}
+
+
 def load_canonical(spark: SparkSession, directory: str) -> dict[str, DataFrame]:
     """The five canonical tables of a published data set."""
-    return _load(spark, directory, catalog.DATASETS, "Canonical", schemas.CANONICAL)
+    return _load(spark, directory, catalog.DATASETS, "Canonical", schemas.CANONICAL, CANONICAL_MANIFEST)
 
 
 def load_features(spark: SparkSession, directory: str) -> dict[str, DataFrame]:
     """The five feature tables of a published feature run."""
-    return _load(spark, directory, catalog.FEATURE_TABLES, "Feature", {})
+    return _load(spark, directory, catalog.FEATURE_TABLES, "Feature", {}, FEATURE_MANIFEST)
 
 
 def resolve_phase(spark: SparkSession, root: str, phase: str, preferred: str | None = None) -> str | None:
@@ -281,8 +351,8 @@ def publish(
     """Write tables and then the manifest under a staging name, and rename the whole once everything is there.
 
     ``manifest`` is a function of the staged tables, read back from the files, so counts cost a footer scan. A
-    directory that already has a manifest is never replaced. Where rename is not atomic, the manifest is the
-    last file written and marks a complete output.
+    directory that holds anything is never replaced. The manifest lists each table's files, and readers go by it, so
+    where rename is not atomic no half of an output is read.
     """
     if exists(spark, directory) and list_names(spark, directory):
         raise FileExistsError(f"Output directory is not empty: {directory}")
@@ -291,7 +361,7 @@ def publish(
     for table, frame in tables.items():
         frame.write.mode("errorifexists").parquet(f"{staging}/{table}.parquet")
     written = {table: spark.read.parquet(f"{staging}/{table}.parquet") for table in tables}
-    document = manifest(written)
+    document = manifest(written) | {"files": {table: table_files(spark, f"{staging}/{table}.parquet") for table in tables}}
     write_document(spark, f"{staging}/{manifest_name}", document)
     rename(spark, staging, directory)
     return document
@@ -302,11 +372,109 @@ def row_counts(tables: dict[str, DataFrame]) -> dict[str, int]:
 
 
 def file_digests(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """SHA-256 and size of files, one row per file; directories are read file by file."""
-    return (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
-        .select(
-            "path", F.element_at(F.split("path", "/"), -1).alias("filename"), F.col("length").alias("size"),
-            F.sha2("content", 256).alias("sha256"),
-        )
+    """SHA-256 and size of files of any size, one row per file; directories are read file by file, but for hidden ones.
+
+    A file is one task's, since its digest depends on all bytes in order, but never one value: its bytes stream through
+    as the text between line feeds, and only the digest is carried along. Files are not split, small ones share tasks.
+    """
+    read = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true").text(paths)
+    pieces = read.select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"), F.col("value").cast("binary").alias("value")
     )
+    sizes = listed_sizes(spark, paths)
+    with unsplit(spark, max(sizes.values(), default=0)):
+        hashed = session.stage(pieces.mapInArrow(streamed_digests, DIGESTS))
+    digest = hashlib.sha256(b"").hexdigest()
+    without = spark.createDataFrame([(path, 0, digest) for path, size in sizes.items() if not size], DIGESTS)
+    return hashed.unionByName(without).select("path", F.element_at(F.split("path", "/"), -1).alias("filename"), "size", "sha256")
+
+
+DIGESTS = "path string, size long, sha256 string"
+
+
+def listed_sizes(spark: SparkSession, paths: list[str]) -> dict[str, int]:
+    """Path and bytes of all files at or below the paths that Spark would read."""
+    found: dict[str, int] = {}
+
+    def visit(status) -> None:
+        name = status.getPath().getName()
+        if name.startswith(("_", ".")):
+            return
+        if status.isDirectory():
+            for below in fs.listStatus(status.getPath()):
+                visit(below)
+        else:
+            found[status.getPath().toString()] = status.getLen()
+
+    for path in paths:
+        fs, target = _handle(spark, path)
+        visit(fs.getFileStatus(target))
+    return found
+
+
+@contextmanager
+def unsplit(spark: SparkSession, largest: int) -> Iterator[None]:
+    """While a job runs, no file of at most ``largest`` bytes is dealt to several tasks."""
+    settings = {"spark.sql.files.maxPartitionBytes": str(largest + 1), "spark.sql.files.minPartitionNum": "1", "spark.sql.files.openCostInBytes": "4096"}
+    before = {name: spark.conf.get(name, None) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
+class FileDigest:
+    """SHA-256 of a file from its text between line feeds, in order.
+
+    The text source reads over a byte order mark and doesn't say whether a line feed ends the file; the file's size tells
+    both, so the digest is carried along with and without the mark.
+    """
+
+    MARK = b"\xef\xbb\xbf"
+
+    def __init__(self, path: str, size: int) -> None:
+        self.path, self.size, self.read, self.is_new = path, size, 0, True
+        self.plain, self.marked = hashlib.sha256(), hashlib.sha256(self.MARK)
+
+    def add(self, pieces: list[bytes]) -> None:
+        data = b"\n".join(pieces if self.is_new else [b"", *pieces])
+        self._update(data)
+        self.is_new = False
+
+    def _update(self, data: bytes) -> None:
+        self.plain.update(data)
+        self.marked.update(data)
+        self.read += len(data)
+
+    def row(self) -> pa.RecordBatch:
+        if self.size - self.read in (1, 1 + len(self.MARK)):
+            self._update(b"\n")
+        if self.size - self.read not in (0, len(self.MARK)):
+            raise ValueError(f"{self.path} changed while it was read")
+        digest = self.plain if self.size == self.read else self.marked
+        return pa.record_batch([pa.array([self.path]), pa.array([self.size], pa.int64()), pa.array([digest.hexdigest()])], names=["path", "size", "sha256"])
+
+
+def streamed_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per file; a task holds a batch of its text at a time."""
+    held: FileDigest | None = None
+    for batch in batches:
+        sizes = batch.column(1).to_numpy()
+        names = batch.column(0).dictionary_encode()
+        codes = names.indices.to_numpy()
+        borders = np.flatnonzero(np.diff(codes, prepend=-1)).tolist()
+        for low, high in zip(borders, [*borders[1:], batch.num_rows], strict=True):
+            path = names.dictionary[int(codes[low])].as_py()
+            if held is None or held.path != path:
+                if held is not None:
+                    yield held.row()
+                held = FileDigest(path, int(sizes[low]))
+            held.add(batch.column(2).slice(low, high - low).to_pylist())
+    if held is not None:
+        yield held.row()
