@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
 from vigilframe import catalog, schemas
 
@@ -17,6 +18,22 @@ class Normalized(NamedTuple):
     issues: DataFrame
 
 
+class Staged(NamedTuple):
+    """A normalised table that was written, its number of rows and its issue rows, all from one pass."""
+
+    frame: DataFrame
+    rows: int
+    issues: list[tuple]
+
+
+class _Plan(NamedTuple):
+    frame: DataFrame
+    selected: list[Column]
+    counters: list[Column]
+    specs: list[tuple[str, str, str | None, str, str]]
+    issues: list[tuple]
+
+
 def issue(dataset: str, error_type: str, message: str, field: str | None = None, severity: str = "error") -> tuple:
     return (dataset, field, error_type, message, severity)
 
@@ -81,9 +98,31 @@ def normalize(frame: DataFrame, dataset: str) -> Normalized:
     Column-level issues are known from the schema alone; values that cannot be converted are counted in one pass
     and become null.
     """
+    plan = _plan(frame, dataset)
+    issues = issue_frame(frame.sparkSession, plan.issues)
+    if plan.counters:
+        issues = issues.unionByName(issues_from_counts(plan.frame.agg(*plan.counters), plan.specs))
+    return Normalized(plan.frame.select(*plan.selected), issues)
+
+
+def normalize_staged(frame: DataFrame, dataset: str, stage: Callable[[DataFrame], DataFrame]) -> Staged:
+    """As ``normalize``; rows and values that can't be converted are counted while ``stage`` writes the table."""
+    plan = _plan(frame, dataset)
+    seen = Observation()
+    observed = plan.frame.observe(seen, F.count(F.lit(1)).alias("rows"), *plan.counters)
+    written = stage(observed.select(*plan.selected))
+    counts = seen.get
+    found = [
+        issue(dataset, error_type, message.replace("{count}", str(counts[name])), field)
+        for name, dataset, field, error_type, message in plan.specs if counts[name]
+    ]
+    return Staged(written, counts["rows"], plan.issues + found)
+
+
+def _plan(frame: DataFrame, dataset: str) -> _Plan:
     if dataset not in catalog.REQUIRED_COLUMNS:
         raise ValueError(f"Unsupported dataset type: {dataset}")
-    spark, known_issues = frame.sparkSession, []
+    known_issues = []
     frame, repeated = _unique_columns(frame)
     if repeated:
         known_issues.append(issue(dataset, "DUPLICATE_COLUMN", "Input contains duplicate column names"))
@@ -141,7 +180,4 @@ def normalize(frame: DataFrame, dataset: str) -> Normalized:
             source = converted
         selected.append(source.alias(name))
 
-    issues = issue_frame(spark, known_issues)
-    if counters:
-        issues = issues.unionByName(issues_from_counts(frame.agg(*counters), specs))
-    return Normalized(frame.select(*selected), issues)
+    return _Plan(frame, selected, counters, specs, known_issues)

@@ -1,6 +1,7 @@
 """Data-quality checks on canonical tables; every offence becomes an issue row with its count.
 
-Reference checks count rows per key before they join, so a key that holds a large share of the rows costs one row.
+All keys of all tables, what refers to them and what single rows fail are counted in one fold over (kind, key); only
+checks that compare timestamps of two rows join tables.
 """
 
 from __future__ import annotations
@@ -66,92 +67,123 @@ def _time_checks(dataset: str) -> list[Check]:
     return []
 
 
-def _row_issues(frame: DataFrame, checks: list[Check]) -> DataFrame:
-    """All checks that look at single rows, counted in one pass."""
-    counts = frame.agg(*[F.count_if(test).alias(name) for name, test, _ in checks])
-    return issues_from_counts(counts, [(name, *spec) for name, _, spec in checks])
-
-
-def _duplicate_issues(frame: DataFrame, dataset: str) -> DataFrame:
-    """Rows minus distinct ids, a null counting as one id."""
-    distinct = F.count_distinct("id") + F.coalesce(F.max(F.col("id").isNull().cast("int")), F.lit(0))
-    counts = frame.select("id").agg((F.count(F.lit(1)) - distinct).alias("duplicates"))
-    message = f"{{count}} duplicate {dataset} ID value(s)"
-    return issues_from_counts(counts, [("duplicates", dataset, "id", "DUPLICATE_ID", message)])
-
-
-def _category_issues(frame: DataFrame, dataset: str) -> DataFrame | None:
-    """Values outside a closed domain, up to five of them named in the message."""
-    fields = [name for name in catalog.CATEGORY_DOMAINS if name in frame.columns]
-    if not fields:
-        return None
-    invalid: Column = F.lit(False)
-    for name in fields:
-        invalid = invalid | ((F.col("field") == name) & ~F.col("value").isin(*catalog.CATEGORY_DOMAINS[name]))
-    values = (
-        frame.select(*[F.col(name).cast("string").alias(name) for name in fields])
-        .unpivot([], fields, "field", "value")
-        .filter(F.col("value").isNotNull() & invalid)
-        .groupBy("field", "value")
-        .agg(F.count(F.lit(1)).alias("rows"))
+#: What a row of the fold counts: rows of the table the key is of, or references to it from a table.
+OWN = "own"
+REFERRING = ("assets", "alerts", "cases", "escalations")
+FOLDED = (OWN, *REFERRING)
+
+
+def _events(bundle: Bundle, rows: dict[str, list[Check]], references: bool) -> list[DataFrame]:
+    """(kind, key, entity, role) of everything that is counted by key, from one scan of each table.
+
+    A row gives its own key, the keys it refers to, and one event for each check that it fails.
+    """
+    found = []
+    for name, frame in bundle.items():
+        def event(kind: str, key: Column, entity: Column, role: str) -> Column:
+            return F.struct(F.lit(kind).alias("kind"), key.cast("string").alias("key"), entity.cast("string").alias("entity"), F.lit(role).alias("role"))
+
+        nothing, events = F.lit(None), []
+        entity = F.col("entity_id") if "entity_id" in frame.columns else nothing
+        if "id" in frame.columns:
+            events.append(event(name, F.col("id"), entity if name == "assets" else nothing, OWN))
+        if references and name in REFERRING and "entities" in bundle and len(bundle) > 1:
+            events.append(event("entities", F.col("entity_id"), nothing, name))
+        if references and name == "alerts" and "assets" in bundle:
+            events.append(event("assets", F.col("asset_id"), entity, name))
+        if name in rows:
+            events += [F.when(test, event(f"check {name} {check}", nothing, nothing, OWN)) for check, test, _ in rows[name]]
+            events += [
+                F.when(F.col(field).isNotNull() & ~F.col(field).cast("string").isin(*allowed), event(f"category {name} {field}", F.col(field), nothing, OWN))
+                for field, allowed in catalog.CATEGORY_DOMAINS.items() if field in frame.columns
+            ]
+        if events:
+            found.append(frame.select(F.inline(F.array_compact(F.array(*events)))))
+    return found
+
+
+def _folded(bundle: Bundle, rows: dict[str, list[Check]], references: bool) -> DataFrame:
+    """One row per (kind, key): rows that have the key, references to it, and pairs of both with the same entity.
+
+    Everything is counted per (kind, key, entity) before it is shuffled, so a key that holds a large share of the rows
+    costs a row per task.
+    """
+    counted = union_all(_events(bundle, rows, references)).groupBy("kind", "key", "entity").agg(
+        *[F.count_if(F.col("role") == role).alias(role) for role in FOLDED]
     )
-    sample = first_rows(values, ["field"], ["value"], 5).groupBy("field").agg(
-        F.array_sort(F.collect_list("value")).alias("values")
-    )
-    listed = F.array_join(F.transform("values", lambda item: F.concat(F.lit("'"), item, F.lit("'"))), ", ")
-    return sample.select(
-        F.lit(dataset).alias("dataset"), "field", F.lit("INVALID_CATEGORY").alias("error_type"),
-        F.concat(F.lit("Unknown "), "field", F.lit(" value(s): ["), listed, F.lit("]")).alias("message"),
-        F.lit("error").alias("severity"),
+    known = F.col("entity").isNotNull()
+    return counted.groupBy("kind", "key").agg(
+        *[F.sum(role).alias(role) for role in FOLDED],
+        F.sum(F.when(known, F.col(OWN)).otherwise(0)).alias("owned"), F.sum(F.when(known, F.col("alerts")).otherwise(0)).alias("claimed"),
+        F.sum(F.when(known, F.col(OWN) * F.col("alerts")).otherwise(0)).alias("agreeing"),
     )
 
 
-def frame_issues(frame: DataFrame, dataset: str, times: bool = False) -> DataFrame:
-    """Nulls, types, uniqueness and categories of one table; with ``times`` also the order of a row's timestamps."""
-    checks = _null_checks(frame, dataset) + (_time_checks(dataset) if times else [])
-    parts = [_row_issues(frame, checks), _type_issues(frame, dataset)]
-    if "id" in frame.columns:
-        parts.append(_duplicate_issues(frame, dataset))
-    categories = _category_issues(frame, dataset)
-    return union_all(parts if categories is None else [*parts, categories])
-
-
-def _orphan_entities(bundle: Bundle) -> DataFrame:
-    """Rows of any table whose entity is unknown; one join for all tables, over per-entity counts."""
-    counted = [
-        bundle[name].groupBy("entity_id").agg(F.count(F.lit(1)).alias("rows")).withColumn("dataset", F.lit(name))
-        for name in ("assets", "alerts", "cases", "escalations")
-        if name in bundle
-    ]
-    known = bundle["entities"].select(F.col("id").alias("entity_id")).distinct()
-    orphans = union_all(counted).join(known, "entity_id", "left_anti").groupBy("dataset").agg(
-        F.sum("rows").alias("rows")
+def _fold_issues(bundle: Bundle, rows: dict[str, list[Check]], references: bool = True, own: bool = True) -> DataFrame:
+    """Duplicates, unknown references, owners that differ, failed row checks and categories, from one fold of all keys."""
+    folded = _folded(bundle, rows, references)
+    unknown = F.col("key").isNull() | (F.col(OWN) == 0)
+    sums = folded.groupBy("kind").agg(
+        F.sum(OWN).alias("rows"), F.sum(F.greatest(F.col(OWN) - 1, F.lit(0))).alias("duplicates"),
+        *[F.sum(F.when(unknown, F.col(name)).otherwise(0)).alias(f"unknown_{name}") for name in REFERRING],
+        F.sum(F.when(unknown, F.col("alerts")).otherwise(F.col("alerts") * (F.col(OWN) - F.col("owned")))).alias("unowned"),
+        F.sum(F.when(unknown, F.lit(0)).otherwise(F.col("owned") * F.col("claimed") - F.col("agreeing"))).alias("foreign"),
     )
-    return orphans.select(
-        "dataset", F.lit("entity_id").alias("field"), F.lit("ORPHAN_ENTITY").alias("error_type"),
-        F.concat(F.col("rows").cast("string"), F.lit(" row(s) reference unknown entity IDs")).alias("message"),
+
+    def issue_of(kind: str, count: str, dataset: str, field: str | None, error_type: str, template: str) -> Column:
+        return F.struct(
+            F.when(F.col("kind") == kind, F.col(count)).alias("count"), F.lit(dataset).alias("dataset"), F.lit(field).cast("string").alias("field"),
+            F.lit(error_type).alias("error_type"), F.lit(template).alias("template"),
+        )
+
+    found = []
+    if own:
+        found += [issue_of(name, "duplicates", name, "id", "DUPLICATE_ID", f"{{count}} duplicate {name} ID value(s)") for name, frame in bundle.items() if "id" in frame.columns]
+    found += [issue_of(f"check {name} {check}", "rows", *spec) for name, checks in rows.items() for check, _, spec in checks]
+    if references:
+        found += [
+            issue_of("entities", f"unknown_{name}", name, "entity_id", "ORPHAN_ENTITY", "{count} row(s) reference unknown entity IDs")
+            for name in REFERRING if name in bundle and "entities" in bundle
+        ]
+        if _has(bundle, "assets", "alerts"):
+            found.append(issue_of("assets", "unowned", "alerts", "asset_id", "ORPHAN_ASSET", "{count} alert(s) reference unknown asset IDs"))
+            found.append(issue_of("assets", "foreign", "alerts", "asset_id", "ENTITY_MISMATCH", "{count} alert(s) reference assets owned by another entity"))
+    named = sums.select(F.inline(F.array(*found))).where(F.col("count") > 0) if found else None
+    parts = [named.select(
+        "dataset", "field", "error_type", F.replace("template", F.lit("{count}"), F.col("count").cast("string")).alias("message"),
         F.lit("error").alias("severity"),
-    )
+    )] if named is not None else []
+    if any(name in frame.columns for table, frame in bundle.items() if table in rows for name in catalog.CATEGORY_DOMAINS):
+        parts.append(_category_issues(folded.where(F.startswith("kind", F.lit("category ")))))
+    return union_all(parts) if parts else issue_frame(folded.sparkSession, [])
 
 
-def _asset_references(bundle: Bundle) -> DataFrame:
-    owners = bundle["assets"].select(F.col("id").alias("asset_id"), F.col("entity_id").alias("owner"))
-    pairs = bundle["alerts"].groupBy("asset_id", "entity_id").agg(F.count(F.lit(1)).alias("rows"))
-    joined = pairs.join(owners, "asset_id", "left")
-    counts = joined.agg(
-        F.sum(F.when(F.col("owner").isNull(), F.col("rows"))).alias("orphans"),
-        F.sum(F.when(F.col("owner") != F.col("entity_id"), F.col("rows"))).alias("foreign"),
-    )
-    return issues_from_counts(
-        counts,
-        [
-            ("orphans", "alerts", "asset_id", "ORPHAN_ASSET", "{count} alert(s) reference unknown asset IDs"),
-            ("foreign", "alerts", "asset_id", "ENTITY_MISMATCH",
-             "{count} alert(s) reference assets owned by another entity"),
-        ],
+def _category_issues(values: DataFrame) -> DataFrame:
+    """Values outside a closed domain, up to five of each field named in the message."""
+    sample = first_rows(values, ["kind"], ["key"], 5).groupBy("kind").agg(F.array_sort(F.collect_list("key")).alias("values"))
+    listed = F.array_join(F.transform("values", lambda item: F.concat(F.lit("'"), item, F.lit("'"))), ", ")
+    part = F.split("kind", " ")
+    return sample.select(
+        part[1].alias("dataset"), part[2].alias("field"), F.lit("INVALID_CATEGORY").alias("error_type"),
+        F.concat(F.lit("Unknown "), part[2], F.lit(" value(s): ["), listed, F.lit("]")).alias("message"), F.lit("error").alias("severity"),
     )
 
 
+def _row_checks(frame: DataFrame, dataset: str, times: bool) -> list[Check]:
+    return _null_checks(frame, dataset) + (_time_checks(dataset) if times else [])
+
+
+def frames_issues(bundle: Bundle, times: bool = False) -> DataFrame:
+    """Nulls, types, uniqueness and categories of each table; with ``times`` also the order of a row's timestamps."""
+    types = [_type_issues(frame, name) for name, frame in bundle.items()]
+    return union_all([_fold_issues(bundle, {name: _row_checks(frame, name, times) for name, frame in bundle.items()}, references=False), *types])
+
+
+def frame_issues(frame: DataFrame, dataset: str, times: bool = False) -> DataFrame:
+    """``frames_issues`` of one table."""
+    return frames_issues({dataset: frame}, times)
+
+
 def _case_alert_join(bundle: Bundle) -> DataFrame:
     """Counts of all case checks that look at the alert behind the case, from one join."""
     alerts = bundle["alerts"].select(
@@ -203,57 +235,55 @@ def _has(bundle: Bundle, *names: str) -> bool:
     return all(name in bundle for name in names)
 
 
-def reference_issues(bundle: Bundle) -> DataFrame:
-    """Foreign keys, for the tables that are present."""
-    parts = [issue_frame(next(iter(bundle.values())).sparkSession, [])]
-    if "entities" in bundle and len(bundle) > 1:
-        parts.append(_orphan_entities(bundle))
-    if _has(bundle, "assets", "alerts"):
-        parts.append(_asset_references(bundle))
+def _join_issues(bundle: Bundle, references: bool, times: bool) -> list[DataFrame]:
+    """Checks that compare a row with the one it refers to, from one join per pair of tables."""
+    parts = []
     if _has(bundle, "alerts", "cases"):
-        parts.append(issues_from_counts(_case_alert_join(bundle), CASE_REFERENCES))
+        parts.append(issues_from_counts(_case_alert_join(bundle), CASE_REFERENCES * references + CASE_TIMES * times))
     if _has(bundle, "cases", "escalations"):
-        parts.append(issues_from_counts(_escalation_case_join(bundle), ESCALATION_REFERENCES))
-    return union_all(parts)
+        parts.append(issues_from_counts(_escalation_case_join(bundle), ESCALATION_REFERENCES * references + ESCALATION_TIMES * times))
+    return parts
+
+
+def reference_issues(bundle: Bundle) -> DataFrame:
+    """Foreign keys, for the tables that are present."""
+    return union_all([_fold_issues(bundle, {}, own=False), *_join_issues(bundle, references=True, times=False)])
 
 
 def temporal_issues(bundle: Bundle) -> DataFrame:
     """Order of the lifecycle timestamps, within a table and across tables."""
+    within = {name: bundle[name] for name in ("alerts", "cases") if name in bundle}
     parts = [issue_frame(next(iter(bundle.values())).sparkSession, [])]
-    for name in ("alerts", "cases"):
-        if name in bundle:
-            parts.append(_row_issues(bundle[name], _time_checks(name)))
-    if _has(bundle, "alerts", "cases"):
-        parts.append(issues_from_counts(_case_alert_join(bundle), CASE_TIMES))
-    if _has(bundle, "cases", "escalations"):
-        parts.append(issues_from_counts(_escalation_case_join(bundle), ESCALATION_TIMES))
-    return union_all(parts)
+    for name, frame in within.items():
+        checks = _time_checks(name)
+        counts = frame.agg(*[F.count_if(test).alias(check) for check, test, _ in checks])
+        parts.append(issues_from_counts(counts, [(check, *spec) for check, _, spec in checks]))
+    return union_all([*parts, *_join_issues(bundle, references=False, times=True)])
 
 
 def bundle_issues(bundle: Bundle) -> DataFrame:
-    """Every check on whatever tables are present, with one pass for row checks and one join per pair of tables."""
-    parts = [frame_issues(frame, name, times=True) for name, frame in bundle.items()]
-    if "entities" in bundle and len(bundle) > 1:
-        parts.append(_orphan_entities(bundle))
-    if _has(bundle, "assets", "alerts"):
-        parts.append(_asset_references(bundle))
-    if _has(bundle, "alerts", "cases"):
-        parts.append(issues_from_counts(_case_alert_join(bundle), CASE_REFERENCES + CASE_TIMES))
-    if _has(bundle, "cases", "escalations"):
-        parts.append(issues_from_counts(_escalation_case_join(bundle), ESCALATION_REFERENCES + ESCALATION_TIMES))
-    return union_all(parts)
+    """Every check on whatever tables are present: one fold of all keys and row checks, and one join per pair of tables."""
+    rows = {name: _row_checks(frame, name, times=True) for name, frame in bundle.items()}
+    types = [_type_issues(frame, name) for name, frame in bundle.items()]
+    return union_all([_fold_issues(bundle, rows), *types, *_join_issues(bundle, references=True, times=True)])
+
 
+def quality_report(issues: DataFrame, bundle: Bundle, files: int, counts: dict[str, int] | None = None) -> DataFrame:
+    """One row: status, error and warning counts, rows per table and the summary line.
 
-def quality_report(issues: DataFrame, bundle: Bundle, files: int) -> DataFrame:
-    """One row: status, error and warning counts, rows per table and the summary line."""
+    ``counts`` are the rows per table where writing the tables has counted them.
+    """
     severity = issues.agg(
         F.count_if(F.col("severity") == "error").alias("errors"),
         F.count_if(F.col("severity") == "warning").alias("warnings"),
     )
-    counted = [
-        frame.agg(F.count(F.lit(1)).alias("row_count")).withColumn("dataset", F.lit(name))
-        for name, frame in bundle.items()
-    ]
+    if counts is None:
+        counted = [
+            frame.agg(F.count(F.lit(1)).alias("row_count")).withColumn("dataset", F.lit(name))
+            for name, frame in bundle.items()
+        ]
+    else:
+        counted = [issues.sparkSession.createDataFrame(sorted(counts.items()), "dataset string, row_count long")] if counts else []
     totals = union_all(counted).agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("dataset", "row_count")))).alias("rows"),
         F.sum("row_count").alias("total_rows"),

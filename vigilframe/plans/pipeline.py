@@ -42,23 +42,24 @@ def prepare(spark: SparkSession, path: str, dataset: str | None = None) -> Prepa
     """Read, normalise and validate a file or package.
 
     Every source is parsed once into a staged raw table, and normalised once into a staged canonical one, which all
-    checks and the publishing read. The issue rows are staged too, the report is computed from them.
+    checks and the publishing read; rows and values that can't be converted are counted as it is written. The issue rows
+    are staged too, the report is computed from them.
     """
     sources, known = files.discover(spark, path, dataset)
-    bundle, parts = {}, []
+    bundle, counts = {}, {}
     for name, source in sources.items():
         try:
-            result = normalize.normalize(files.staged_table(spark, source), name)
+            raw = files.staged_table(spark, source)
         except files.ReadError as error:
             known.append(normalize.issue(name, "READ_ERROR", str(error)))
             continue
-        bundle[name] = session.stage(result.frame)
-        parts.append(result.issues)
-    parts.append(normalize.issue_frame(spark, known))
+        bundle[name], counts[name], found = normalize.normalize_staged(raw, name, session.stage)
+        known += found
+    parts = [normalize.issue_frame(spark, known)]
     if bundle:
         parts.append(validate.bundle_issues(bundle))
     issues = session.stage(union_all(parts))
-    return Prepared(bundle, sources, issues, validate.quality_report(issues, bundle, len(sources)))
+    return Prepared(bundle, sources, issues, validate.quality_report(issues, bundle, len(sources), counts))
 
 
 def validate_submission(spark: SparkSession, path: str, dataset: str | None = None) -> Prepared:
@@ -80,7 +81,7 @@ def ingest(spark: SparkSession, path: str, output_root: str, dataset: str | None
     digest = spark.range(1).select(F.substring(F.sha2(F.lit(joined), 256), 1, 12)).first()[0]
     dataset_id = f"{files.utc_stamp()}-{digest}"
 
-    def manifest(written: dict[str, DataFrame]) -> dict:
+    def manifest(written: dict[str, files.Written]) -> dict:
         return {
             "dataset_id": dataset_id, "ingested_at": files.utc_now(), "source_files": sources,
             "row_counts": files.row_counts(written), "schema_version": SCHEMA_VERSION, "validation_status": "passed",
@@ -116,30 +117,23 @@ def generate_features(spark: SparkSession, input_dir: str, output_dir: str, data
     tables = features.feature_tables(files.load_canonical(spark, input_dir), keep=session.stage)
     tables["entity_month_features"] = tables["entity_month_features"].orderBy("entity_id", "year", "month")
 
-    def manifest(written: dict[str, DataFrame]) -> dict:
-        profiles = {name: feature_profile(frame, name).collect() for name, frame in written.items()}
+    def manifest(written: dict[str, files.Written]) -> dict:
         return {
             "dataset_id": dataset_id or posixpath.basename(input_dir), "source_dataset": input_dir,
             "schema_version": SCHEMA_VERSION, "generated_at": files.utc_now(),
             "row_counts": files.row_counts(written),
-            "feature_counts": {name: len(frame.columns) for name, frame in written.items()},
-            "features": [row.asDict() for rows in profiles.values() for row in rows],
-            "table_columns": {name: frame.columns for name, frame in written.items()},
+            "feature_counts": {name: len(table.kinds) for name, table in written.items()},
+            "features": [
+                {"table": name, "name": column, "type": kind, "nullable": table.nulls[column] > 0}
+                for name, table in written.items() for column, kind in table.kinds.items()
+            ],
+            "table_columns": {name: list(table.kinds) for name, table in written.items()},
             "monthly_semantics": "Only entity-months with an alert or a case have a row; absent months are not filled.",
         }
 
     return files.publish(spark, tables, output_dir, files.FEATURE_MANIFEST, manifest)
 
 
-def feature_profile(frame: DataFrame, table: str) -> DataFrame:
-    """Name, type and observed nullability of every column: one row per column, from one aggregation."""
-    nulls = frame.agg(*[F.count_if(F.col(name).isNull()).alias(name) for name in frame.columns])
-    kinds = F.create_map(*[F.lit(part) for field in frame.schema for part in (field.name, field.dataType.simpleString())])
-    return nulls.unpivot([], frame.columns, "name", "nulls").select(
-        F.lit(table).alias("table"), "name", kinds[F.col("name")].alias("type"), (F.col("nulls") > 0).alias("nullable")
-    )
-
-
 # --- detectors ------------------------------------------------------------------------------------------------
 
 
@@ -162,7 +156,7 @@ def run_family(spark: SparkSession, phase: str, feature_dir: str, output_dir: st
         extra["cohort_definition"] = list(catalog.COHORT_COLUMNS)
         tables["peer_reference_values"] = peers.peer_reference_values(bundle["entity_features"]).orderBy("cohort_key", "metric_name", "entity_id")
 
-    def manifest(written: dict[str, DataFrame]) -> dict:
+    def manifest(written: dict[str, files.Written]) -> dict:
         return {
             "schema_version": SCHEMA_VERSION, "dataset_id": dataset_id or posixpath.basename(feature_dir),
             "generated_at": files.utc_now(), "detectors_evaluated": catalog.enabled(phase),
@@ -212,7 +206,7 @@ def run_risk(
         "review_queue": run.review_queue().orderBy("rank"),
     }
 
-    def manifest(written: dict[str, DataFrame]) -> dict:
+    def manifest(written: dict[str, files.Written]) -> dict:
         return {
             "schema_version": SCHEMA_VERSION, "dataset_id": dataset_id or posixpath.basename(root),
             "generated_at": files.utc_now(), "input_paths": paths,

@@ -146,11 +146,7 @@ def _faulty(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 @register("validate_frame_issues")
 def _frame_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tables = _faulty(spark, sf_dir)
-    result = validate.frame_issues(tables["entities"], "entities")
-    for name in ("assets", "alerts", "cases", "escalations"):
-        result = result.unionByName(validate.frame_issues(tables[name], name))
-    return result
+    return validate.frames_issues(_faulty(spark, sf_dir))
 
 
 @register("validate_references")

@@ -10,13 +10,14 @@ import json
 import os
 import posixpath
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from datetime import datetime, timezone
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from vigilframe import catalog, schemas, session
 from vigilframe.sources import parts
@@ -345,30 +346,48 @@ def utc_now() -> str:
     return datetime.now(timezone.utc).isoformat()
 
 
+class Written(NamedTuple):
+    """What was seen of a table while it was written: rows, nulls per column and the columns' types."""
+
+    rows: int
+    nulls: dict[str, int]
+    kinds: dict[str, str]
+
+
+def write_observed(frame: DataFrame, path: str) -> Written:
+    """Write a table; its rows and nulls are counted on the way, no file is read for them."""
+    names, seen = frame.columns, Observation()
+    counters = [F.count_if(F.col(f"`{name}`").isNull()).alias(f"nulls_{place}") for place, name in enumerate(names)]
+    frame.observe(seen, F.count(F.lit(1)).alias("rows"), *counters).write.mode("errorifexists").parquet(path)
+    counts = seen.get
+    return Written(
+        counts["rows"], {name: counts[f"nulls_{place}"] for place, name in enumerate(names)},
+        {field.name: field.dataType.simpleString() for field in frame.schema},
+    )
+
+
 def publish(
-    spark: SparkSession, tables: dict[str, DataFrame], directory: str, manifest_name: str, manifest,
+    spark: SparkSession, tables: dict[str, DataFrame], directory: str, manifest_name: str,
+    manifest: Callable[[dict[str, Written]], dict],
 ) -> dict:
     """Write tables and then the manifest under a staging name, and rename the whole once everything is there.
 
-    ``manifest`` is a function of the staged tables, read back from the files, so counts cost a footer scan. A
-    directory that holds anything is never replaced. The manifest lists each table's files, and readers go by it, so
-    where rename is not atomic no half of an output is read.
+    ``manifest`` is a function of what was seen while writing. A directory that holds anything is never replaced. The
+    manifest lists each table's files, and readers go by it, so where rename is not atomic no half of an output is read.
     """
     if exists(spark, directory) and list_names(spark, directory):
         raise FileExistsError(f"Output directory is not empty: {directory}")
     parent, name = posixpath.split(directory.rstrip("/"))
     staging = f"{parent}/.staging-{name}-{uuid.uuid4().hex[:12]}"
-    for table, frame in tables.items():
-        frame.write.mode("errorifexists").parquet(f"{staging}/{table}.parquet")
-    written = {table: spark.read.parquet(f"{staging}/{table}.parquet") for table in tables}
+    written = {table: write_observed(frame, f"{staging}/{table}.parquet") for table, frame in tables.items()}
     document = manifest(written) | {"files": {table: table_files(spark, f"{staging}/{table}.parquet") for table in tables}}
     write_document(spark, f"{staging}/{manifest_name}", document)
     rename(spark, staging, directory)
     return document
 
 
-def row_counts(tables: dict[str, DataFrame]) -> dict[str, int]:
-    return {name: frame.count() for name, frame in tables.items()}
+def row_counts(written: dict[str, Written]) -> dict[str, int]:
+    return {name: table.rows for name, table in written.items()}
 
 
 def file_digests(spark: SparkSession, paths: list[str]) -> DataFrame:
