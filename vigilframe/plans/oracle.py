@@ -1074,6 +1074,10 @@ select trim(case_id) as id, entity_id, alert_id, case when {n} % 31 = 0 then nul
  remediation_recorded = '1' as remediation_recorded, {stamp("cast(replace(replace(closed_at, 'T', ' '), 'Z', '') as timestamp)")} as closed_at
 from (select * replace (case when opened_at = 'not-a-date' then null else opened_at end as opened_at) from raw_cases) r
 """
+    finals["normalize_alerts"] = (
+        f"select id, entity_id, asset_id, case when cast(right(id, 9) as bigint) % 37 <> 0 then {stamp('timestamp')} end as timestamp, severity, source, cast(null as varchar) as acknowledged_at, cast(null as varchar) as closed_at, status, "
+        "cast(null as varchar) as case_id from alerts"
+    )
     finals["normalize_issues"] = " union all ".join([
         "select 'cases' as dataset, 'analyst' as field, 'UNKNOWN_COLUMN' as error_type, 'Unknown column retained but ignored: analyst' as message, 'warning' as severity",
         _issue("count(*) filter (opened_at = 'not-a-date')", "raw_cases", "cases", "opened_at", "INVALID_TIMESTAMP", " value(s) in opened_at are not parseable timestamps"),
@@ -1087,6 +1091,12 @@ select 'failed' as status, cast(5 as bigint) as files, {rows} as total_rows, cou
  'Validation failed: ' || count(*) || ' error(s), 0 warning(s), ' || ({rows}) || ' row(s) across 5 file(s).' as summary
 from ({frame} union all {references} union all {times}) issues
 """
+    finals["report_lines"] = (
+        f"select cast(1 as bigint) as block, summary as line from ({finals['quality_report']}) q union all "
+        + " union all ".join(f"select 2, '- {name}: ' || count(*) || ' rows' from bad_{name}" for name in catalog.DATASETS)
+        + " union all select 3, '- ' || upper(severity) || ' [' || dataset || coalesce(' ' || field, '') || '] ' || message "
+        f"from ({frame} union all {references} union all {times}) issues"
+    )
     finals["integrity_audit"] = _audit()
     finals["alert_features"] = _with_text_times("alert_f", _TIMES["alerts"])
     finals["case_features"] = _with_text_times("case_f", _TIMES["cases"])
@@ -1167,6 +1177,17 @@ from why_pick w where top_group is not null
         "select f.id as finding_id, f.rule_id, f.entity_id, f.source_phase, f.severity, f.title, e.id as evidence_id, e.source_type, e.source_id, e.field, e.value, e.reason "
         "from findings f left join evidence e on e.finding_id = f.id"
     )
+    finals["finding_lookup"] = f"select * from ({finals['finding_detail']}) d where finding_id = (select min(id) from findings)"
+    finals["entity_contributions"] = "select * from contribution where entity_id = (select min(entity_id) from contribution)"
+    finals["finalized_findings"] = f"select {_F_COLUMNS} from (select * replace (title || ' (again)' as title) from findings) f"
+    finals["finalized_evidence"] = f"select {', '.join(EVIDENCE_COLUMNS)} from evidence"
+    listed = ", ".join(
+        f"({quote(name)}, {quote(item['phase'])}, {quote(item['name'])}, {quote(item['finding_type'])}, {quote(item['severity'])}, {str(item.get('enabled', True)).lower()})"
+        for name, item in catalog.DETECTORS.items()
+    )
+    finals["detector_report"] = (
+        f"select d.*, (select count(*) from findings f where f.rule_id = d.detector_id) as findings from (values {listed}) d(detector_id, phase, name, finding_type, severity, enabled)"
+    )
     finals["run_report"] = "select source_phase, rule_id, severity, baseline_method, count(*) as findings from findings group by all"
     finals["run_summary"] = (
         "select f.source_phase, count(*) as findings, count(distinct rule_id) as detectors, count(distinct f.entity_id) as entities, "

@@ -11,7 +11,7 @@ from vigilframe.functions.text import round_half_even
 from vigilframe.operators import (
     absence, audit, features, forest, gaps, integrity, normalize, peers, scoring, serving, validate,
 )
-from vigilframe.operators.findings import Detection, combine
+from vigilframe.operators.findings import Detection, combine, finalize
 from vigilframe.plans import analysis
 from vigilframe.plans.oracle import EVIDENCE_COLUMNS, FINDING_COLUMNS
 from vigilframe.sources import files, fixture_views
@@ -140,6 +140,23 @@ def _normalize_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize.normalize(raw["raw_cases"], "cases").issues
 
 
+def _raw_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alerts as a submission might hold them: other names, padded text, ISO times, one of 37 unreadable, optional columns missing."""
+    alerts, at = canonical_tables(spark, sf_dir)["alerts"], "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
+    unreadable = F.substring("id", -9, 9).cast("long") % 37 == 0
+    return alerts.select(
+        F.concat(F.lit("  "), "id").alias("alert_id"), "entity_id", "asset_id",
+        F.when(unreadable, "not-a-date").otherwise(F.date_format("timestamp", at)).alias("detected_at"),
+        F.concat("severity", F.lit(" ")).alias("severity_level"), "source", "status", F.lit("x").alias("extra"),
+    )
+
+
+@register("normalize_alerts")
+def _normalize_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Aliases renamed, texts trimmed, times parsed, missing optional columns null."""
+    return normalize.normalize(_raw_alerts(spark, sf_dir), "alerts").frame
+
+
 def _faulty(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return fixture_views.faulty_tables(spark, canonical_tables(spark, sf_dir))
 
@@ -166,6 +183,13 @@ def _quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.select("status", "files", "total_rows", "errors", "warnings", "summary")
 
 
+@register("report_lines")
+def _report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = _faulty(spark, sf_dir)
+    issues = session.stage(validate.bundle_issues(tables))
+    return validate.report_lines(validate.quality_report(issues, tables, files=len(tables)), issues)
+
+
 @register("integrity_audit")
 def _integrity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.integrity_audit(_faulty(spark, sf_dir))
@@ -418,6 +442,48 @@ def _finding_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return serving.finding_detail(found.findings, found.evidence)
 
 
+@register("finding_lookup")
+def _finding_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One finding of any phase with its evidence: the first by id."""
+    found = detection(spark, sf_dir)
+    wanted = found.findings.agg(F.min("id")).first()[0]
+    return serving.finding_detail(*serving.find_finding(found, wanted))
+
+
+@register("entity_contributions")
+def _entity_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contributions of one entity: the first by id that has some."""
+    contributions = risk(spark, sf_dir).contributions
+    return serving.entity_contributions(contributions, contributions.agg(F.min("entity_id")).first()[0])
+
+
+def _put_together(spark: SparkSession, sf_dir: str) -> Detection:
+    """Outputs of two runs put together: every row twice, findings once retitled, and evidence whose finding is gone."""
+    found = detection(spark, sf_dir)
+    retitled = found.findings.withColumn("title", F.concat("title", F.lit(" (again)")))
+    orphans = found.evidence.withColumns({"finding_id": F.concat("finding_id", F.lit("-gone")), "id": F.concat("id", F.lit("-gone"))})
+    return finalize(Detection(found.findings.unionByName(retitled), found.evidence.unionByName(found.evidence).unionByName(orphans)))
+
+
+@register("finalized_findings")
+def _finalized_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _put_together(spark, sf_dir).findings.select(*FINDING_COLUMNS)
+
+
+@register("finalized_evidence")
+def _finalized_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _put_together(spark, sf_dir).evidence.select(*EVIDENCE_COLUMNS)
+
+
+@register("detector_report")
+def _detector_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every detector, enabled or deferred, with the findings it made."""
+    counts = detection(spark, sf_dir).findings.groupBy(F.col("rule_id").alias("detector_id")).agg(F.count(F.lit(1)).alias("findings"))
+    return serving.detector_catalogue(spark).join(counts, "detector_id", "left").select(
+        "detector_id", "phase", "name", "finding_type", "severity", "enabled", F.coalesce("findings", F.lit(0)).alias("findings")
+    )
+
+
 @register("run_report")
 def _run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return serving.run_report(detection(spark, sf_dir).findings)
