@@ -7,6 +7,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from brute import brute_components, brute_fingerprint, water_level
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import __spark_entry__ as driver
@@ -105,6 +106,23 @@ def test_awkward_rows(spark, sf_dir, awkward, name):
     assert FUNCTIONS[name](spark, awkward.where("false"), sf_dir).count() == 0
 
 
+CLASHING = ["quality_score", "kept_id", "KEPT_NULL", "kept_hash", "leaked", "mix_source", "mix_rate", "mix_rate_", "mix_copies", "mix_copy", "root", "score", "size", "rate"]
+
+
+@pytest.mark.parametrize("name", [name for name, _ in corpus_pipeline.STAGES])
+def test_columns_that_a_stage_might_use_itself(spark, sf_dir, documents, name):
+    docs = documents(*((number, f"some words of text number {number} that differ {number * 7}", "en", "a") for number in range(8)))
+    for place, column in enumerate(CLASHING):
+        docs = docs.withColumn(column, F.concat(F.lit(f"{place} of "), F.col("doc_id").cast("string")))
+    out = FUNCTIONS[name](spark, docs, sf_dir)
+    if name == "token_output":
+        assert out.count() == 8
+        return
+    assert out.columns == docs.columns
+    for row in out.collect():
+        assert [row[column] for column in CLASHING] == [f"{place} of {row.doc_id}" for place in range(len(CLASHING))]
+
+
 def test_empty_tables_beside(spark, sf_copy, documents):
     folder = sf_copy(
         documents=documents((1, "one text", "en", "a")), labels=spark.createDataFrame([], "doc_id long, quality int, toxic int"),

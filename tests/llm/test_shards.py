@@ -57,6 +57,15 @@ def test_written_shards_hold_every_row(spark, documents, tmp_path):
     assert sorted((row.doc_id, row._shard) for row in written.collect()) == sorted((row.doc_id, row.shard) for row in placed.collect())
 
 
+def test_written_shards_of_a_table_with_such_columns(spark, documents, tmp_path):
+    frame = documents(*((number, f"text {number}") for number in range(40))).withColumnRenamed("lang", "_shard").withColumnRenamed("source", "virtual_slot")
+    placed = shards.shard_table(frame, 4, str(tmp_path / "map"))
+    shards.write_shards(frame, shards.load_map(spark, str(tmp_path / "map"), 0), str(tmp_path / "out"))
+    written = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted((row.doc_id, row._shard_) for row in written.collect()) == sorted((row.doc_id, row.shard) for row in placed.collect())
+    assert set(frame.columns) < set(written.columns)
+
+
 def test_query(spark, sf_dir):
     rows = [(row.doc_id, row.text) for row in table(spark, sf_dir, "documents").collect()]
     found = queries.QUERIES["op3_sharding"](spark, sf_dir).collect()

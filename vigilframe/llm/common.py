@@ -23,6 +23,17 @@ def id_fold(doc_id: Column, folds: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds))
 
 
+def free_names(columns: list[str], *names: str) -> list[str]:
+    """``names``, lengthened where ``columns`` or an earlier name have them already; case doesn't tell names apart."""
+    taken, found = {name.lower() for name in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 def running_offsets(counts: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
     """``counts`` (one row per file or partition) with the sum of ``value`` over all rows before, as ``name``."""
     window = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)

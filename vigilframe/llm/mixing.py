@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from vigilframe.llm.common import WORD
+from vigilframe.llm.common import WORD, free_names
 from vigilframe.session import stage
 
 #: 52 bits of a digest, the most that a double holds without rounding.
@@ -88,8 +88,9 @@ def plan_mix(rows: DataFrame, rates: DataFrame, seed: str = "mix") -> DataFrame:
 
 def emit(docs: DataFrame, rates: DataFrame, seed: str = "mix", id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
     """The rows of ``docs``, with their columns, each as often as the mix takes it; decisions equal those of ``plan_mix``."""
-    named = rates.select(F.col("source").alias("_mix_source"), F.col("rate").alias("_mix_rate"))
-    joined = docs.join(named, F.col(source_column).cast("string").eqNullSafe(F.col("_mix_source")))
-    counted = joined.withColumn("_mix_copies", copies(F.col("_mix_rate"), seed, F.col(id_column).cast("long"), text_hash(F.col(text_column))))
-    repeated = counted.where("_mix_copies > 0").withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies"))))
-    return repeated.select(*docs.columns)
+    source, rate, number, copy = free_names(docs.columns, "mix_source", "mix_rate", "mix_copies", "mix_copy")
+    named = rates.select(F.col("source").alias(source), F.col("rate").alias(rate))
+    joined = docs.join(named, F.col(source_column).cast("string").eqNullSafe(F.col(source)))
+    counted = joined.withColumn(number, copies(F.col(rate), seed, F.col(id_column).cast("long"), text_hash(F.col(text_column))))
+    repeated = counted.where(F.col(number) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(number))))
+    return repeated.select(*[F.col(f"`{name}`") for name in docs.columns])

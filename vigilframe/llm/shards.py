@@ -10,6 +10,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from vigilframe.llm.common import free_names
+
 #: Virtual slots; fixed for the life of a data set.
 SLOTS = 4096
 
@@ -144,7 +146,11 @@ def shard_table(docs: DataFrame, shards: int, map_path: str, id_column: str = "d
 
 
 def write_shards(docs: DataFrame, slot_map: DataFrame, path: str, id_column: str = "doc_id") -> None:
-    """Write every row of ``docs`` under ``path``/shard=N; a shard is written by as many tasks as hold its rows."""
-    named = docs.withColumn("_virtual_slot", virtual_slot(F.col(id_column)))
-    placed = named.join(F.broadcast(slot_map.select(F.col("virtual_slot").alias("_virtual_slot"), F.col("shard").alias("_shard"))), "_virtual_slot")
-    placed.drop("_virtual_slot").write.partitionBy("_shard").parquet(path)
+    """Write every row of ``docs`` under ``path``/_shard=N; a shard is written by as many tasks as hold its rows.
+
+    If ``docs`` has a column ``_shard``, the folders' name is lengthened by underscores until it is free.
+    """
+    slot, shard = free_names(docs.columns, "virtual_slot", "_shard")
+    named = docs.withColumn(slot, virtual_slot(F.col(id_column)))
+    placed = named.join(F.broadcast(slot_map.select(F.col("virtual_slot").alias(slot), F.col("shard").alias(shard))), slot)
+    placed.drop(slot).write.partitionBy(shard).parquet(path)

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from vigilframe.llm.common import connected_components
+from vigilframe.llm.common import connected_components, free_names
 from vigilframe.session import stage
 
 #: Blocks of a fingerprint: with distance 3, keys are 4 of 7 blocks, 36 or 37 bits, and there are 35 of them.
@@ -163,14 +163,14 @@ def without_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3, blo
     """
     found = near_duplicates(docs, shingle, distance, blocks, id_column, text_column)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "text_hash")).alias("kept")
+    keys = free_names(docs.columns, "kept_id", "kept_null", "kept_hash")
     kept = stage(found.groupBy("root").agg(first).select(
-        F.coalesce("kept.doc_id", F.lit(0)).alias("_kept_id"), F.col("kept.without").alias("_kept_null"), F.col("kept.text_hash").alias("_kept_hash")))
+        F.coalesce("kept.doc_id", F.lit(0)).alias(keys[0]), F.col("kept.without").alias(keys[1]), F.col("kept.text_hash").alias(keys[2])))
     doc_id = F.col(id_column).cast("long")
     named = docs.withColumns({
-        "_kept_id": F.coalesce(doc_id, F.lit(0)), "_kept_null": doc_id.isNull(), "_kept_hash": F.xxhash64(F.col(text_column).cast("binary")),
+        keys[0]: F.coalesce(doc_id, F.lit(0)), keys[1]: doc_id.isNull(), keys[2]: F.xxhash64(F.col(text_column).cast("binary")),
     })
-    keys = ["_kept_id", "_kept_null", "_kept_hash"]
-    return named.join(kept, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
+    return named.join(kept, keys, "left_semi").dropDuplicates(keys).select(*[F.col(f"`{name}`") for name in docs.columns])
 
 
 def fingerprint_text(fp: Column) -> Column:
