@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vigilframe.llm import decontaminate, mixing, quality, simhash
-from vigilframe.llm.common import id_fold, table
+from vigilframe.llm.common import free_names, id_fold, table
 from vigilframe.llm.queries import END_ID, QUALITY_FOLDS, QUALITY_LEAST, TOKENIZER
 from vigilframe.llm.token_output import token_output
 from vigilframe.session import stage
@@ -15,8 +15,9 @@ from vigilframe.session import stage
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the nearest labelled neighbours vote for; without a similar one, those of the usual class stay."""
     labels = quality.learning_labels(table(spark, sf_dir, "labels"), id_fold(F.col("doc_id"), QUALITY_FOLDS) != 0)
-    scored = quality.quality_scores(docs, quality.train(docs, labels), name="_quality_score")
-    return scored.where(F.col("_quality_score") >= QUALITY_LEAST).select(*docs.columns)
+    [score] = free_names(docs.columns, "quality_score")
+    scored = quality.quality_scores(docs, quality.train(docs, labels), name=score)
+    return scored.where(F.col(score) >= QUALITY_LEAST).drop(score)
 
 
 #: Bits in which fingerprints of near copies may differ, and blocks of which they then share four: a similarity of
@@ -31,8 +32,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item, neither as it stands nor with other numbers and names."""
-    leaked = stage(decontaminate.matches(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_leaked")).distinct())
-    return docs.join(leaked, F.col("doc_id").cast("long").eqNullSafe(F.col("_leaked")), "left_anti")
+    [of] = free_names(docs.columns, "leaked")
+    leaked = stage(decontaminate.matches(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias(of)).distinct())
+    return docs.join(leaked, F.col("doc_id").cast("long").eqNullSafe(F.col(of)), "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
