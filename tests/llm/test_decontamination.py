@@ -138,3 +138,55 @@ def test_query_finds_planted_passages(spark, sf_dir):
     for doc, item in got - planted:  # near copies only
         words = items[item].split()
         assert sum(f" {' '.join(words[place : place + 8])} " in docs[doc] for place in range(len(words) - 7)) >= 0.4 * (len(words) - 7)
+
+
+def test_a_frame_of_many_items_is_no_match(documents, bench, spark, monkeypatch):
+    frame, end = "which of the following statements is true about", "and its close neighbours"
+    items = [(number, f"{frame} subject{number} {end}") for number in range(200)]
+    docs = [(number, f"{frame} matter{number} with quite another end than that, since nothing here is asked") for number in range(200)]
+    staged = []
+    kept = decontaminate.stage
+    monkeypatch.setattr(decontaminate, "stage", lambda frame: staged.append(kept(frame)) or staged[-1])
+    got = found(documents(*docs, (900, items[7][1]), (901, FILLER + items[8][1].replace("close", "nearest"))), bench(*items))
+    assert set(got) == {(900, 7), (901, 8)}
+    assert max(frame.count() for frame in staged if "shift" in frame.columns) < 100
+    assert set(found(documents((1, items[3][1])), bench(*[(number, items[3][1]) for number in range(30)]))) == {(1, number) for number in range(30)}
+
+
+def test_matches_are_brute_force(documents, bench):
+    """Items of plain words: a match is an alignment that covers half of an item's windows and a quarter of their weight."""
+    import random
+    from collections import Counter
+
+    draw = random.Random(4)
+    words = [f"v{chr(97 + number // 26)}{chr(97 + number % 26)}" for number in range(60)]
+    base = [[draw.choice(words) for _ in range(draw.randint(8, 16))] for _ in range(12)]
+    items = [part[: len(part) // 2] + [draw.choice(words) for _ in range(len(part) - len(part) // 2)] if number % 3 else part for number in range(30) for part in [base[number % 12]]]
+    docs = []
+    for _ in range(60):
+        text = [draw.choice(words) for _ in range(draw.randint(0, 10))]
+        part = draw.choice(items)
+        start = draw.randint(0, len(part) // 2)
+        docs.append(text + part[start : start + draw.randint(4, 16)] + [draw.choice(words) for _ in range(draw.randint(0, 10))])
+
+    def cut(part):
+        return [tuple(part[place : place + 5]) for place in range(len(part) - 4)]
+
+    held = Counter(window for item in items for window in set(cut(item)))
+    want = set()
+    for doc_id, doc in enumerate(docs):
+        places = {}
+        for place, window in enumerate(cut(doc)):
+            places.setdefault(window, []).append(place)
+        for item_id, item in enumerate(items):
+            whole, by_shift = cut(item), {}
+            for at, window in enumerate(whole):
+                for place in places.get(window, []):
+                    by_shift.setdefault(place - at, set()).add(at)
+            total = sum(1 / held[window] for window in whole)
+            if any(len(one) >= 0.5 * len(whole) and sum(1 / held[whole[at]] for at in one) >= 0.25 * total for one in by_shift.values()):
+                want.add((doc_id, item_id))
+    got = found(documents(*((number, " ".join(doc)) for number, doc in enumerate(docs))), bench(*((number, " ".join(item)) for number, item in enumerate(items))))
+    assert len(want) > 30 and want <= set(got)
+    for pair in set(got) - want:  # put together from parts
+        assert got[pair].coverage >= 0.5
