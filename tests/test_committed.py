@@ -107,3 +107,16 @@ def test_a_batch_that_was_not_written_whole_does_not_count(spark, tmp_path):
     assert pipeline.read_commitments(spark, path).count() == 0
     assert pipeline.commit_records(spark, pipeline.integrity.submission_records(digest, "S-1", "E1", "2024-01"), path, "2024-07-01 00:00:00") == 1
     assert pipeline.read_commitments(spark, path).count() == 1
+
+
+def test_a_lookup_reads_one_of_many_row_groups(spark, tmp_path):
+    rows = spark.range(0, 20_000, 1, 40).select(
+        F.concat(F.lit("F-"), F.sha2(F.col("id").cast("string"), 256)).alias("id"), F.col("id").cast("string").alias("title"),
+        F.lit("E1").alias("entity_id"),
+    )
+    files.publish(spark, {"findings": rows}, str(tmp_path / "out"), "m.json", lambda written: {"rows": files.row_counts(written)})
+    wanted = rows.where("title = '777'").first()["id"]
+    found = spark.read.parquet(str(tmp_path / "out" / "findings.parquet")).where(F.col("id") == wanted)
+    assert [row["title"] for row in found.collect()] == ["777"]
+    scan = found._jdf.queryExecution().executedPlan().collectLeaves().head()
+    assert scan.metrics().apply("numOutputRows").value() == 500

@@ -49,11 +49,6 @@ def evidence_id(finding: Column, source_type: Column, source_id: Column, field:
     return F.concat(F.lit("E-"), F.substring(F.sha2(joined, 256), 1, 16))
 
 
-def relative_deviation(observed: Column, reference: Column) -> Column:
-    """|observed - reference| / |reference|; null for a zero reference."""
-    return F.when(reference != 0, F.abs(observed - reference) / F.abs(reference))
-
-
 def relative_gap(expected: Column, observed: Column) -> Column:
     return F.when(expected != 0, (expected - observed) / F.abs(expected))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vigilframe import catalog
 from vigilframe.functions.measures import absence_strength
@@ -134,30 +134,23 @@ def silent_critical_assets(bundle: Bundle, window: DataFrame) -> Detection:
     return Detection(findings, _asset_evidence(hits, inactive, fields, "NS002_asset"))
 
 
-def entity_sources(alerts: DataFrame) -> DataFrame:
-    """Alerts and the set of sources per entity.
+def active_pairs(alerts: DataFrame) -> DataFrame:
+    """(entity_id, source, alerts, total_alerts): one row per source of each sufficiently active entity.
 
-    Alerts are counted per (entity, source) first, so what reaches an entity's task is one row per telemetry
-    category, never its alerts.
+    Alerts are counted per (entity, source) first, so what reaches an entity's task is one row per telemetry category,
+    never its alerts; totals are added to the rows, no list is made of an entity's sources.
     """
-    pairs = alerts.groupBy("entity_id", "source").agg(F.count(F.lit(1)).alias("alerts"))
-    return pairs.groupBy("entity_id").agg(
-        F.sum("alerts").alias("total_alerts"), F.array_sort(F.collect_set("source")).alias("observed")
-    )
-
-
-def active_entities(alerts: DataFrame) -> DataFrame:
     minimum = catalog.DETECTORS["NS003"]["minimum_population"]
-    return entity_sources(alerts).filter(F.col("total_alerts") >= minimum)
+    pairs = alerts.groupBy("entity_id", "source").agg(F.count(F.lit(1)).alias("alerts"))
+    return pairs.withColumn("total_alerts", F.sum("alerts").over(Window.partitionBy("entity_id"))).filter(F.col("total_alerts") >= minimum)
 
 
 def source_prevalence(alerts: DataFrame) -> DataFrame:
     """Share of sufficiently active entities that report each source."""
-    active = active_entities(alerts)
-    population = active.agg(F.count(F.lit(1)).alias("entities"))
+    active = active_pairs(alerts)
+    population = active.select("entity_id").distinct().agg(F.count(F.lit(1)).alias("entities"))
     return (
-        active.select(F.explode("observed").alias("source"))
-        .groupBy("source")
+        active.filter(F.col("source").isNotNull()).groupBy("source")
         .agg(F.count(F.lit(1)).alias("entity_count"))
         .withColumn("active_entities", population.scalar())
         .withColumn("prevalence", F.col("entity_count").cast("double") / F.col("active_entities"))
@@ -168,31 +161,38 @@ def missing_sources(bundle: Bundle, window: DataFrame) -> Detection:
     """NS003: a source that most active entities report is missing at an active entity.
 
     The expected sources travel as one scalar row: each is reported by at least 60 % of the active entities, so
-    there are at most 1/0.6 times as many of them as one entity reports on average.
+    there are at most 1/0.6 times as many of them as one entity reports on average. Only which of them an entity
+    reports is gathered; all its sources are listed for findings alone, whose texts name them.
     """
     threshold = catalog.DETECTORS["NS003"]["thresholds"]["cohort_prevalence_threshold"]
     alerts = bundle["alert_features"]
     expected = (
         source_prevalence(alerts)
         .filter((F.col("prevalence") >= threshold) & (F.col("active_entities") >= 2))
-        .agg(F.array_sort(F.collect_list("source")))
+        .agg(F.array_sort(F.collect_list("source")).alias("expected"))
     )
+    pairs = active_pairs(alerts)
+    reported = F.collect_list(F.when(F.array_contains("expected", F.col("source")), F.col("source")))
     hits = (
-        active_entities(alerts)
-        .withColumn("expected", expected.scalar())
-        .withColumn("missing", F.array_except("expected", "observed"))
+        pairs.withColumn("expected", expected.scalar())
+        .groupBy("entity_id")
+        .agg(F.max("total_alerts").alias("total_alerts"), F.count("source").alias("observed_count"), F.max("expected").alias("expected"), reported.alias("reported"))
+        .withColumn("missing", F.array_except("expected", "reported"))
         .filter(F.size("missing") > 0)
         .withColumn("missing_text", F.array_join("missing", ", "))
-        .withColumn(
-            "observed_text",
-            F.when(F.size("observed") > 0, F.array_join("observed", ", ")).otherwise(F.lit("None")),
-        )
+    )
+    listed = (
+        pairs.join(hits.select("entity_id"), "entity_id", "left_semi").groupBy("entity_id")
+        .agg(F.array_join(F.array_sort(F.collect_list("source")), ", ").alias("listed"))
+    )
+    hits = hits.join(listed, "entity_id", "left").withColumn(
+        "observed_text", F.when(F.col("observed_count") > 0, F.col("listed")).otherwise(F.lit("None"))
     )
     hits = identify(_within_window(hits, window), "NS003", F.col("entity_id"))
     expected_count = F.size("expected")
     gap = F.size("missing").cast("double") / expected_count
     findings = _absence_findings(
-        hits, "NS003", strength=absence_strength(F.col("total_alerts"), gap), observed=F.size("observed"),
+        hits, "NS003", strength=absence_strength(F.col("total_alerts"), gap), observed=F.col("observed_count"),
         expected=expected_count, population=F.col("total_alerts"), method="cohort_telemetry_presence",
         baseline_type="cohort_expectation", baseline=expected_count, gap=gap,
         text={

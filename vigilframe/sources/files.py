@@ -354,11 +354,20 @@ class Written(NamedTuple):
     kinds: dict[str, str]
 
 
-def write_observed(frame: DataFrame, path: str) -> Written:
+#: Columns that published tables are looked up by: their files carry Bloom filters, so a lookup reads few row groups.
+LOOKED_UP = {
+    "findings": ("id", "entity_id"), "evidence": ("finding_id", "id"), "entity_risk": ("entity_id",), "risk_contributions": ("entity_id", "id"),
+    "contribution_findings": ("entity_id", "finding_id"), "review_queue": ("record_id", "entity_id"),
+}
+
+
+def write_observed(frame: DataFrame, path: str, looked_up: tuple[str, ...] = ()) -> Written:
     """Write a table; its rows and nulls are counted on the way, no file is read for them."""
     names, seen = frame.columns, Observation()
     counters = [F.count_if(F.col(f"`{name}`").isNull()).alias(f"nulls_{place}") for place, name in enumerate(names)]
-    frame.observe(seen, F.count(F.lit(1)).alias("rows"), *counters).write.mode("errorifexists").parquet(path)
+    frame.observe(seen, F.count(F.lit(1)).alias("rows"), *counters).write.mode("errorifexists").options(
+        **{f"parquet.bloom.filter.enabled#{name}": "true" for name in looked_up if name in names}
+    ).parquet(path)
     counts = seen.get
     return Written(
         counts["rows"], {name: counts[f"nulls_{place}"] for place, name in enumerate(names)},
@@ -379,7 +388,7 @@ def publish(
         raise FileExistsError(f"Output directory is not empty: {directory}")
     parent, name = posixpath.split(directory.rstrip("/"))
     staging = f"{parent}/.staging-{name}-{uuid.uuid4().hex[:12]}"
-    written = {table: write_observed(frame, f"{staging}/{table}.parquet") for table, frame in tables.items()}
+    written = {table: write_observed(frame, f"{staging}/{table}.parquet", LOOKED_UP.get(table, ())) for table, frame in tables.items()}
     document = manifest(written) | {"files": {table: table_files(spark, f"{staging}/{table}.parquet") for table in tables}}
     write_document(spark, f"{staging}/{manifest_name}", document)
     rename(spark, staging, directory)
