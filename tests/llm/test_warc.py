@@ -96,3 +96,35 @@ def test_query_and_sql(spark, sf_dir):
     result = db.execute(f"select {', '.join(columns)} from ({queries.ORACLE['op9_warc']})").fetchall()
     assert sorted(map(tuple, frame.select(*columns).collect()), key=str) == sorted(result, key=str)
     assert len(result) == table(spark, sf_dir, "pages").count()
+
+
+@pytest.mark.parametrize("chunk", [64, 1 << 18])
+def test_every_record_has_an_id_of_its_own(spark, tmp_path, chunk):
+    rows = [*ROWS, (4, "http://a/2", "<p>one</p>"), (None, "u", "no id"), (None, "u", "only here"), (None, "u", "only here"), (12, "u", "w" * 500), (12, "v", "w" * 500), (13, "u", "w" * 500)]
+    path = str(tmp_path / "w")
+    warc.write_archives(spark.createDataFrame(rows, PAGES).repartition(3), path, chunk_bytes=chunk)
+    headers = []
+    for file in spark.read.option("lineSep", warc.RECORD_END).text(path).selectExpr("_metadata.file_path as name", "cast(value as binary) as value").groupBy("name").agg({"value": "count"}).collect():
+        pieces = spark.read.option("lineSep", warc.RECORD_END).text(file["name"]).selectExpr("cast(value as binary) as value").collect()
+        headers += [header for header, _ in warc.read_records(iter([bytes(piece.value) for piece in pieces]))]
+    ids = [header["WARC-Record-ID"] for header in headers]
+    assert len(set(ids)) == len(ids) > len(rows) - 1
+    kinds = {header["WARC-Record-ID"]: header for header in headers}
+    for header in headers:
+        if header["WARC-Type"] == "revisit":
+            other = kinds[header["WARC-Refers-To"]]
+            assert other["WARC-Type"] == "response" and other["WARC-Payload-Digest"] == header["WARC-Payload-Digest"]
+            assert other["WARC-Page-Id"] == header["WARC-Refers-To-Page-Id"]
+        if header["WARC-Type"] == "continuation":
+            assert kinds[header["WARC-Segment-Origin-ID"]]["WARC-Page-Id"] == header["WARC-Page-Id"]
+
+
+def test_a_long_payload_is_written_chunk_by_chunk(spark, tmp_path, monkeypatch):
+    """No piece that leaves the chunk table or enters a record is longer than a chunk, whatever the payload's length."""
+    text = "0123456789abcdef" * (1 << 18)
+    pages = spark.createDataFrame([(1, "u", text), (2, "u", text), (3, "u", "short")], PAGES)
+    assert warc.chunk_table(pages, 1 << 16).selectExpr("max(length(data)) as most", "count(*) as rows").first() == (1 << 16, 129)
+    warc.write_archives(pages, str(tmp_path / "w"), chunk_bytes=1 << 16)
+    rows = warc.read_archives(spark, str(tmp_path / "w"), with_data=True).selectExpr("page_id", "record_type", "segment", "length(data) as size").collect()
+    assert sorted((row.page_id, row.record_type) for row in rows if row.segment == 1) == [(1, "response"), (2, "revisit"), (3, "response")]
+    assert sum(row.size for row in rows if row.page_id == 1) == len(text) and max(row.size for row in rows) == 1 << 16

@@ -1,9 +1,10 @@
 """WARC archives through a table of chunks: (record id, chunk number, bytes, digests so far).
 
-A payload is handled as chunks of CHUNK_BYTES. The chunk table carries, with every chunk, the SHA-1 of the payload up
-to its end, so the last chunk of a record has the record's digest; it serves for digests alone. Records are written from
-whole payloads, each held by its task. An archive stores a longer payload as the standard's segments: the first in a
-record of its own type, the others in `continuation` records that name the first; each holds one chunk.
+A payload is handled as chunks of CHUNK_BYTES, cut once. The chunk table carries, with every chunk, the SHA-1 of the payload
+up to its end, so the last chunk of a record has the record's digest. What a header needs to know of the whole record (digest,
+size, whether it revisits another) is one small row per record; it is sorted before the record's chunks, and a task writes
+record by record from these rows, holding a batch of chunks. An archive stores a longer payload as the standard's segments:
+the first in a record of its own type, the others in `continuation` records that name the first; each holds one chunk.
 
 Archives are written by Spark's text sink with the record end of the standard (two line ends) as its line end, and
 compressed as a whole, so a reader streams each file from its start in pieces of at most about a chunk.
@@ -17,8 +18,10 @@ import uuid
 from collections.abc import Iterator
 from itertools import groupby
 from operator import itemgetter
+from typing import NamedTuple
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vigilframe.session import stage
@@ -30,9 +33,9 @@ BATCH_BYTES = 4 << 20
 #: Every record is dated alike: a table has no time of capture, and reruns should give equal archives.
 DATE = "2024-01-01T00:00:00Z"
 
-CHUNK_SCHEMA = "page_id long, url string, chunk int, last boolean, total long, data binary, digest_so_far string"
+CHUNK_SCHEMA = "page_id long, url string, chunk int, last boolean, total long, data binary, digest_so_far string, record long"
 _ARROW = pa.schema([
-    ("page_id", pa.int64()), ("url", pa.string()), ("chunk", pa.int32()), ("last", pa.bool_()), ("total", pa.int64()), ("data", pa.binary()), ("digest_so_far", pa.string()),
+    ("page_id", pa.int64()), ("url", pa.string()), ("chunk", pa.int32()), ("last", pa.bool_()), ("total", pa.int64()), ("data", pa.binary()), ("digest_so_far", pa.string()), ("record", pa.int64()),
 ])
 
 
@@ -43,10 +46,11 @@ def _digest(state) -> str:
 def chunk_table(pages: DataFrame, chunk_bytes: int = CHUNK_BYTES, id_column: str = "page_id", url_column: str = "url", text_column: str = "html") -> DataFrame:
     """One row per chunk of every payload (UTF-8 of the text; null: empty, one empty chunk), in order within a record.
 
-    ``digest_so_far`` is the SHA-1, in hex digits, of the payload up to the chunk's end.
+    ``digest_so_far`` is the SHA-1, in hex digits, of the payload up to the chunk's end. ``record`` numbers the rows of
+    ``pages``: by task and place, so no two rows share a number whatever their ids.
     """
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, held = [], 0
+        rows, held, record = [], 0, TaskContext.get().partitionId() << 40
         for batch in batches:
             for page_id, url, payload in zip(*batch.columns, strict=True):
                 view = memoryview(payload.as_buffer()) if payload.is_valid else memoryview(b"")
@@ -55,11 +59,12 @@ def chunk_table(pages: DataFrame, chunk_bytes: int = CHUNK_BYTES, id_column: str
                     data = view[place : place + chunk_bytes]
                     state.update(data)
                     place += len(data)
-                    rows.append((page_id.as_py(), url.as_py(), number, place >= total, total, bytes(data), state.hexdigest()))
+                    rows.append((page_id.as_py(), url.as_py(), number, place >= total, total, bytes(data), state.hexdigest(), record))
                     held, number = held + len(data) + 200, number + 1
                     if held >= BATCH_BYTES:
                         yield _batch(rows)
                         rows, held = [], 0
+                record += 1
         if rows:
             yield _batch(rows)
 
@@ -72,8 +77,10 @@ def _batch(rows: list[tuple], schema: pa.Schema = _ARROW) -> pa.RecordBatch:
 
 
 def first_of_payload(digests: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """(payload_digest, payload_bytes, first_id) per payload of at least ``least_bytes``: the smallest id with it."""
-    return digests.where(F.col("total") >= least_bytes).groupBy("payload_digest", "total").agg(F.min("page_id").alias("first_id"))
+    """(payload_digest, total, first_id, first_record) per payload of at least ``least_bytes``: the smallest id with it, null ids last."""
+    first = F.min(F.struct(F.col("page_id").isNull().alias("without"), "page_id", "record")).alias("first")
+    found = digests.where(F.col("total") >= least_bytes).groupBy("payload_digest", "total").agg(first)
+    return found.select("payload_digest", "total", F.col("first.page_id").alias("first_id"), F.col("first.record").alias("first_record"))
 
 
 def record_id(name: str) -> str:
@@ -99,63 +106,86 @@ def write_archives(
     are revisits without a body that name it. Shorter payloads are responses. Rows that repeat the smallest id with the same payload
     are all responses. A null id (never smallest unless all are null) is written as an empty ``WARC-Page-Id``; null URLs are empty, null
     texts empty payloads; an empty table gives archives without records; other columns of ``pages`` are not read.
+    Every record has an id of its own, also where rows repeat an id or have none.
     """
-    chunks = chunk_table(pages, chunk_bytes, id_column, url_column, text_column)
-    digests = stage(chunks.where("last").select("page_id", "total", F.col("digest_so_far").alias("payload_digest")))
-    firsts = first_of_payload(digests, least_bytes)
-    # only rows that repeat an earlier payload need to be known when records are written
-    repeats = stage(
-        digests.join(firsts, ["payload_digest", "total"]).where(~F.col("page_id").eqNullSafe(F.col("first_id")))
-        .select(F.col("page_id").alias("of"), "payload_digest", "first_id").distinct()
+    chunks = stage(chunk_table(pages, chunk_bytes, id_column, url_column, text_column))
+    digests = stage(chunks.where("last").select("record", "page_id", "total", F.col("digest_so_far").alias("payload_digest")))
+    firsts = stage(first_of_payload(digests, least_bytes))
+    revisits = F.col("first_record").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
+    known = digests.join(firsts, ["payload_digest", "total"], "left").select(
+        "record", F.lit(-1).alias("chunk"), "page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("data"), "total",
+        "payload_digest", "first_id", "first_record", revisits.alias("revisits"),
     )
-    rows = pages.select(F.col(id_column).cast("long").alias("page_id"), F.col(url_column).cast("string").alias("url"), F.col(text_column).cast("binary").alias("payload"))
-    # an id may stand on several rows, so the payload decides with it
-    named = rows.withColumn("sha1", F.sha1(F.coalesce(F.col("payload"), F.lit("").cast("binary"))))
-    meets = named["page_id"].eqNullSafe(repeats["of"]) & (named["sha1"] == repeats["payload_digest"])
-    joined = named.join(repeats, meets, "left").select("page_id", "url", "payload", "first_id", F.col("payload_digest").isNotNull().alias("revisits"))
+    # what is known of a record comes before its chunks
+    ordered = known.unionByName(chunks.select("record", "chunk", "page_id", "url", "data"), allowMissingColumns=True)
+    ordered = ordered.repartition("record").sortWithinPartitions("record", "chunk")
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("record", pa.binary())])
-        out, held = [], 0
+        out, held, head = [], 0, None
         for batch in batches:
-            for page_id, url, payload, first_id, revisits in zip(*batch.columns, strict=True):
-                body = memoryview(payload.as_buffer()) if payload.is_valid else memoryview(b"")
-                for record in page_records(page_id.as_py(), url.as_py(), body, first_id.as_py(), revisits.as_py(), chunk_bytes):
-                    out.append((record,))
-                    held += len(record)
-                    if held >= BATCH_BYTES:
-                        yield _batch(out, schema)
-                        out, held = [], 0
+            for record, chunk, page_id, url, data, total, digest, first_id, first_record, revisits in zip(*batch.columns, strict=True):
+                if chunk.as_py() < 0:
+                    named = record_name(page_id.as_py(), record.as_py())
+                    other = (first_id.as_py(), record_name(first_id.as_py(), first_record.as_py())) if revisits.as_py() else None
+                    head = RecordHead(named, page_id.as_py(), total.as_py(), digest.as_py(), other)
+                    continue
+                if head.revisited and chunk.as_py():
+                    continue
+                out.append((segment_record(head, url.as_py(), chunk.as_py(), memoryview(data.as_buffer()), chunk_bytes),))
+                held += len(out[-1][0])
+                if held >= BATCH_BYTES:
+                    yield _batch(out, schema)
+                    out, held = [], 0
         if out:
             yield _batch(out, schema)
 
-    written = joined.mapInArrow(records, "record binary").select(F.col("record").cast("string").alias("value"))
+    written = ordered.mapInArrow(records, "record binary").select(F.col("record").cast("string").alias("value"))
     written.write.option("lineSep", RECORD_END).option("compression", "gzip").text(path)
 
 
-def page_records(page_id: int | None, url: str | None, payload: memoryview, first_id: int | None, revisits: bool, chunk_bytes: int) -> Iterator[bytes]:
-    """A page's records without their end: header, empty line, and one chunk at most."""
-    state = hashlib.sha1(payload, usedforsecurity=False)
-    own, total = record_id(f"page:{page_id}"), len(payload)
-    common = [("WARC-Date", DATE), ("WARC-Target-URI", _one_line(url)), ("WARC-Page-Id", "" if page_id is None else page_id)]
-    described = [("WARC-Payload-Digest", f"sha1:{_digest(state)}"), ("WARC-Payload-Bytes", total)]
-    if revisits:
-        yield _header([
+class RecordHead(NamedTuple):
+    """What the headers of a record's segments say of the whole: ``digest`` in hex digits, ``revisited`` (id, name) of the response."""
+
+    name: str
+    page_id: int | None
+    total: int
+    digest: str
+    revisited: tuple[int | None, str] | None
+
+
+def record_name(page_id: int | None, record: int) -> str:
+    return f"page:{page_id}:{record}"
+
+
+def segment_record(head: RecordHead, url: str | None, number: int, data: memoryview, chunk_bytes: int) -> bytes:
+    """A record without its end: header, empty line, and one chunk of the payload, or none for a revisit."""
+    own, segments = record_id(head.name), max(1, -(-head.total // chunk_bytes))
+    common = [("WARC-Date", DATE), ("WARC-Target-URI", _one_line(url)), ("WARC-Page-Id", "" if head.page_id is None else head.page_id)]
+    digest = base64.b32encode(bytes.fromhex(head.digest)).decode("ascii")
+    described = [("WARC-Payload-Digest", f"sha1:{digest}"), ("WARC-Payload-Bytes", head.total)]
+    if head.revisited:
+        first_id, first_name = head.revisited
+        return _header([
             ("WARC-Type", "revisit"), ("WARC-Record-ID", own), *common, *described,
             ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
-            ("WARC-Refers-To", record_id(f"page:{first_id}")), ("WARC-Refers-To-Page-Id", first_id), ("Content-Length", 0),
+            ("WARC-Refers-To", record_id(first_name)), ("WARC-Refers-To-Page-Id", first_id), ("Content-Length", 0),
         ])
-        return
-    segments = max(1, -(-total // chunk_bytes))
-    for number in range(segments):
-        data = payload[number * chunk_bytes : (number + 1) * chunk_bytes]
-        if number == 0:
-            fields = [("WARC-Type", "response"), ("WARC-Record-ID", own), *common, *described]
-            fields += [("WARC-Segment-Number", 1)] if segments > 1 else []
-        else:
-            fields = [("WARC-Type", "continuation"), ("WARC-Record-ID", record_id(f"page:{page_id}:{number}")), *common, ("WARC-Segment-Origin-ID", own), ("WARC-Segment-Number", number + 1)]
-            fields += [("WARC-Segment-Total-Length", total)] if number + 1 == segments else []
-        yield _header([*fields, ("Content-Type", "text/html; charset=utf-8"), ("Content-Length", len(data))]) + bytes(data)
+    if number == 0:
+        fields = [("WARC-Type", "response"), ("WARC-Record-ID", own), *common, *described]
+        fields += [("WARC-Segment-Number", 1)] if segments > 1 else []
+    else:
+        fields = [("WARC-Type", "continuation"), ("WARC-Record-ID", record_id(f"{head.name}:{number}")), *common, ("WARC-Segment-Origin-ID", own), ("WARC-Segment-Number", number + 1)]
+        fields += [("WARC-Segment-Total-Length", head.total)] if number + 1 == segments else []
+    return _header([*fields, ("Content-Type", "text/html; charset=utf-8"), ("Content-Length", len(data))]) + bytes(data)
+
+
+def page_records(page_id: int | None, url: str | None, payload: memoryview, first_id: int | None, revisits: bool, chunk_bytes: int) -> Iterator[bytes]:
+    """All records of one small page that stands alone."""
+    digest = hashlib.sha1(payload, usedforsecurity=False).hexdigest()
+    head = RecordHead(record_name(page_id, 0), page_id, len(payload), digest, (first_id, record_name(first_id, 0)) if revisits else None)
+    for number in range(1 if revisits else max(1, -(-len(payload) // chunk_bytes))):
+        yield segment_record(head, url, number, payload[number * chunk_bytes : (number + 1) * chunk_bytes], chunk_bytes)
 
 
 READ_SCHEMA = (
