@@ -15,16 +15,17 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from vigilframe import session
 from vigilframe.llm import simple8b
 from vigilframe.llm.common import arrow_rows, running_offsets
-from vigilframe.llm.encoding import PieceEncoder, id_bytes, row_slices, runs
+from vigilframe.llm.encoding import PieceEncoder, id_bytes, row_slices
 
 MAGIC, VERSION, END = b"S8B1", 1, "\x00S8B-END\n"
 #: A frame is closed when it holds this many ids; a longer document has a frame to itself.
@@ -33,8 +34,11 @@ FRAME_IDS = 1 << 18
 FILE_FRAMES = 64
 #: Rows that a task gets from Arrow at once.
 BATCH_ROWS = 512
+#: Bytes of text that are numbered together, and pieces whose ids a worker keeps.
+RUN_BYTES, KEPT_NUMBERS = 1 << 21, 200_000
+#: Words that go to the library as one text.
+WORDS_AT_ONCE = 1 << 15
 
-_ENCODERS: dict[str, PieceEncoder] = {}
 
 
 def frame(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
@@ -83,28 +87,26 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, i
     gives files without frames; other columns are not read.
     """
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer not in _ENCODERS:
-            _ENCODERS[tokenizer] = PieceEncoder(tokenizer, id_bytes)
-        encoder, end = _ENCODERS[tokenizer], np.array([end_id], "<u4").tobytes()
+        if tokenizer not in _TABLES:
+            _TABLES[tokenizer] = IdTable(PieceEncoder(tokenizer, id_bytes))
+        table, end = _TABLES[tokenizer], np.array([end_id], "<u4")
         doc_ids, lengths, coded, held = [], [], [], 0
-        for batch in row_slices(batches):
+        for batch in row_slices(batches, BATCH_ROWS):
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             open_row, parts = 0, []
-            for run in chain(runs(texts, encoder), [None]):
-                known = encoder.values(pieces for _, pieces in run) if run else {}
-                for row, pieces in run or [(len(texts), [])]:
+            for run in chain(byte_runs(texts, table.encoder), [None]):
+                found = run_ids(table, [part for _, part in run]) if run else [None]
+                for (row, _), part_ids in zip(run or [(len(texts), None)], found, strict=True):
                     while open_row < row:  # rows before this one are complete
-                        parts.append(end)
-                        document = b"".join(parts)
                         doc_ids.append(ids[open_row])
-                        lengths.append(len(document) // 4)
-                        coded.append(document)
+                        lengths.append(sum(map(len, parts)) + 1)
+                        coded += [*parts, end]
                         held += lengths[-1]
                         parts, open_row = [], open_row + 1
                         if held >= FRAME_IDS:
                             yield _one_frame(doc_ids, lengths, coded)
                             doc_ids, lengths, coded, held = [], [], [], 0
-                    parts.extend(map(known.__getitem__, pieces))
+                    parts.append(part_ids)
         if doc_ids:
             yield _one_frame(doc_ids, lengths, coded)
 
@@ -115,9 +117,112 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, i
         frames.write.option("lineSep", END).option("maxRecordsPerFile", FILE_FRAMES).option("compression", "none").text(path)
 
 
-def _one_frame(doc_ids: list[int | None], lengths: list[int], coded: list[bytes]) -> pa.RecordBatch:
-    ids = np.frombuffer(b"".join(coded), dtype="<u4")
-    return pa.record_batch([pa.array([frame(doc_ids, lengths, ids)], pa.binary())], names=["frame"])
+def byte_runs(texts: list[bytes | None], encoder: PieceEncoder) -> Iterator[list[tuple[int, bytes]]]:
+    """(row, text) in runs of about RUN_BYTES: several short texts, or a slice of a long one."""
+    run, held = [], 0
+    for row, text in enumerate(texts):
+        for part in encoder.slices(text or b""):
+            if run and held + len(part) > RUN_BYTES:
+                yield run
+                run, held = [], 0
+            run.append((row, part))
+            held += len(part)
+    if run:
+        yield run
+
+
+class IdTable:
+    """Pieces met before by number, with their ids one after the other; forgotten all at once where they get too many."""
+
+    def __init__(self, encoder: PieceEncoder):
+        self.encoder = encoder
+        self._forget()
+
+    def _forget(self) -> None:
+        self.number: dict[bytes, int] = {}
+        self.first, self.size = np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.int64)
+        self.pool, self.held = np.zeros(1 << 18, dtype="<u4"), 0
+
+    def numbers(self, pieces: list[bytes]) -> np.ndarray:
+        """The number of each of some different pieces."""
+        if len(self.number) > KEPT_NUMBERS:
+            self._forget()
+        found = np.fromiter(map(self.number.get, pieces, repeat(-1)), dtype=np.int64, count=len(pieces))
+        fresh = np.flatnonzero(found < 0)
+        if fresh.size:
+            start, asked = len(self.number), [pieces[place] for place in fresh.tolist()]
+            plain = np.zeros(fresh.size, dtype=bool)
+            if self.encoder.ends_word is not None:
+                plain = pc.ascii_is_alpha(pa.array(asked, pa.binary()).cast(pa.string(), safe=False)).to_numpy(zero_copy_only=False)
+            words, others = list(compress(asked, plain)), list(compress(asked, ~plain))
+            self._learn_words(words)
+            self._learn(others)
+            found[np.concatenate((fresh[plain], fresh[~plain]))] = np.arange(start, len(self.number))
+        return found
+
+    def _learn_words(self, words: list[bytes]) -> None:
+        """Words of ASCII letters go to the library as one text, in which the ids that end a word are counted."""
+        for start in range(0, len(words), WORDS_AT_ONCE):
+            some = words[start : start + WORDS_AT_ONCE]
+            ids = np.array(self.encoder.library.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.flatnonzero(self.encoder.ends_word[ids]) + 1
+            if len(ends) == len(some) and ends[-1] == len(ids):
+                self._add(some, np.diff(ends, prepend=0), ids)
+            else:
+                self._learn(some)
+
+    def _learn(self, pieces: list[bytes]) -> None:
+        known = self.encoder.values([pieces])
+        coded = list(map(known.__getitem__, pieces))
+        self._add(pieces, np.fromiter(map(len, coded), dtype=np.int64, count=len(coded)) // 4, np.frombuffer(b"".join(coded), "<u4"))
+        if not self.encoder.by_piece:
+            self.encoder.young = {}
+
+    def _add(self, pieces: list[bytes], sizes: np.ndarray, ids: np.ndarray) -> None:
+        start, end = len(self.number), len(self.number) + len(pieces)
+        self.first, self.size = _grown(self.first, end), _grown(self.size, end)
+        self.pool = _grown(self.pool, self.held + len(ids))
+        self.first[start:end], self.size[start:end] = self.held + np.cumsum(sizes) - sizes, sizes
+        self.pool[self.held : self.held + len(ids)] = ids
+        self.held += len(ids)
+        self.number.update(zip(pieces, range(start, end), strict=True))
+
+
+def _grown(values: np.ndarray, size: int) -> np.ndarray:
+    return values if size <= len(values) else np.concatenate((values, np.zeros(max(size, 2 * len(values)) - len(values), dtype=values.dtype)))
+
+
+def run_ids(table: IdTable, texts: list[bytes]) -> list[np.ndarray]:
+    """The ids of each text of a run.
+
+    The run's pieces are numbered, only different ones are looked up, and their ids are gathered by number at once.
+    """
+    pieces = pa.array(texts, pa.binary())
+    counts = np.ones(len(texts), dtype=np.int64)
+    if table.encoder.by_piece:
+        split = pc.ascii_split_whitespace(pieces.cast(pa.string(), safe=False))
+        pieces, counts = split.flatten(), split.value_lengths().to_numpy()
+        filled = pc.greater(pc.binary_length(pieces), 0)
+        kept = np.concatenate(([0], np.cumsum(filled.to_numpy(zero_copy_only=False))))
+        counts, pieces = np.diff(kept[np.concatenate(([0], np.cumsum(counts)))]), pieces.filter(filled).cast(pa.binary())
+    numbered = pieces.dictionary_encode()
+    different = numbered.dictionary
+    if table.encoder.by_piece:  # no piece holds white space: joining and splitting is the short way to Python's bytes
+        different = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(different)], pa.int32()), different), b" ")[0].as_py().split()
+    else:
+        different = different.to_pylist()
+    number = table.numbers(different)[numbered.indices.to_numpy()]
+    taken = table.size[number]
+    ends = np.cumsum(taken)
+    ids = table.pool[np.repeat(table.first[number] - (ends - taken), taken) + np.arange(int(ends[-1]) if len(ends) else 0)]
+    return np.split(ids, np.concatenate(([0], ends))[np.cumsum(counts)[:-1]])
+
+
+_TABLES: dict[str, IdTable] = {}
+
+
+def _one_frame(doc_ids: list[int | None], lengths: list[int], coded: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([frame(doc_ids, lengths, np.concatenate(coded))], pa.binary())], names=["frame"])
 
 
 def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
