@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vigilframe.session import stage
+from vigilframe.session import checkpoint_dir, stage
 
 CHUNK_BYTES = 1 << 18
 RECORD_END = "\r\n\r\n"
@@ -108,7 +108,10 @@ def write_archives(
     texts empty payloads; an empty table gives archives without records; other columns of ``pages`` are not read.
     Every record has an id of its own, also where rows repeat an id or have none.
     """
-    chunks = stage(chunk_table(pages, chunk_bytes, id_column, url_column, text_column))
+    # the one table with the payloads themselves, written more densely than others
+    cut = f"{checkpoint_dir(pages.sparkSession)}/chunks-{uuid.uuid4().hex}"
+    chunk_table(pages, chunk_bytes, id_column, url_column, text_column).write.option("compression", "zstd").parquet(cut)
+    chunks = pages.sparkSession.read.schema(CHUNK_SCHEMA).parquet(cut)
     digests = stage(chunks.where("last").select("record", "page_id", "total", F.col("digest_so_far").alias("payload_digest")))
     firsts = stage(first_of_payload(digests, least_bytes))
     revisits = F.col("first_record").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
