@@ -107,6 +107,57 @@ def test_token_files_hold_every_text(spark, documents, library, tmp_path):
         (sum(row.n_tokens for row in read[:place]), row.n_tokens) for place, row in enumerate(read)]
 
 
+def _table(kept=[]):
+    if not kept:
+        kept.append(token_output.IdTable(PATH))
+    return kept[0]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from("aBz'ſtés \n\t ́<|endoftext>.,#&1İßʼnǅµ日Ω\x1c"), max_size=30), min_size=1, max_size=4))
+def test_runs_give_the_library_ids(texts):
+    table = _table()
+    found = token_output.run_ids(table, [text.encode() for text in texts])
+    assert [ids.tolist() for ids in found] == [table.encoder.library.encode(text, add_special_tokens=False).ids for text in texts]
+
+
+def test_a_word_is_learned_once_whatever_signs_follow():
+    table = token_output.IdTable(PATH)
+    texts = ["Word word. WORD### word!", "été, été; <|endoftext|>word <|ENDOFTEXT|> don't 12#"]
+    found = token_output.run_ids(table, [text.encode() for text in texts])
+    assert [ids.tolist() for ids in found] == [table.encoder.library.encode(text, add_special_tokens=False).ids for text in texts]
+    assert set(table.number) == {b"word", b".", b"###", b"!", "été".encode(), b",", b";", b"<|endoftext|>word", b"<|ENDOFTEXT|>", b"don't", b"12#"}
+    assert not table.encoder.young and not table.encoder.old  # ids are kept once
+
+
+def test_units_met_least_are_forgotten(monkeypatch):
+    monkeypatch.setattr(token_output, "KEPT_NUMBERS", 40)
+    table = token_output.IdTable(PATH)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    for number in range(60):
+        text = " ".join(["often", "often,", *(letters[number % 26 : number % 26 + 3] + letters[place] + letters[number % 7] for place in range(20))])
+        [ids] = token_output.run_ids(table, [text.encode()])
+        assert ids.tolist() == table.encoder.library.encode(text, add_special_tokens=False).ids
+        assert len(table.number) <= 40 + 22 and len(table.pool) < 1000
+        assert table.number[b"often"] < 2
+
+
+@pytest.mark.parametrize("texts", [[b""], [b" \n"], [b"", b"a", b""], [b"bad \xff\xfe bytes\xc3 here."], [b"\xff"]])
+def test_no_words_and_bytes_that_are_no_text(texts):
+    table = _table()
+    want = [table.encoder.library.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids for text in texts]
+    assert [ids.tolist() for ids in token_output.run_ids(table, texts)] == want
+
+
+def test_whole_texts_are_not_kept():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    table, whole = token_output.IdTable(path), Tokenizer.from_file(path)
+    assert not table.parts
+    for texts in (["one text", " two  texts\n"], ["", "three"]):
+        assert [ids.tolist() for ids in token_output.run_ids(table, [text.encode() for text in texts])] == [whole.encode(text, add_special_tokens=False).ids for text in texts]
+        assert len(table.number) == 2
+
+
 def test_damage_is_seen(documents):
     whole = token_output.frame([7], [3], np.array([1, 2, 3])) + token_output.END.encode("latin-1")
     assert list(token_output.parse_frames(whole))[0][0] == [7]

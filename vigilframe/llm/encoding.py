@@ -36,6 +36,25 @@ def drops_white_space(path: str) -> bool:
     return kept_only and not any(part in pattern.replace("[^\\s", "") for part in (" ", "\\s", "."))
 
 
+def parts_signs(path: str) -> bool:
+    """True if the tokenizer's file says that runs of letters and of signs are tokenized each for itself, in lower case.
+
+    Then a word and the signs behind it have the word's ids and the signs', and small ASCII letters meet the model as they are.
+    """
+    with open(path, encoding="utf-8") as file:
+        config = json.load(file)
+    steps = (config.get("normalizer") or {}).get("normalizers") or []
+    splits = (config.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    pattern = ((splits[0].get("pattern") or {}).get("Regex") or "").split("|")
+    return (
+        [(step.get("type"), step.get("pattern"), step.get("content")) for step in steps]
+        == [("NFC", None, None), ("Replace", {"Regex": r"\s+"}, " "), ("Lowercase", None, None)]
+        and pattern[-3:] == [r"[\p{L}]+", r"[\p{N}]", r"[^\s\p{L}\p{N}]+"] and all(one.startswith("'") for one in pattern[:-3])
+        and [(step.get("type"), step.get("add_prefix_space"), step.get("use_regex")) for step in splits[1:]] == [("ByteLevel", False, False)]
+        and not any(token["content"].isalpha() or not any(map(str.isalpha, token["content"])) for token in config.get("added_tokens") or [])
+    )
+
+
 def cut_at_space(text: bytes, limit: int) -> Iterator[bytes]:
     """``text`` in slices of about ``limit`` bytes that end before ASCII white space, whatever the words' length."""
     start = 0

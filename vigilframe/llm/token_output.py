@@ -15,6 +15,7 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
+from contextlib import suppress
 from itertools import chain, compress, repeat
 
 import numpy as np
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from vigilframe import session
 from vigilframe.llm import simple8b
 from vigilframe.llm.common import arrow_rows, running_offsets
-from vigilframe.llm.encoding import PieceEncoder, id_bytes, row_slices
+from vigilframe.llm.encoding import BATCH_BYTES, PieceEncoder, id_bytes, parts_signs, row_slices
 
 MAGIC, VERSION, END = b"S8B1", 1, "\x00S8B-END\n"
 #: A frame is closed when it holds this many ids; a longer document has a frame to itself.
@@ -34,11 +35,12 @@ FRAME_IDS = 1 << 18
 FILE_FRAMES = 64
 #: Rows that a task gets from Arrow at once.
 BATCH_ROWS = 512
-#: Bytes of text that are numbered together, and pieces whose ids a worker keeps.
-RUN_BYTES, KEPT_NUMBERS = 1 << 21, 200_000
+#: Bytes of text that are numbered together, and units whose ids a worker keeps.
+RUN_BYTES, KEPT_NUMBERS = 1 << 20, 200_000
 #: Words that go to the library as one text.
 WORDS_AT_ONCE = 1 << 15
-
+#: ASCII signs without the apostrophe, with which contractions begin.
+SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def frame(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
@@ -88,7 +90,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, i
     """
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer not in _TABLES:
-            _TABLES[tokenizer] = IdTable(PieceEncoder(tokenizer, id_bytes))
+            _TABLES[tokenizer] = IdTable(tokenizer)
         table, end = _TABLES[tokenizer], np.array([end_id], "<u4")
         doc_ids, lengths, coded, held = [], [], [], 0
         for batch in row_slices(batches, BATCH_ROWS):
@@ -109,6 +111,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, i
                     parts.append(part_ids)
         if doc_ids:
             yield _one_frame(doc_ids, lengths, coded)
+        pa.default_memory_pool().release_unused()  # the worker stays for tasks of other stages
 
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("binary").alias("text"))
     order = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
@@ -132,36 +135,95 @@ def byte_runs(texts: list[bytes | None], encoder: PieceEncoder) -> Iterator[list
 
 
 class IdTable:
-    """Pieces met before by number, with their ids one after the other; forgotten all at once where they get too many."""
+    """Units met before by number, with their ids one after the other; where they get too many, the half met least goes.
 
-    def __init__(self, encoder: PieceEncoder):
-        self.encoder = encoder
-        self._forget()
+    A unit is a piece, or, where the tokenizer parts them, the letters a piece begins with (ASCII ones in lower case) or
+    the signs behind them. Nothing else of a text is kept.
+    """
 
-    def _forget(self) -> None:
+    def __init__(self, path: str):
+        self.encoder = PieceEncoder(path, id_bytes)
+        self.parts = self.encoder.ends_word is not None and parts_signs(path)
         self.number: dict[bytes, int] = {}
-        self.first, self.size = np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.int64)
-        self.pool, self.held = np.zeros(1 << 18, dtype="<u4"), 0
-
-    def numbers(self, pieces: list[bytes]) -> np.ndarray:
-        """The number of each of some different pieces."""
-        if len(self.number) > KEPT_NUMBERS:
-            self._forget()
-        found = np.fromiter(map(self.number.get, pieces, repeat(-1)), dtype=np.int64, count=len(pieces))
+        #: Of each unit: the place of its first id in the pool, its number of ids, and in how many runs it came
+        self.first, self.size, self.met = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32)
+        self.pool, self.held = np.zeros(0, dtype="<u4"), 0
+
+    def _forget(self, keep: int) -> None:
+        kept = np.sort(np.argsort(-self.met[: len(self.number)], kind="stable")[:keep])
+        units, (ids, sizes), met = list(self.number), gathered(self.pool, self.first[kept], self.size[kept]), self.met[kept] // 2
+        self.number, self.held = {}, 0
+        self._add(list(map(units.__getitem__, kept.tolist())), sizes, ids)
+        self.met[: len(kept)] = met
+
+    def ids(self, pieces: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of each of some pieces, one after the other, and how many each has."""
+        units = self._units(pieces) if self.parts else pieces
+        numbered = units.dictionary_encode()
+        different = numbered.dictionary
+        if self.encoder.by_piece:  # no unit holds white space: joining and splitting is the short way to Python's bytes
+            there = pc.greater(pc.binary_length(different), 0).to_numpy(zero_copy_only=False)
+            listed = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(different)], pa.int32()), different), b" ")[0].as_py().split()
+            # the number of no signs is that of an empty unit
+            number = np.full(len(different), -1, dtype=np.int64)
+            number[there] = self.numbers(listed)
+        else:
+            number = self.numbers(different.to_pylist())
+        number = number[numbered.indices.to_numpy()]
+        ids, taken = gathered(self.pool, self.first[number], np.where(number < 0, 0, self.size[number]))
+        return ids, taken[0::2] + taken[1::2] if self.parts else taken
+
+    def _units(self, pieces: pa.BinaryArray) -> pa.BinaryArray:
+        """Two units of each piece: its letters and the signs behind them, or the whole piece and nothing."""
+        try:
+            text = pieces.cast(pa.string())
+        except pa.ArrowInvalid:  # not UTF-8 all over: the library decides
+            text = None
+        whole = pc.binary_length(pieces).to_numpy()
+        offsets = np.concatenate(([0], np.cumsum(whole)))
+        letters, plain = whole, np.zeros(len(pieces), dtype=bool)
+        if text is not None:
+            stems = pc.ascii_rtrim(text, characters=SIGNS)
+            plain = only_letters(stems)
+            letters = np.where(plain, pc.binary_length(stems).to_numpy(), whole)
+        bounds = np.empty(2 * len(pieces) + 1, dtype=np.int32)
+        bounds[0::2], bounds[1::2] = offsets, offsets[:-1] + letters
+        # a dictionary's bytes stand one after the other from place 0 on
+        units = pa.Array.from_buffers(pa.binary(), 2 * len(pieces), [None, pa.py_buffer(bounds), pieces.buffers()[2]])
+        if text is None:
+            return units
+        lower = pc.ascii_lower(units.cast(pa.string())).cast(pa.binary())
+        return pc.if_else(pa.array(np.repeat(plain, 2)), lower, units)
+
+    def numbers(self, units: list[bytes]) -> np.ndarray:
+        """The number of each of some different units."""
+        if len(self.number) > KEPT_NUMBERS or not self.encoder.by_piece:
+            self._forget(KEPT_NUMBERS // 2 if self.encoder.by_piece else 0)
+        found = np.fromiter(map(self.number.get, units, repeat(-1)), dtype=np.int64, count=len(units))
         fresh = np.flatnonzero(found < 0)
         if fresh.size:
-            start, asked = len(self.number), [pieces[place] for place in fresh.tolist()]
-            plain = np.zeros(fresh.size, dtype=bool)
-            if self.encoder.ends_word is not None:
-                plain = pc.ascii_is_alpha(pa.array(asked, pa.binary()).cast(pa.string(), safe=False)).to_numpy(zero_copy_only=False)
-            words, others = list(compress(asked, plain)), list(compress(asked, ~plain))
-            self._learn_words(words)
-            self._learn(others)
-            found[np.concatenate((fresh[plain], fresh[~plain]))] = np.arange(start, len(self.number))
+            start, asked = len(self.number), list(map(units.__getitem__, fresh.tolist()))
+            ascii_words = words = np.zeros(fresh.size, dtype=bool)
+            if self.parts:
+                with suppress(pa.ArrowInvalid):  # where a unit is not UTF-8, all go one by one
+                    texts = pa.array(asked, pa.binary()).cast(pa.string())
+                    words = only_letters(texts)
+                    ascii_words = words & pc.equal(pc.ascii_lower(texts), texts).to_numpy(zero_copy_only=False) & pc.string_is_ascii(texts).to_numpy(zero_copy_only=False)
+            for learn, chosen in ((self._learn_ascii, ascii_words), (self._learn_words, words & ~ascii_words), (self._learn, ~words)):
+                learn(list(compress(asked, chosen)))
+            order = np.argsort(np.where(ascii_words, 0, np.where(words, 1, 2)), kind="stable")
+            found[fresh[order]] = np.arange(start, len(self.number))
+        self.met[found] += 1
         return found
 
+    def _learn_ascii(self, words: list[bytes]) -> None:
+        """Small ASCII letters, which normal form and pre-tokenizer leave as they are, go to the library's model at once."""
+        tokenize = self.encoder.library.model.tokenize
+        coded = [[token.id for token in tokenize(word)] for word in b" ".join(words).decode().split()]
+        self._add(words, np.fromiter(map(len, coded), dtype=np.int64, count=len(coded)), np.fromiter(chain.from_iterable(coded), dtype="<u4"))
+
     def _learn_words(self, words: list[bytes]) -> None:
-        """Words of ASCII letters go to the library as one text, in which the ids that end a word are counted."""
+        """Other words go to the library as one text, in which the ids that end a word are counted."""
         for start in range(0, len(words), WORDS_AT_ONCE):
             some = words[start : start + WORDS_AT_ONCE]
             ids = np.array(self.encoder.library.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, dtype="<u4")
@@ -171,21 +233,34 @@ class IdTable:
             else:
                 self._learn(some)
 
-    def _learn(self, pieces: list[bytes]) -> None:
-        known = self.encoder.values([pieces])
-        coded = list(map(known.__getitem__, pieces))
-        self._add(pieces, np.fromiter(map(len, coded), dtype=np.int64, count=len(coded)) // 4, np.frombuffer(b"".join(coded), "<u4"))
-        if not self.encoder.by_piece:
-            self.encoder.young = {}
-
-    def _add(self, pieces: list[bytes], sizes: np.ndarray, ids: np.ndarray) -> None:
-        start, end = len(self.number), len(self.number) + len(pieces)
-        self.first, self.size = _grown(self.first, end), _grown(self.size, end)
+    def _learn(self, units: list[bytes]) -> None:
+        """Other units go to the library one by one, some thousand in a batch."""
+        bounds = np.cumsum(np.fromiter(map(len, units), dtype=np.int64, count=len(units))) // BATCH_BYTES
+        for some in np.split(np.arange(len(units)), np.flatnonzero(np.diff(bounds)) + 1):
+            batch = units[some[0] : some[-1] + 1] if len(some) else []
+            coded = self.encoder.one_by_one(batch)
+            self._add(batch, np.fromiter(map(len, coded), dtype=np.int64, count=len(coded)) // 4, np.frombuffer(b"".join(coded), "<u4"))
+
+    def _add(self, units: list[bytes], sizes: np.ndarray, ids: np.ndarray) -> None:
+        start, end = len(self.number), len(self.number) + len(units)
+        self.first, self.size, self.met = _grown(self.first, end), _grown(self.size, end), _grown(self.met, end)
+        self.met[start:end] = 0
         self.pool = _grown(self.pool, self.held + len(ids))
         self.first[start:end], self.size[start:end] = self.held + np.cumsum(sizes) - sizes, sizes
         self.pool[self.held : self.held + len(ids)] = ids
         self.held += len(ids)
-        self.number.update(zip(pieces, range(start, end), strict=True))
+        self.number.update(zip(units, range(start, end), strict=True))
+
+
+def only_letters(texts: pa.StringArray) -> np.ndarray:
+    """True for texts of Latin letters below U+0240 alone, which stay single letters in lower case and in normal form."""
+    return pc.and_not(pc.utf8_is_alpha(texts), pc.match_substring_regex(texts, "[^\\x00-\u023f]|\u0130")).to_numpy(zero_copy_only=False)
+
+
+def gathered(pool: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``size`` values of ``pool`` from each place ``first`` on, one after the other, and ``size``."""
+    ends = np.cumsum(size)
+    return pool[np.repeat(first - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)], size
 
 
 def _grown(values: np.ndarray, size: int) -> np.ndarray:
@@ -206,16 +281,10 @@ def run_ids(table: IdTable, texts: list[bytes]) -> list[np.ndarray]:
         kept = np.concatenate(([0], np.cumsum(filled.to_numpy(zero_copy_only=False))))
         counts, pieces = np.diff(kept[np.concatenate(([0], np.cumsum(counts)))]), pieces.filter(filled).cast(pa.binary())
     numbered = pieces.dictionary_encode()
-    different = numbered.dictionary
-    if table.encoder.by_piece:  # no piece holds white space: joining and splitting is the short way to Python's bytes
-        different = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(different)], pa.int32()), different), b" ")[0].as_py().split()
-    else:
-        different = different.to_pylist()
-    number = table.numbers(different)[numbered.indices.to_numpy()]
-    taken = table.size[number]
-    ends = np.cumsum(taken)
-    ids = table.pool[np.repeat(table.first[number] - (ends - taken), taken) + np.arange(int(ends[-1]) if len(ends) else 0)]
-    return np.split(ids, np.concatenate(([0], ends))[np.cumsum(counts)[:-1]])
+    known, sizes = table.ids(numbered.dictionary)
+    number = numbered.indices.to_numpy()
+    ids, taken = gathered(known, (np.cumsum(sizes) - sizes)[number], sizes[number])
+    return np.split(ids, np.concatenate(([0], np.cumsum(taken)))[np.cumsum(counts)[:-1]])
 
 
 _TABLES: dict[str, IdTable] = {}
