@@ -115,3 +115,15 @@ def test_quality_of_awkward_rows(spark, documents):
     assert quality.quality_scores(frame.where("false"), model, name="_q").count() == 0
     untaught = quality.train(frame, labels.where("false"))
     assert {row._q for row in quality.quality_scores(frame, untaught, name="_q").collect()} == {0.5}
+
+
+def test_terms_are_counted_in_small_batches(spark, documents, monkeypatch):
+    key, frame, rows = "spark.sql.execution.arrow.maxRecordsPerBatch", type(spark.range(1)), []
+    before, collect = spark.conf.get(key), frame.collect
+    monkeypatch.setattr(frame, "collect", lambda self: (rows.append(int(spark.conf.get(key))), collect(self))[1])
+    docs = documents(*((number, f"text {number}") for number in range(3 * quality.BLOCK)))
+    assert quality.document_frequencies(docs)[0] == 3 * quality.BLOCK
+    assert rows == [quality.BLOCK]
+    labels = spark.createDataFrame([(number, number % 2) for number in range(20)], "doc_id long, label int")
+    assert len(quality.labelled_sample(docs, labels, 100)[0]) == 20
+    assert rows[-1] == quality.BLOCK and spark.conf.get(key) == before

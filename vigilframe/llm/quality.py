@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from vigilframe.llm.common import pack_counts, unpack_counts
+from vigilframe.llm.common import arrow_rows, pack_counts, unpack_counts
 from vigilframe.session import stage
 
 #: Labelled rows of each class that the space and the neighbours are taken from, about this many by a hash of the id.
@@ -116,6 +116,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch
             part = batch.slice(start, BLOCK)
             texts = part.column(part.num_columns - 1)
             yield part, np.stack([term_counts(text.as_py() or "") for text in texts])
+    pa.default_memory_pool().release_unused()  # the worker stays for tasks of other stages
 
 
 def document_frequencies(docs: DataFrame, text_column: str = "text") -> tuple[int, np.ndarray]:
@@ -130,7 +131,8 @@ def document_frequencies(docs: DataFrame, text_column: str = "text") -> tuple[in
         yield pa.record_batch([pa.array(there, pa.int32()), pa.array(values[there])], names=["term", "documents"])
 
     rows = docs.select(F.col(text_column).cast("string").alias("text")).mapInArrow(partial, "term int, documents long")
-    sums = {row[0]: row[1] for row in rows.groupBy("term").agg(F.sum("documents")).collect()}
+    with arrow_rows(docs.sparkSession, BLOCK):
+        sums = {row[0]: row[1] for row in rows.groupBy("term").agg(F.sum("documents")).collect()}
     frequency = np.zeros(TERMS + 1, dtype=np.int64)
     for term, number in sums.items():
         frequency[term] = number
@@ -160,7 +162,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int, id_colum
             packed = pa.array([pack_counts(row) for row in counts], pa.binary())
             yield pa.record_batch([part.column(0), part.column(1), packed], names=["doc_id", "label", "counts"])
 
-    found = bounded.mapInArrow(vectors, "doc_id long, label int, counts binary").collect()
+    with arrow_rows(docs.sparkSession, BLOCK):
+        found = bounded.mapInArrow(vectors, "doc_id long, label int, counts binary").collect()
     return sorted((row.doc_id, row.label, bytes(row.counts)) for row in found), totals
 
 
